@@ -12,8 +12,9 @@ order (exact median/quantiles, ROC prefix sums, rank dictionaries) use
    with a tiny window, broadcast back by partition id;
 4. a window partitioned by partition id adds the local running sum.
 
-The partition-id column is read from the same range exchange in both branches
-(Spark reuses the exchange), so offsets and rows agree.
+The range-partitioned compact frame is checkpointed (reliable, shared folder)
+so the partition ids seen by the offsets branch and the rows branch are the
+same even if a task is re-run; it also cuts the lineage of the fit.
 """
 
 from __future__ import annotations
@@ -43,8 +44,11 @@ def running_totals(df: DataFrame, order_cols: Sequence[str], sum_cols: Sequence[
     n = _partitions(df, num_partitions)
     group_cols = list(group_cols)
     order = [F.col(c).desc() if descending else F.col(c).asc() for c in order_cols]
-    d = df.repartitionByRange(n, *[F.col(g) for g in group_cols], *order).withColumn(
-        PID, F.spark_partition_id())
+    # Materialise the range partitioning in the shared checkpoint folder: the
+    # partition ids below must be identical in both branches, and a re-run range
+    # sample over shuffle output (whose row order varies) could move bounds.
+    d = df.repartitionByRange(n, *[F.col(g) for g in group_cols], *order).checkpoint(eager=True) \
+        .withColumn(PID, F.spark_partition_id())
     part = d.groupBy(PID, *group_cols).agg(*[F.sum(c).alias(f"_pt_{c}") for c in sum_cols])
     w_off = Window.partitionBy(*group_cols).orderBy(PID).rowsBetween(Window.unboundedPreceding, -1)
     offsets = part.select(
