@@ -6,6 +6,7 @@ from importlib import import_module
 
 _MODULES = [
     "clean_queries",
+    "report_queries",
 ]
 
 
