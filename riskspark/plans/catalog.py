@@ -7,6 +7,7 @@ from importlib import import_module
 _MODULES = [
     "clean_queries",
     "report_queries",
+    "eval_queries",
 ]
 
 

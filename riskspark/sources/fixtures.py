@@ -165,6 +165,8 @@ def with_views(body: str, *views: str) -> str:
     """``WITH <views> <body>``; views are CTE fragments (``STUDENTS_SQL`` etc.)."""
     ctes = ",\n".join(v.strip() for v in views)
     body = body.strip()
+    if not ctes:
+        return body
     if body[:4].upper() == "WITH" and body[4:5].isspace():
         return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{body}"
