@@ -8,6 +8,7 @@ _MODULES = [
     "clean_queries",
     "report_queries",
     "eval_queries",
+    "store_queries",
 ]
 
 
