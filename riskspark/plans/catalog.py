@@ -9,6 +9,7 @@ _MODULES = [
     "report_queries",
     "eval_queries",
     "store_queries",
+    "ml_queries",
 ]
 
 
