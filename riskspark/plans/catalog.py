@@ -10,6 +10,7 @@ _MODULES = [
     "eval_queries",
     "store_queries",
     "ml_queries",
+    "explain_queries",
 ]
 
 
