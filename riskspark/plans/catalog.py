@@ -11,6 +11,7 @@ _MODULES = [
     "store_queries",
     "ml_queries",
     "explain_queries",
+    "stream_queries",
 ]
 
 

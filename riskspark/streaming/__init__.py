@@ -1 +1,5 @@
-"""streaming."""
+"""Structured Streaming operators."""
+
+from .scoring import run_stream, scoring_transform
+
+__all__ = ["run_stream", "scoring_transform"]
