@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -236,7 +237,9 @@ def clean_fit(df: DataFrame, params: cfg.CleanParams = cfg.CleanParams(),
     df = validate_required(standardise_columns(df), params.required)
     if order_col not in df.columns:
         df = with_row_ordinal(df, order_col)
-    df = dedup_first(df, params.id_col, order_col)
+    # several statistics are fitted on the de-duplicated rows: materialise them once
+    # (memory, spilling to disk; recomputed from lineage if an executor is lost)
+    df = dedup_first(df, params.id_col, order_col).persist(StorageLevel.MEMORY_AND_DISK)
     state = fit_imputer(df, params.numeric, params.categorical)
     df = cap_outliers(impute(df, state), params.ranges)
     df, dicts = encode_categoricals(df, params.categorical)
