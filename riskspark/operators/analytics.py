@@ -43,7 +43,8 @@ def student_predictions(students: DataFrame, preds: DataFrame) -> DataFrame:
 
 def risk_summary(preds: DataFrame) -> DataFrame:
     """I2 (``v_risk_summary``): count and average risk score per level of each student's latest row."""
-    return latest_one(preds).groupBy("risk_level").agg(
+    narrow = preds.select("student_id", "predicted_at", "id", "risk_level", "risk_score")
+    return latest_one(narrow).groupBy("risk_level").agg(
         F.count(F.lit(1)).alias("student_count"), np_round(F.avg("risk_score"), 2).alias("avg_risk_score"))
 
 

@@ -48,7 +48,8 @@ def eval_frame(spark, sf_dir, scorer: str = "latest"):
     lab = labelled_students(spark, sf_dir)
     preds = common.predictions(spark, sf_dir)
     if scorer == "latest":
-        s = I.latest_one(preds).select("student_id", (1 - F.col("fail_probability")).alias("score"),
+        s = I.latest_one(preds.select("student_id", "predicted_at", "id", "fail_probability", "predicted_result")) \
+            .select("student_id", (1 - F.col("fail_probability")).alias("score"),
                                        (F.col("predicted_result") == "Pass").cast("int").alias("prediction"))
         return lab.join(s, "student_id").select("student_id", "label", "prediction", "score")
     if scorer == "mean":
@@ -229,7 +230,7 @@ def f6_gauge_band(spark, sf_dir):
 
 def rec_source(spark, sf_dir):
     d = dedup_first(common.students(spark, sf_dir))
-    latest = I.latest_one(common.predictions(spark, sf_dir)).select("student_id", "risk_level")
+    latest = I.latest_one(common.predictions(spark, sf_dir).select("student_id", "predicted_at", "id", "risk_level"))
     return d.join(latest, "student_id", "left")
 
 
