@@ -98,3 +98,99 @@ def waterfall(attr: DataFrame, key: str = cfg.ID_COLUMN, max_display: int = cfg.
 
 def reduce_sum(cols):
     return reduce(lambda a, b: a + b, cols)
+
+
+# -- tree ensembles -------------------------------------------------------------
+
+def tree_tables(clf, spark) -> tuple[list, list, str]:
+    """Node arrays of a fitted forest / boosted-tree classifier, plus per-tree weights.
+
+    Read from the model's native saved form (``data`` holds one row per node);
+    the size is the model's, independent of the data. Forest: leaf value =
+    P(class 1) of the leaf, weight 1/T (output = probability). Boosted trees:
+    leaf value = the regression output, weight 2 * tree weight (output = log-odds,
+    since MLlib's probability is 1 / (1 + exp(-2F))).
+    """
+    import numpy as np
+    from pyspark.ml.classification import GBTClassificationModel, RandomForestClassificationModel
+
+    from ..session import scratch_path
+
+    path = scratch_path(spark, "tree_tables")
+    clf.write().overwrite().save(path)
+    rows = spark.read.parquet(path + "/data").select("treeID", "nodeData.*").collect()
+    is_forest = isinstance(clf, RandomForestClassificationModel)
+    if not is_forest and not isinstance(clf, GBTClassificationModel):
+        raise TypeError(f"not a tree ensemble: {type(clf).__name__}")
+    by_tree: dict = {}
+    for r in rows:
+        by_tree.setdefault(r["treeID"], []).append(r)
+    trees = []
+    for tid in sorted(by_tree):
+        nodes = by_tree[tid]
+        n = max(x["id"] for x in nodes) + 1
+        t = {k: np.zeros(n) for k in ("threshold", "value", "cover")}
+        t["left"] = np.full(n, -1, dtype=int)
+        t["right"] = np.full(n, -1, dtype=int)
+        t["feature"] = np.zeros(n, dtype=int)
+        for x in nodes:
+            i, stats = x["id"], list(x["impurityStats"])
+            t["left"][i], t["right"][i] = x["leftChild"], x["rightChild"]
+            if x["leftChild"] >= 0:
+                t["feature"][i] = x["split"]["featureIndex"]
+                t["threshold"][i] = x["split"]["leftCategoriesOrThreshold"][0]
+            if is_forest:
+                total = sum(stats)
+                t["cover"][i] = total
+                t["value"][i] = stats[1] / total if total and len(stats) > 1 else 0.0
+            else:
+                t["cover"][i] = stats[0]
+                t["value"][i] = x["prediction"]
+        trees.append(t)
+    if is_forest:
+        weights = [1.0 / len(trees)] * len(trees)
+        kind = "probability"
+    else:
+        weights = [2.0 * w for w in clf.treeWeights]
+        kind = "log_odds"
+    return trees, weights, kind
+
+
+def tree_attributions(model, df: DataFrame, features=cfg.MODEL_FEATURES, key: str = cfg.ID_COLUMN) -> DataFrame:
+    """H1 (trees): TreeSHAP of a fitted ``Pipeline(assembler, scaler, forest|boosted)`` for every row.
+
+    The scaled feature vectors are produced by the pipeline's own stages; the
+    vectorised TreeSHAP runs per Arrow batch in ``mapInPandas`` (the node
+    arrays travel with the task closure, model-sized). Same output shape as
+    ``linear_attributions``.
+    """
+    import numpy as np
+    import pandas as pd
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.functions import vector_to_array
+
+    from .treeshap import ensemble_shap
+
+    spark = df.sparkSession
+    trees, weights, _ = tree_tables(model.stages[-1], spark)
+    prep = PipelineModel(stages=model.stages[:-1]).transform(df).select(
+        F.col(key), vector_to_array("features").alias("_x"))
+    key_type = prep.schema[key].dataType.simpleString()
+    names = list(features)
+
+    def batches(it):
+        for pdf in it:
+            if len(pdf) == 0:
+                continue
+            X = np.stack(pdf["_x"].to_numpy()).astype(float)
+            phi, base = ensemble_shap(trees, weights, X)
+            out = pd.DataFrame(phi, columns=[f"_phi{i}" for i in range(len(names))])
+            out.insert(0, key, pdf[key].to_numpy())
+            out["base_value"] = base
+            yield out
+
+    schema = f"`{key}` {key_type}, " + ", ".join(f"_phi{i} double" for i in range(len(names))) + \
+        ", base_value double"
+    wide = prep.mapInPandas(batches, schema)
+    return wide.select(key, F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"_phi{i}").alias("value"))
+                                      for i, f in enumerate(names)]).alias("attributions"), "base_value")

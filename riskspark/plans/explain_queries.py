@@ -111,3 +111,23 @@ def h1_model_linear_attributions(spark, sf_dir):
     lr = res.models[D.LR]
     data = res.train.unionByName(res.test)
     return H.attributions_long(H.model_linear_attributions(lr, data, res.train))
+
+
+@register("h1_tree_attributions")
+def h1_tree_attributions(spark, sf_dir):
+    """TreeSHAP of the forest (probability of Pass) for every student; local accuracy tested."""
+    from .ml_queries import trained
+    from ..operators import models as D
+    res = trained(spark, sf_dir)
+    data = res.train.unionByName(res.test)
+    return H.attributions_long(H.tree_attributions(res.models[D.RF], data))
+
+
+@register("h2_tree_global_importance")
+def h2_tree_global_importance(spark, sf_dir):
+    """Mean |TreeSHAP| per feature of the forest, every student as the explained set."""
+    from .ml_queries import trained
+    from ..operators import models as D
+    res = trained(spark, sf_dir)
+    data = res.train.unionByName(res.test)
+    return H.global_importance(H.tree_attributions(res.models[D.RF], data))

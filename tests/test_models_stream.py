@@ -90,3 +90,55 @@ def test_entry_contract(spark):
     assert df.columns == ["attendance_risk", "n_students", "avg_overall_score"]
     assert df.count() == 3
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("model_name", ["Random Forest", "XGBoost"])
+def test_tree_attributions_local_accuracy(spark, trained, model_name):
+    m = trained.models[model_name]
+    attr = H.tree_attributions(m, trained.test)
+    total = attr.select("student_id", (F.col("base_value") + F.aggregate(
+        "attributions", F.lit(0.0), lambda a, s: a + s["value"])).alias("out"))
+    scored = m.transform(trained.test).select(
+        "student_id", vector_to_array("probability")[1].alias("p"), vector_to_array("rawPrediction")[1].alias("f"))
+    for r in total.join(scored, "student_id").collect():
+        want = r.p if model_name == "Random Forest" else 2 * r.f
+        assert r.out == pytest.approx(want, abs=1e-6)
+
+
+def test_treeshap_matches_brute_force_shapley():
+    import itertools
+    import math as m
+
+    import numpy as np
+
+    from riskspark.operators.treeshap import tree_shap
+
+    # depth-3 tree on 3 features, feature 0 used twice on one path
+    t = {"left": np.array([1, 3, 5, -1, -1, 7, -1, -1, -1]), "right": np.array([2, 4, 6, -1, -1, 8, -1, -1, -1]),
+         "feature": np.array([0, 1, 2, 0, 0, 0, 0, 0, 0]), "threshold": np.array([0.5, 0.3, 0.7, 0, 0, 0.2, 0, 0, 0]),
+         "value": np.array([0, 0, 0, 1.0, 2.0, 0, 5.0, 3.0, 4.0]),
+         "cover": np.array([10.0, 4, 6, 3, 1, 4, 2, 1, 3])}
+    t["left"][5], t["feature"][5] = 7, 0
+
+    def cond_exp(x, known):
+        def go(node):
+            if t["left"][node] < 0:
+                return t["value"][node]
+            f = t["feature"][node]
+            if f in known:
+                return go(t["left"][node] if x[f] <= t["threshold"][node] else t["right"][node])
+            l, r = t["left"][node], t["right"][node]
+            return (t["cover"][l] * go(l) + t["cover"][r] * go(r)) / t["cover"][node]
+        return go(0)
+
+    X = np.array([[0.1, 0.9, 0.1], [0.9, 0.1, 0.9], [0.3, 0.2, 0.8], [0.6, 0.5, 0.5]])
+    phi = tree_shap(t, X)
+    for row, x in enumerate(X):
+        for i in range(3):
+            others = [j for j in range(3) if j != i]
+            want = 0.0
+            for k in range(3):
+                for s in itertools.combinations(others, k):
+                    wgt = m.factorial(k) * m.factorial(3 - k - 1) / m.factorial(3)
+                    want += wgt * (cond_exp(x, set(s) | {i}) - cond_exp(x, set(s)))
+            assert phi[row, i] == pytest.approx(want, abs=1e-12)
