@@ -160,8 +160,8 @@ def tree_attributions(model, df: DataFrame, features=cfg.MODEL_FEATURES, key: st
     """H1 (trees): TreeSHAP of a fitted ``Pipeline(assembler, scaler, forest|boosted)`` for every row.
 
     The scaled feature vectors are produced by the pipeline's own stages; the
-    vectorised TreeSHAP runs per Arrow batch in ``mapInPandas`` (the node
-    arrays travel with the task closure, model-sized). Same output shape as
+    vectorised TreeSHAP runs per Arrow batch in ``mapInPandas``; the node arrays
+    (model-sized) are a broadcast variable. Same output shape as
     ``linear_attributions``.
     """
     import numpy as np
@@ -173,6 +173,8 @@ def tree_attributions(model, df: DataFrame, features=cfg.MODEL_FEATURES, key: st
 
     spark = df.sparkSession
     trees, weights, _ = tree_tables(model.stages[-1], spark)
+    # model-sized node arrays: shipped once per executor, not once per task
+    shared = spark.sparkContext.broadcast((trees, weights))
     prep = PipelineModel(stages=model.stages[:-1]).transform(df).select(
         F.col(key), vector_to_array("features").alias("_x"))
     key_type = prep.schema[key].dataType.simpleString()
@@ -183,7 +185,8 @@ def tree_attributions(model, df: DataFrame, features=cfg.MODEL_FEATURES, key: st
             if len(pdf) == 0:
                 continue
             X = np.stack(pdf["_x"].to_numpy()).astype(float)
-            phi, base = ensemble_shap(trees, weights, X)
+            t, w = shared.value
+            phi, base = ensemble_shap(t, w, X)
             out = pd.DataFrame(phi, columns=[f"_phi{i}" for i in range(len(names))])
             out.insert(0, key, pdf[key].to_numpy())
             out["base_value"] = base

@@ -61,8 +61,10 @@ def running_totals(df: DataFrame, order_cols: Sequence[str], sum_cols: Sequence[
     # Materialise the range partitioning in the shared checkpoint folder: the
     # partition ids below must be identical in both branches, and a re-run range
     # sample over shuffle output (whose row order varies) could move bounds.
-    d = df.repartitionByRange(n, *[F.col(g) for g in group_cols], *order).checkpoint(eager=True) \
-        .withColumn(PID, F.spark_partition_id())
+    d = df.repartitionByRange(n, *[F.col(g) for g in group_cols], *order).checkpoint(eager=True)
+    if small:
+        df.unpersist()   # the checkpoint now holds the data
+    d = d.withColumn(PID, F.spark_partition_id())
     part = d.groupBy(PID, *group_cols).agg(*[F.sum(c).alias(f"_pt_{c}") for c in sum_cols])
     w_off = Window.partitionBy(*group_cols).orderBy(PID).rowsBetween(Window.unboundedPreceding, -1)
     offsets = part.select(
