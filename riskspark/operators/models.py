@@ -4,18 +4,20 @@
             (distributed running totals, so no class is ever sorted in one task);
 * folds  -- stratified: the training rank within a class modulo 5;
 * models -- ``Pipeline(VectorAssembler, StandardScaler, classifier)``;
-* CV     -- ``CrossValidator(foldCol=...)`` with F1 of class 1, mean and population std;
+* CV     -- stratified k-fold on the fold column, F1 of class 1, mean and population std;
 * select -- strictly highest rounded CV-F1, first in model order on ties.
 
 The prepared training frame is checkpointed to the shared folder (lineage cut,
-survives executor loss) and cached, since every fit re-reads it. The three
-models' cross-validations run concurrently from a small driver thread pool:
-MLlib parallelises within a fit, the pool keeps the cluster busy between them.
+survives executor loss) and cached, since every fit re-reads it. All fold fits
+and refits run concurrently from a driver thread pool: MLlib parallelises
+within a fit, the pool keeps the cluster busy between an iterative fit's jobs.
 """
 
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
+
+import numpy as np
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -23,7 +25,6 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomF
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,7 +56,7 @@ class TrainParams:
     gbt_depth: int = cfg.GBT_PARAMS["max_depth"]
     gbt_step: float = cfg.GBT_PARAMS["learning_rate"]
     models: tuple = tuple(cfg.MODEL_ORDER)
-    parallel_models: int = 3
+    parallel_fits: int = 8
 
 
 # -- D1 / D6 -----------------------------------------------------------------
@@ -127,14 +128,41 @@ def prepare_training(featured: DataFrame, params: TrainParams = TrainParams()) -
     return stratified_split(df, params).checkpoint(eager=True).cache()
 
 
-def _cross_validate(name, train, params, n_train):
-    cv = CrossValidator(estimator=build_pipeline(name, params, n_train),
-                        estimatorParamMaps=ParamGridBuilder().build(), evaluator=f1_evaluator(params.label),
-                        numFolds=params.folds, foldCol="fold", seed=params.seed)
-    model = cv.fit(train)
-    # pyspark's stdMetrics is the population std over folds (NumPy ddof=0), as in the reference
-    std = model.stdMetrics[0] if model.stdMetrics else float("nan")
-    return name, model.bestModel, (model.avgMetrics[0], std)
+def _fit(name, params, data, n_rows):
+    return build_pipeline(name, params, n_rows).fit(data)
+
+
+def cross_validate(train: DataFrame, params: TrainParams = TrainParams()):
+    """Stratified k-fold CV of every model, plus the refit on the whole training split.
+
+    All (model, fold) fits and the refits are independent Spark jobs, submitted
+    from one driver thread pool (slowest models first) so the cluster is never
+    idle between the many small jobs of an iterative fit. Each fold's logistic
+    regression gets the penalty for its own size (``1 / (C * n_fold)``), as a
+    fresh estimator per fold would. Returns (refitted models, {name: (mean, pop std)}).
+    """
+    lab = params.label
+    sizes = {r["fold"]: r["n"] for r in train.groupBy("fold").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n_train = sum(sizes.values())
+    evaluator = f1_evaluator(lab)
+    slow_first = sorted(params.models, key=lambda m: {GBT: 0, RF: 1}.get(m, 2))
+    tasks = [(m, k) for m in slow_first for k in range(params.folds)] + [(m, None) for m in slow_first]
+
+    def run(task):
+        m, k = task
+        if k is None:
+            return m, None, _fit(m, params, train, n_train)
+        fitted = _fit(m, params, train.filter(F.col("fold") != k), n_train - sizes.get(k, 0))
+        return m, k, evaluator.evaluate(fitted.transform(train.filter(F.col("fold") == k)))
+
+    with ThreadPoolExecutor(max_workers=max(1, params.parallel_fits)) as pool:
+        results = list(pool.map(run, tasks))
+    models = {m: out for m, k, out in results if k is None}
+    cv = {}
+    for m in params.models:
+        scores = np.array([out for mm, k, out in results if mm == m and k is not None])
+        cv[m] = (float(scores.mean()), float(scores.std()))   # population std (ddof 0)
+    return models, cv
 
 
 def train_and_select(featured: DataFrame, params: TrainParams = TrainParams()) -> TrainResult:
@@ -142,11 +170,7 @@ def train_and_select(featured: DataFrame, params: TrainParams = TrainParams()) -
     data = prepare_training(featured, params)
     train = data.filter(F.col("split") == "train")
     test = data.filter(F.col("split") == "test")
-    n_train = train.count()
-    with ThreadPoolExecutor(max_workers=max(1, params.parallel_models)) as pool:
-        results = list(pool.map(lambda m: _cross_validate(m, train, params, n_train), params.models))
-    models = {n: m for n, m, _ in results}
-    cv = {n: s for n, _, s in results}
+    models, cv = cross_validate(train, params)
     r4 = lambda x: float(round(x, 4)) if x == x else x
     best_name, best = None, -1.0
     for n in params.models:                      # strictly greater: first in order wins ties
