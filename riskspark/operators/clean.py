@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .. import config as cfg
 from ..functions import clip, nan_to_null, py_capitalize, py_strip, standard_name, to_double_or_zero
-from .ordered import dense_codes, exact_quantiles
+from .ordered import SMALL_DICTIONARY, dense_codes, exact_quantiles
 
 
 # -- B1 / B2 ---------------------------------------------------------------
@@ -164,15 +164,63 @@ def apply_label_dictionary(df: DataFrame, col: str, dictionary: DataFrame | None
     return out.withColumn(col, F.coalesce(F.col("_code"), F.lit(unseen))).drop("_lbl_key", "_lbl", "_code")
 
 
+def _label_counts(df: DataFrame, cols) -> DataFrame:
+    """(column, value, n) over several categorical columns in one partial aggregate; NULL kept."""
+    long = df.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in cols
+    ])).alias("_s")).select("_s.column", "_s.value")
+    return long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _dictionary_frame(spark, labels) -> DataFrame:
+    return spark.createDataFrame([(v, i) for i, v in enumerate(sorted(labels))], "value string, code int")
+
+
+def fit_categoricals(df: DataFrame, cols=cfg.CATEGORICAL_FEATURES, with_modes: bool = True,
+                     small: int = SMALL_DICTIONARY) -> tuple[dict, dict]:
+    """B5 + B8 fitted together: (modes, dictionaries) from one aggregate.
+
+    ``with_modes``: dictionaries describe the column after B5 imputation (NULL
+    becomes the mode), as in the *fit* mode; otherwise NULL is the label 'nan',
+    as in batch refits. Size-checked: at most ``small`` distinct (column, value)
+    pairs are sorted on the driver (categorical domains); beyond it the modes
+    and the dictionaries are computed distributed (``column_modes``,
+    ``fit_label_dictionary``).
+    """
+    cols = [c for c in cols if c in df.columns]
+    if not cols:
+        return {}, {}
+    head = _label_counts(df, cols).limit(small + 1).collect()
+    if len(head) > small:
+        modes = column_modes(df, cols) if with_modes else {}
+        filled = impute(df, ImputeState({}, modes))
+        return modes, {c: fit_label_dictionary(filled, c).cache() for c in cols}
+    seen = {c: [] for c in cols}
+    for r in head:
+        seen[r["column"]].append((r["value"], r["n"]))
+    modes, dictionaries = {}, {}
+    for c, pairs in seen.items():
+        present = [(v, n) for v, n in pairs if v is not None]
+        has_null = len(present) < len(pairs)
+        mode = min(present, key=lambda t: (-t[1], t[0]))[0] if present else None
+        if with_modes and mode is not None:
+            modes[c] = mode
+        labels = {v for v, _ in present}
+        if has_null and c not in modes:
+            labels.add("nan")
+        dictionaries[c] = _dictionary_frame(df.sparkSession, labels)
+    return modes, dictionaries
+
+
 def encode_categoricals(df: DataFrame, cols=cfg.CATEGORICAL_FEATURES, dictionaries: dict | None = None):
     """B8 fit+apply (``dictionaries`` None) or B9 apply. Returns (frame, dictionaries)."""
-    fitted = {} if dictionaries is None else dictionaries
+    if dictionaries is None:
+        _, fitted = fit_categoricals(df, cols, with_modes=False)
+    else:
+        fitted = dictionaries
     for c in cols:
-        if c not in df.columns:
-            continue
-        if dictionaries is None:
-            fitted[c] = fit_label_dictionary(df, c).cache()
-        df = apply_label_dictionary(df, c, fitted.get(c))
+        if c in df.columns:
+            df = apply_label_dictionary(df, c, fitted.get(c))
     return df, fitted
 
 
@@ -240,9 +288,13 @@ def clean_fit(df: DataFrame, params: cfg.CleanParams = cfg.CleanParams(),
     # several statistics are fitted on the de-duplicated rows: materialise them once
     # (memory, spilling to disk; recomputed from lineage if an executor is lost)
     df = dedup_first(df, params.id_col, order_col).persist(StorageLevel.MEMORY_AND_DISK)
-    state = fit_imputer(df, params.numeric, params.categorical)
+    num = [c for c in params.numeric if c in df.columns]
+    med = exact_quantiles(df, num, [0.5]) if num else {}
+    # modes and label dictionaries in one pass (dictionaries of the imputed columns)
+    modes, dicts = fit_categoricals(df, params.categorical, with_modes=True)
+    state = ImputeState({c: med[c][0.5] for c in num}, modes)
     df = cap_outliers(impute(df, state), params.ranges)
-    df, dicts = encode_categoricals(df, params.categorical)
+    df, _ = encode_categoricals(df, params.categorical, dicts)
     df = encode_target(df, params.target)
     return df, CleanState(state, dicts)
 

@@ -120,3 +120,21 @@ def test_messy_headers_then_fit(spark):
     messy = df.toDF(*[c.replace("_", " ").upper() for c in df.columns])
     out, _ = B.clean_fit(messy)
     assert out.count() == 5 and "student_id" in out.columns
+
+
+@pytest.mark.parametrize("small", [100, 1])
+def test_fused_categorical_fit_matches_separate_operators(spark, small):
+    # ties (a/b), a NULL, an all-NULL column; small=1 forces the distributed path
+    rows = [student_row(f"S{i}", gender=g, dept=None) for i, g in enumerate(["b", "a", None, "a", "b", "c"])]
+    df = frame(spark, rows)
+    modes, dicts = B.fit_categoricals(df, ["gender", "department"], with_modes=True, small=small)
+    assert modes == B.column_modes(df, ["gender", "department"]) == {"gender": "a"}
+    filled = B.impute(df, B.ImputeState({}, modes))
+    for c in ("gender", "department"):
+        want = sorted((r.value, r.code) for r in B.fit_label_dictionary(filled, c).collect())
+        assert sorted((r.value, r.code) for r in dicts[c].collect()) == want
+    assert sorted(r.value for r in dicts["department"].collect()) == ["nan"]
+    # batch refit: NULL is its own label, no modes
+    none, raw = B.fit_categoricals(df, ["gender"], with_modes=False, small=small)
+    assert none == {}
+    assert sorted((r.value, r.code) for r in raw["gender"].collect()) == [("a", 0), ("b", 1), ("c", 2), ("nan", 3)]
