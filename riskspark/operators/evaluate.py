@@ -8,6 +8,7 @@ single row, counted map-side).
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -19,10 +20,11 @@ from .ordered import running_totals
 CLASS_NAMES = {0: "Fail", 1: "Pass"}
 
 
-def confusion_counts(df: DataFrame, label: str = "label", pred: str = "prediction") -> DataFrame:
-    """One row: tp, fp, fn, tn (class 1 = positive)."""
+def confusion_counts(df: DataFrame, label: str = "label", pred: str = "prediction",
+                     group_cols: Sequence[str] = ()) -> DataFrame:
+    """tp, fp, fn, tn (class 1 = positive); one row, or one per group."""
     y, p = F.col(label), F.col(pred)
-    return df.agg(
+    return df.groupBy(*group_cols).agg(
         F.count_if((y == 1) & (p == 1)).alias("tp"), F.count_if((y == 0) & (p == 1)).alias("fp"),
         F.count_if((y == 1) & (p == 0)).alias("fn"), F.count_if((y == 0) & (p == 0)).alias("tn"))
 
@@ -78,8 +80,8 @@ def classification_report(df: DataFrame, label: str = "label", pred: str = "pred
     return c.select(F.explode(F.array(*structs)).alias("r")).select("r.*")
 
 
-def _score_groups(df: DataFrame, label: str, score: str) -> DataFrame:
-    return df.groupBy(F.col(score).cast("double").alias("threshold")).agg(
+def _score_groups(df: DataFrame, label: str, score: str, group_cols: Sequence[str] = ()) -> DataFrame:
+    return df.groupBy(*group_cols, F.col(score).cast("double").alias("threshold")).agg(
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg"))
 
 
@@ -100,35 +102,44 @@ def roc_points(df: DataFrame, label: str = "label", score: str = "score") -> Dat
     return origin.unionByName(pts)
 
 
-def auc(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
-    """E5: trapezoidal area under the ROC curve, 4 dp.
+def auc(df: DataFrame, label: str = "label", score: str = "score",
+        group_cols: Sequence[str] = ()) -> DataFrame:
+    """E5: trapezoidal area under the ROC curve, 4 dp; one row, or one per group.
 
     Each distinct score s adds neg(s)/N * (2 * pos_above(s) + pos(s)) / (2P): the
     trapezoid between consecutive ROC points, so the sum is order-free.
     """
-    g = _score_groups(df, label, score)
-    cum = running_totals(g, ["threshold"], ["pos"], descending=True)
-    area = cum.agg(F.sum(F.col("neg") * (2 * (F.col("pos_cum") - F.col("pos")) + F.col("pos"))).alias("a"),
-                   F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    return area.select(np_round(safe_ratio(F.col("a"), 2 * F.col("P") * F.col("N")), 4).alias("auc"))
+    group_cols = list(group_cols)
+    g = _score_groups(df, label, score, group_cols)
+    cum = running_totals(g, ["threshold"], ["pos"], group_cols=group_cols, descending=True)
+    area = cum.groupBy(*group_cols).agg(
+        F.sum(F.col("neg") * (2 * (F.col("pos_cum") - F.col("pos")) + F.col("pos"))).alias("a"),
+        F.sum("pos").alias("P"), F.sum("neg").alias("N"))
+    return area.select(*group_cols, np_round(safe_ratio(F.col("a"), 2 * F.col("P") * F.col("N")), 4).alias("auc"))
 
 
 def metrics_table(scored: dict[str, DataFrame], label: str = "label", pred: str = "prediction",
                   score: str | None = "score") -> DataFrame:
     """One row per model: accuracy, precision, recall, F1 and (when scores exist) AUC.
 
-    ``scored`` maps model name -> its (label, prediction, score) frame.
+    ``scored`` maps model name -> its (label, prediction, score) frame. The
+    frames are tagged and unioned, so all models share one grouped aggregate
+    and one grouped AUC (a single shuffle each, however many models), and
+    subplans the frames have in common are computed once.
     """
-    parts = []
+    keys = ["model_order", "model"]
+    tagged = []
     for i, (name, df) in enumerate(scored.items()):
-        tag = [F.lit(i).alias("model_order"), F.lit(name).alias("model")]
-        m = binary_metrics(df, label, pred)
-        parts.append(m.select(*tag, "*").unpivot(["model_order", "model"], METRIC_COLUMNS[:4], "metric", "value"))
-        if score is not None and score in df.columns:
-            parts.append(auc(df, label, score).select(*tag, F.lit("auc").alias("metric"),
-                                                      F.col("auc").alias("value")))
-    long = reduce(lambda a, b: a.unionByName(b), parts)
-    return long.groupBy("model_order", "model").pivot("metric", METRIC_COLUMNS).agg(F.first("value"))
+        has_score = score is not None and score in df.columns
+        tagged.append(df.select(F.lit(i).alias("model_order"), F.lit(name).alias("model"),
+                                F.col(label).alias("_y"), F.col(pred).alias("_p"),
+                                (F.col(score).cast("double") if has_score else F.lit(None).cast("double"))
+                                .alias("_s"), F.lit(has_score).alias("_has_score")))
+    rows = reduce(lambda a, b: a.unionByName(b), tagged)
+    counts = confusion_counts(rows, "_y", "_p", keys)
+    out = counts.select(*keys, *[e.alias(k) for k, e in _metric_exprs().items()])
+    areas = auc(rows.filter("_has_score"), "_y", "_s", keys)
+    return out.join(areas, keys, "left").select(*keys, *METRIC_COLUMNS)
 
 
 METRIC_COLUMNS = ["accuracy", "precision", "recall", "f1", "auc"]

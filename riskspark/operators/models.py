@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .. import config as cfg
 from ..session import scratch_path
 from .clean import clean_batch, drop_incomplete, select_features
-from .evaluate import binary_metrics, auc
+from .evaluate import metrics_table
 from .features import add_features
 from .ordered import running_totals
 from .score import attach_risk
@@ -176,19 +176,13 @@ def train_and_select(featured: DataFrame, params: TrainParams = TrainParams()) -
     for n in params.models:                      # strictly greater: first in order wins ties
         if r4(cv[n][0]) > best:
             best_name, best = n, r4(cv[n][0])
-    rows = []
-    for i, n in enumerate(params.models):
-        scored = scored_frame(models[n], test, params.label)
-        m = binary_metrics(scored, params.label, "prediction")
-        a = auc(scored, params.label, "score")
-        rows.append(m.unionByName(a, allowMissingColumns=True).agg(
-            *[F.max(c).alias(c) for c in ["accuracy", "precision", "recall", "f1", "auc"]])
-            .select(F.lit(i).alias("model_order"), F.lit(n).alias("model"), "*",
-                    F.lit(r4(cv[n][0])).alias("cv_f1_mean"), F.lit(r4(cv[n][1])).alias("cv_f1_std"),
-                    F.lit(n == best_name).alias("is_best")))
-    metrics = rows[0]
-    for r in rows[1:]:
-        metrics = metrics.unionByName(r)
+    # held-out metrics of all models in one grouped aggregate (E7), plus the CV columns
+    metrics = metrics_table({n: scored_frame(models[n], test, params.label) for n in params.models},
+                            params.label, "prediction", "score")
+    cv_rows = featured.sparkSession.createDataFrame(
+        [(i, r4(cv[n][0]), r4(cv[n][1]), n == best_name) for i, n in enumerate(params.models)],
+        "model_order int, cv_f1_mean double, cv_f1_std double, is_best boolean")
+    metrics = metrics.join(cv_rows, "model_order").orderBy("model_order")
     return TrainResult(models, cv, metrics, best_name, train, test)
 
 
