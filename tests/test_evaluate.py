@@ -63,3 +63,26 @@ def test_metrics_table_best_and_long(spark):
     best = {r.metric: r.best_model for r in E.best_per_metric(mt).collect()}
     assert best["auc"] == "good" and best["f1"] == "good"
     assert E.metrics_long(mt).count() == 15
+
+
+@pytest.mark.parametrize("small", [1_000_000, 0])
+def test_grouped_metrics_table_equals_per_model_operators(spark, small, monkeypatch):
+    # small=0 forces the range-partitioned running totals inside the grouped AUC
+    import riskspark.operators.ordered as O
+    monkeypatch.setattr(O, "SMALL_ROWS", small)
+    monkeypatch.setattr(O.running_totals, "__defaults__",
+                        O.running_totals.__defaults__[:-1] + (small,))
+    rng = np.random.default_rng(7)
+    frames = {}
+    for name in ("a", "b", "c"):
+        y = rng.integers(0, 2, 120)
+        s = np.round(rng.uniform(0, 1, 120), 2)
+        frames[name] = frame(spark, y, s)
+    no_score = frame(spark, [0, 1, 1], [0.2, 0.7, 0.4]).drop("score")
+    mt = {r.model: r for r in E.metrics_table({**frames, "d": no_score}).collect()}
+    for name, df in frames.items():
+        m, a = E.binary_metrics(df).first(), E.auc(df).first().auc
+        got = mt[name]
+        assert (got.accuracy, got.precision, got.recall, got.f1, got.auc) == (m.accuracy, m.precision, m.recall,
+                                                                               m.f1, a)
+    assert mt["d"].auc is None and mt["d"].accuracy == round(2 / 3, 4)
