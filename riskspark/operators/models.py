@@ -56,7 +56,7 @@ class TrainParams:
     gbt_depth: int = cfg.GBT_PARAMS["max_depth"]
     gbt_step: float = cfg.GBT_PARAMS["learning_rate"]
     models: tuple = tuple(cfg.MODEL_ORDER)
-    parallel_fits: int = 8
+    parallel_fits: int | None = None   # None: every (model, fold) fit and refit at once
 
 
 # -- D1 / D6 -----------------------------------------------------------------
@@ -71,15 +71,15 @@ def stratified_split(df: DataFrame, params: TrainParams = TrainParams()) -> Data
     lab = params.label
     h = df.withColumn("_h", F.xxhash64(F.col(params.key), F.lit(params.seed))).withColumn("_one", F.lit(1))
     ranked = running_totals(h, ["_h", params.key], ["_one"], group_cols=[lab])
-    sizes = {r[lab]: r["n"] for r in df.groupBy(lab).agg(F.count(F.lit(1)).alias("n")).collect()}
-    n_test = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(int(round(params.test_size * n))))])
-    rank = F.col("_one_cum")
-    is_test = rank <= n_test[F.col(lab)]
-    return ranked.select(
+    # per-class test quota (Python's round = half-even), joined in-plan: one row per class
+    quota = df.groupBy(lab).agg(F.bround(F.lit(float(params.test_size)) * F.count(F.lit(1)), 0)
+                                .cast("long").alias("_n_test"))
+    rank, n_test = F.col("_one_cum"), F.col("_n_test")
+    is_test = rank <= n_test
+    return ranked.join(F.broadcast(quota), lab).select(
         *df.columns,
         F.when(is_test, "test").otherwise("train").alias("split"),
-        F.when(is_test, F.lit(-1)).otherwise(((rank - n_test[F.col(lab)] - 1) % params.folds).cast("int"))
-        .alias("fold"))
+        F.when(is_test, F.lit(-1)).otherwise(((rank - n_test - 1) % params.folds).cast("int")).alias("fold"))
 
 
 # -- D2-D5 -------------------------------------------------------------------
@@ -155,7 +155,7 @@ def cross_validate(train: DataFrame, params: TrainParams = TrainParams()):
         fitted = _fit(m, params, train.filter(F.col("fold") != k), n_train - sizes.get(k, 0))
         return m, k, evaluator.evaluate(fitted.transform(train.filter(F.col("fold") == k)))
 
-    with ThreadPoolExecutor(max_workers=max(1, params.parallel_fits)) as pool:
+    with ThreadPoolExecutor(max_workers=max(1, params.parallel_fits or len(tasks))) as pool:
         results = list(pool.map(run, tasks))
     models = {m: out for m, k, out in results if k is None}
     cv = {}
