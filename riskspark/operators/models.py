@@ -84,6 +84,41 @@ def stratified_split(df: DataFrame, params: TrainParams = TrainParams()) -> Data
 
 # -- D2-D5 -------------------------------------------------------------------
 
+@dataclass
+class Standardiser:
+    """D2 standalone scaler: per-feature mean and population sd (0 sd -> scale 1)."""
+    features: list
+    means: dict
+    scales: dict
+
+    def frame(self, spark) -> DataFrame:
+        """(feature, mean, scale) rows, in feature order."""
+        return spark.createDataFrame([(i, f, self.means[f], self.scales[f]) for i, f in enumerate(self.features)],
+                                     "position int, feature string, mean double, scale double")
+
+
+def fit_standardiser(df: DataFrame, features=cfg.MODEL_FEATURES) -> Standardiser:
+    """D2 fit: one aggregate gives mean and population sd of every feature (NULLs ignored).
+
+    The reference stores its scaler on its own as well as inside the pipelines; the
+    pipelines' MLlib scaler divides by the sample sd, this one by the population sd
+    (scikit-learn's). The fitted state is 2 scalars per feature.
+    """
+    feats = list(features)
+    row = df.agg(*[F.avg(F.col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(feats)],
+                 *[F.stddev_pop(F.col(c).cast("double")).alias(f"s{i}") for i, c in enumerate(feats)]).first()
+    means = {c: row[f"m{i}"] for i, c in enumerate(feats)}
+    # zero (or undefined) spread leaves the centred value unscaled, as scikit-learn does
+    scales = {c: (row[f"s{i}"] if row[f"s{i}"] else 1.0) for i, c in enumerate(feats)}
+    return Standardiser(feats, means, scales)
+
+
+def standardise(df: DataFrame, st: Standardiser) -> DataFrame:
+    """D2 apply: ``(x - mean) / scale`` per feature as column expressions."""
+    return df.withColumns({c: (F.col(c).cast("double") - F.lit(st.means[c])) / F.lit(float(st.scales[c]))
+                           for c in st.features if c in df.columns and st.means[c] is not None})
+
+
 def build_pipeline(name: str, params: TrainParams, n_train: int) -> Pipeline:
     stages = [VectorAssembler(inputCols=params.features, outputCol="features_raw", handleInvalid="keep"),
               StandardScaler(inputCol="features_raw", outputCol="features", withMean=True, withStd=True)]

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from .. import config as cfg
 from ..operators import clean as B
 from ..operators import features as C
+from ..operators import models as D
 from . import common
-from .common import r2
+from .common import r2, r6
 from .sqlparts import CLEAN_SQL, DEDUP_SQL, FEATURES_SQL, STUDENTS_SQL, cap, clipx, r, strip, with_views
 
 QUERIES = {}
@@ -172,6 +173,41 @@ def b13_feature_matrix(spark, sf_dir):
     return B.select_features(common.featured(spark, sf_dir), keep=["student_id"])
 
 
+# -- D2: standalone standardiser (population sd), fitted on the feature matrix --------
+
+_MF = cfg.MODEL_FEATURES
+_FM_SQL = ("fm AS (SELECT student_id, " + ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in _MF)
+           + " FROM features)")
+_ST_SQL = ("st AS (SELECT " + ", ".join(
+    f"AVG({c}) AS m_{c}, CASE WHEN STDDEV_POP({c}) IS NULL OR STDDEV_POP({c}) = 0 THEN 1.0E0 "
+    f"ELSE STDDEV_POP({c}) END AS s_{c}" for c in _MF) + " FROM fm)")
+_D2_VIEWS = (STUDENTS_SQL, CLEAN_SQL, FEATURES_SQL, _FM_SQL, _ST_SQL)
+
+
+def _standardiser(spark, sf_dir):
+    fm = B.select_features(common.featured(spark, sf_dir), keep=["student_id"])
+    return fm, D.fit_standardiser(fm, _MF)
+
+
+@register("d2_scaler_params", with_views(" UNION ALL ".join(
+    f"SELECT {i} AS position, '{c}' AS feature, {r(f'm_{c}', 6)} AS mean, {r(f's_{c}', 6)} AS scale FROM st"
+    for i, c in enumerate(_MF)), *_D2_VIEWS))
+def d2_scaler_params(spark, sf_dir):
+    """The fitted standalone scaler as (position, feature, mean, scale)."""
+    _, st = _standardiser(spark, sf_dir)
+    return st.frame(spark).select("position", "feature", r6("mean").alias("mean"), r6("scale").alias("scale"))
+
+
+@register("d2_standardise", with_views(
+    "SELECT fm.student_id, " + ", ".join(f"{r(f'(fm.{c} - st.m_{c}) / st.s_{c}', 6)} AS {c}" for c in _MF)
+    + " FROM fm, st", *_D2_VIEWS))
+def d2_standardise(spark, sf_dir):
+    """Every student's feature vector centred and divided by the population sd."""
+    fm, st = _standardiser(spark, sf_dir)
+    z = D.standardise(fm, st)
+    return z.select("student_id", *[r6(c).alias(c) for c in _MF])
+
+
 @register("b13_feature_matrix_absent", with_views(
     "SELECT student_id, " + ", ".join(
         ("0.0E0" if c in ("age", "lab_score") else f"CAST({c} AS DOUBLE)") + f" AS {c}" for c in cfg.MODEL_FEATURES)

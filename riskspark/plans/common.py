@@ -34,3 +34,7 @@ def r2(c) -> F.Column:
 
 def r4(c) -> F.Column:
     return np_round(c, 4)
+
+
+def r6(c) -> F.Column:
+    return np_round(c, 6)

@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,3 +72,18 @@ def test_profile_axes(spark):
     rows = C.profile_axes(df).orderBy("axis_no").collect()
     assert [r.axis for r in rows][0] == "Attendance" and len(rows) == 7
     assert rows[-1].value == 100.0 and rows[0].target == 75.0
+
+
+def test_standalone_standardiser_population_sd_and_zero_variance(spark):
+    from riskspark.operators import models as D
+    x = [1.0, 2.0, 4.0, 9.0]
+    df = spark.createDataFrame([(f"S{i}", v, 5.0, None if i == 0 else v) for i, v in enumerate(x)],
+                               "student_id string, a double, flat double, gappy double")
+    st = D.fit_standardiser(df, ["a", "flat", "gappy"])
+    assert st.means["a"] == pytest.approx(np.mean(x)) and st.scales["a"] == pytest.approx(np.std(x))  # ddof 0
+    assert st.scales["flat"] == 1.0                        # zero spread: centred only
+    assert st.means["gappy"] == pytest.approx(np.mean(x[1:]))   # NULLs ignored in the fit
+    z = {r.student_id: r for r in D.standardise(df, st).collect()}
+    assert z["S3"].a == pytest.approx((9.0 - np.mean(x)) / np.std(x))
+    assert z["S1"].flat == 0.0 and z["S0"].gappy is None
+    assert [r.feature for r in st.frame(spark).orderBy("position").collect()] == ["a", "flat", "gappy"]
