@@ -131,6 +131,26 @@ def a9_cascade_delete(spark, sf_dir):
     return A.cascade_delete(common.predictions(spark, sf_dir), kept)
 
 
+_KEY_MAP_SQL = """
+key_map AS (
+  SELECT student_id AS old_key, CONCAT(UPPER(SUBSTR(department, 1, 3)), '-', student_id) AS new_key
+  FROM dedup WHERE department IS NOT NULL)"""
+
+
+@register("a9_cascade_rename", with_views("""
+SELECT p.* REPLACE (COALESCE(k.new_key, p.student_id) AS student_id)
+FROM predictions p LEFT JOIN key_map k ON k.old_key = p.student_id""",
+    STUDENTS_SQL, PREDICTIONS_SQL, DEDUP_SQL, _KEY_MAP_SQL))
+def a9_cascade_rename(spark, sf_dir):
+    """Students with a known department are re-keyed to ``DEP-<id>``; the whole prediction
+    history follows through the key map (one row per old key), other keys stay."""
+    first = dedup_first(common.students(spark, sf_dir)).where(F.col("department").isNotNull())
+    key_map = first.select(F.col("student_id").alias("old_key"),
+                           F.concat(F.upper(F.substring("department", 1, 3)), F.lit("-"),
+                                    F.col("student_id")).alias("new_key"))
+    return A.cascade_rename(common.predictions(spark, sf_dir), key_map)
+
+
 def _dec_sql(c):
     # DECIMAL(5,2): half-up rounding of the value's shortest decimal form; overflow -> NULL
     v = f"ROUND(CAST(CAST(COALESCE(CAST({c} AS DOUBLE), 0.0) AS VARCHAR) AS DECIMAL(38, 10)), 2)"
