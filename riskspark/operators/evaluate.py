@@ -85,16 +85,26 @@ def _score_groups(df: DataFrame, label: str, score: str, group_cols: Sequence[st
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg"))
 
 
-def roc_points(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
-    """One point per distinct score (descending), cumulative TPR/FPR, plus the (0, 0) origin.
-
-    All points are kept (sklearn drops collinear ones by default; AUC is unchanged).
+def roc_points(df: DataFrame, label: str = "label", score: str = "score",
+               drop_intermediate: bool = True) -> DataFrame:
+    """ROC points over distinct scores (descending) with cumulative TPR/FPR, plus the (0, 0) origin.
+
+    ``drop_intermediate`` (scikit-learn's default) drops a middle point when the
+    step into it equals the step out of it; the step out of point m is the next
+    point's own (pos, neg) count, so one equi-join on the point's position (itself a
+    distributed running count) finds it. ``False`` keeps every point (AUC unchanged).
     """
-    g = _score_groups(df, label, score)
+    g = _score_groups(df, label, score).withColumn("_one", F.lit(1))
     # class totals are two scalars (fitted like any model parameter)
     tot = g.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N")).first()
     n_pos, n_neg = int(tot["P"] or 0), int(tot["N"] or 0)
-    cum = running_totals(g, ["threshold"], ["pos", "neg"], descending=True)
+    cum = running_totals(g, ["threshold"], ["pos", "neg", "_one"], descending=True)
+    if drop_intermediate:
+        nxt = cum.select((F.col("_one_cum") - 1).alias("_at"), F.col("pos").alias("_npos"),
+                         F.col("neg").alias("_nneg"))
+        cum = cum.join(nxt, cum["_one_cum"] == nxt["_at"], "left").where(
+            (F.col("_one_cum") == 1) | F.col("_at").isNull()
+            | (F.col("_npos") != F.col("pos")) | (F.col("_nneg") != F.col("neg")))
     pts = cum.select("threshold", safe_ratio(F.col("neg_cum"), F.lit(n_neg)).alias("fpr"),
                      safe_ratio(F.col("pos_cum"), F.lit(n_pos)).alias("tpr"))
     origin = g.sparkSession.range(1).select(F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("fpr"),

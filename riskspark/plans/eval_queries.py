@@ -158,6 +158,28 @@ def e3_classification_report(spark, sf_dir):
 @register("e4_roc_points", with_views(_roc_sql("ev_latest") + "\nSELECT threshold, fpr, tpr FROM roc",
                                       *_EVAL_VIEWS))
 def e4_roc_points(spark, sf_dir):
+    """Every distinct-score point kept."""
+    return E.roc_points(eval_frame(spark, sf_dir), drop_intermediate=False)
+
+
+def _roc_thin_sql(src):
+    return f"""WITH g AS (SELECT CAST(score AS DOUBLE) AS threshold, COUNT(*) FILTER (WHERE label = 1) AS pos,
+                  COUNT(*) FILTER (WHERE label <> 1) AS neg FROM {src} GROUP BY 1),
+t AS (SELECT SUM(pos) AS P, SUM(neg) AS N FROM g),
+c AS (SELECT threshold, pos, neg,
+        SUM(pos) OVER (ORDER BY threshold DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cp,
+        SUM(neg) OVER (ORDER BY threshold DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cn,
+        LEAD(pos) OVER (ORDER BY threshold DESC) AS npos, LEAD(neg) OVER (ORDER BY threshold DESC) AS nneg,
+        ROW_NUMBER() OVER (ORDER BY threshold DESC) AS rn FROM g)
+SELECT CAST('infinity' AS DOUBLE) AS threshold, 0.0E0 AS fpr, 0.0E0 AS tpr
+UNION ALL
+SELECT threshold, {_div('cn', 'N')} AS fpr, {_div('cp', 'P')} AS tpr FROM c, t
+WHERE rn = 1 OR npos IS NULL OR npos <> pos OR nneg <> neg"""
+
+
+@register("e4_roc_curve", with_views(_roc_thin_sql("ev_latest"), *_EVAL_VIEWS))
+def e4_roc_curve(spark, sf_dir):
+    """scikit-learn's default curve: repeated steps thinned (``drop_intermediate``)."""
     return E.roc_points(eval_frame(spark, sf_dir))
 
 

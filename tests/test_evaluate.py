@@ -32,7 +32,7 @@ def test_metrics_and_auc_match_hand_computation(spark):
     assert m.recall == round(tp / (tp + fn), 4)
     assert m.f1 == round(2 * tp / (2 * tp + fp + fn), 4)
     assert E.auc(df).first().auc == round(trapezoid_auc(y, s), 4)
-    pts = E.roc_points(df).orderBy("fpr", "tpr").collect()
+    pts = E.roc_points(df, drop_intermediate=False).orderBy("fpr", "tpr").collect()
     assert (pts[0].fpr, pts[0].tpr) == (0.0, 0.0) and (pts[-1].fpr, pts[-1].tpr) == (1.0, 1.0)
     assert len(pts) == len(set(s)) + 1
 
@@ -86,3 +86,29 @@ def test_grouped_metrics_table_equals_per_model_operators(spark, small, monkeypa
         assert (got.accuracy, got.precision, got.recall, got.f1, got.auc) == (m.accuracy, m.precision, m.recall,
                                                                                m.f1, a)
     assert mt["d"].auc is None and mt["d"].accuracy == round(2 / 3, 4)
+
+
+def thinned_roc(y, s):
+    """Brute force: cumulative counts per distinct score, second differences, first/last kept."""
+    y, s = np.asarray(y), np.asarray(s)
+    ts = sorted(set(s), reverse=True)
+    tps = np.array([((s >= t) & (y == 1)).sum() for t in ts])
+    fps = np.array([((s >= t) & (y == 0)).sum() for t in ts])
+    keep = np.r_[True, np.logical_or(np.diff(fps, 2), np.diff(tps, 2)), True] if len(ts) > 2 else \
+        np.ones(len(ts), bool)
+    P, N = (y == 1).sum(), (y == 0).sum()
+    return [(0.0, 0.0)] + [(round(f / N, 12), round(t / P, 12)) for f, t in zip(fps[keep], tps[keep])]
+
+
+@pytest.mark.parametrize("small", [1_000_000, 0])
+def test_roc_drop_intermediate_matches_second_differences(spark, small, monkeypatch):
+    import riskspark.operators.ordered as O
+    monkeypatch.setattr(O.running_totals, "__defaults__", O.running_totals.__defaults__[:-1] + (small,))
+    rng = np.random.default_rng(3)
+    y = rng.integers(0, 2, 300)
+    s = np.round(rng.uniform(0, 1, 300), 2)          # many ties, many repeated steps
+    df = frame(spark, y, s)
+    got = sorted((round(r.fpr, 12), round(r.tpr, 12)) for r in E.roc_points(df).collect())
+    assert got == sorted(thinned_roc(y, s))
+    every = E.roc_points(df, drop_intermediate=False).count()
+    assert every == len(set(s)) + 1 > len(got)
