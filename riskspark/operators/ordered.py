@@ -8,8 +8,9 @@ order (exact median/quantiles, ROC prefix sums, rank dictionaries) use
 1. the caller compacts to one row per distinct order key (partial aggregation,
    so a hot value collapses map-side);
 2. ``repartitionByRange`` spreads those keys over N balanced, ordered partitions;
-3. per-partition totals (N rows per group -- a size bound we know) become offsets
-   with a tiny window, broadcast back by partition id;
+3. per-(partition, group) totals; only groups that cross a partition boundary
+   (at most N-1) need a non-zero offset, so the broadcast offsets table has at
+   most 2(N-1) rows however many groups there are;
 4. a window partitioned by partition id adds the local running sum.
 
 The range-partitioned compact frame is checkpointed (reliable, shared folder)
@@ -65,19 +66,35 @@ def running_totals(df: DataFrame, order_cols: Sequence[str], sum_cols: Sequence[
     if small:
         df.unpersist()   # the checkpoint now holds the data
     d = d.withColumn(PID, F.spark_partition_id())
+    # per (partition, group) totals: G + N rows, aggregated distributed (never broadcast)
     part = d.groupBy(PID, *group_cols).agg(*[F.sum(c).alias(f"_pt_{c}") for c in sum_cols])
+    if group_cols:
+        # Rows are range-sorted by (group, order), so a group can continue from an earlier
+        # partition only as a partition's first group, and only from the last group of the
+        # nearest non-empty earlier partition. Those "split" groups -- at most N-1 -- are
+        # the only ones with a non-zero offset; all others start at 0 in their partition.
+        g = F.struct(*group_cols)
+        ends = part.groupBy(PID).agg(F.min(g).alias("_first"), F.max(g).alias("_last"))   # N rows
+        prev_last = F.lag("_last").over(Window.orderBy(PID))                             # N-row window
+        split = ends.select(F.col("_first").alias("_g"), prev_last.alias("_p")) \
+            .where(F.col("_g").eqNullSafe(F.col("_p"))).select("_g").distinct()
+        part = part.join(F.broadcast(split), g.eqNullSafe(F.col("_g")), "left_semi")   # <= 2(N-1) rows
     w_off = Window.partitionBy(*group_cols).orderBy(PID).rowsBetween(Window.unboundedPreceding, -1)
     offsets = part.select(
-        PID, *group_cols,
+        F.col(PID).alias("_o_pid"), *[F.col(c).alias(f"_o_{c}") for c in group_cols],
         *[F.coalesce(F.sum(f"_pt_{c}").over(w_off), F.lit(0)).alias(f"_off_{c}") for c in sum_cols],
     )
-    # offsets has at most N rows per group: broadcasting it is bounded by construction.
-    joined = d.join(F.broadcast(offsets), [PID, *group_cols])
+    # offsets hold at most 2(N-1) rows (N without groups): bounded by the partition count
+    on = F.col(PID) == F.col("_o_pid")
+    for c in group_cols:
+        on = on & F.col(c).eqNullSafe(F.col(f"_o_{c}"))
+    joined = d.join(F.broadcast(offsets), on, "left")
     w_run = (Window.partitionBy(PID, *group_cols).orderBy(*order)
              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return joined.select(
         *df.columns,
-        *[(F.col(f"_off_{c}") + F.sum(c).over(w_run)).alias(f"{c}{suffix}") for c in sum_cols],
+        *[(F.coalesce(F.col(f"_off_{c}"), F.lit(0)) + F.sum(c).over(w_run)).alias(f"{c}{suffix}")
+          for c in sum_cols],
     )
 
 

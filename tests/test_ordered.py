@@ -55,3 +55,20 @@ def test_dense_codes(spark):
     for small in (0, 100):
         assert sorted((r.v, r.code) for r in dense_codes(df, "v", num_partitions=2, small=small).collect()) == [
             ("a", 0), ("b", 1), ("c", 2)]
+
+
+def test_running_totals_many_groups_and_a_hot_group(spark):
+    # 60 small groups plus one group holding a third of the rows, over 9 range partitions:
+    # only boundary-crossing groups carry offsets; every cumulative sum must still be exact
+    rng = np.random.default_rng(11)
+    g = np.r_[rng.integers(1, 61, 2000), np.zeros(1000, dtype=int)]
+    k = rng.permutation(len(g))
+    v = rng.integers(0, 5, len(g))
+    df = spark.createDataFrame([(int(a), int(b), int(c)) for a, b, c in zip(g, k, v)], "g int, k int, v int")
+    got = {(r.g, r.k): r.v_cum for r in running_totals(df, ["k"], ["v"], group_cols=["g"], num_partitions=9,
+                                                       small=0).collect()}
+    for grp in np.unique(g):
+        idx = np.where(g == grp)[0]
+        order = idx[np.argsort(k[idx])]
+        for i, c in zip(order, np.cumsum(v[order])):
+            assert got[(int(grp), int(k[i]))] == c
