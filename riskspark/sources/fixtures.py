@@ -31,7 +31,9 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def student_key(col) -> F.Column:
-    return F.concat(F.lit("STU"), F.lpad(col.cast("string"), 6, "0"))
+    """``STU`` + the key zero-padded to at least 6 digits (never truncated: ``lpad`` would
+    cut longer keys and merge distinct customers once keys pass 999,999)."""
+    return F.format_string("STU%06d", col.cast("long"))
 
 
 def line_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,7 +151,7 @@ li AS (
   FROM orders o JOIN lineitem l ON l.l_orderkey = o.o_orderkey GROUP BY o.o_custkey),
 student_base AS (
   SELECT c.c_custkey AS row_ordinal,
-    CONCAT('STU', LPAD(CAST(c.c_custkey AS VARCHAR), 6, '0')) AS student_id, c.c_name AS name,
+    printf('STU%06d', CAST(c.c_custkey AS BIGINT)) AS student_id, c.c_name AS name,
     CASE WHEN c.c_custkey % 17 = 0 THEN NULL WHEN c.c_custkey % 3 = 0 THEN 'Male' WHEN c.c_custkey % 3 = 1 THEN 'Female' ELSE 'Other' END AS gender,
     CASE WHEN c.c_custkey % 23 = 0 THEN NULL WHEN c.c_custkey % 50 = 1 THEN 45 ELSE CAST(18 + c.c_custkey % 7 AS INTEGER) END AS age,
     CASE WHEN c.c_custkey % 29 = 0 THEN NULL ELSE n.n_name END AS department,
@@ -172,7 +174,7 @@ students AS (
 
 PREDICTIONS_SQL = """
 predictions AS (
-  SELECT event_id AS id, CONCAT('STU', LPAD(CAST(user_id AS VARCHAR), 6, '0')) AS student_id, ts AS predicted_at,
+  SELECT event_id AS id, printf('STU%06d', CAST(user_id AS BIGINT)) AS student_id, ts AS predicted_at,
     ROUND(value / (value + 50), 4) AS fail_probability, ROUND(100 * (value / (value + 50)), 2) AS risk_score,
     CASE WHEN value / (value + 50) >= 0.70 THEN 'High Risk' WHEN value / (value + 50) >= 0.40 THEN 'Medium Risk'
          ELSE 'Low Risk' END AS risk_level,

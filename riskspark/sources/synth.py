@@ -64,7 +64,7 @@ def synthetic_students(keys: DataFrame, key: str, seed: int = cfg.RANDOM_STATE)
     pick = lambda arr, n, s: F.element_at(arr, (F.floor(uniform(k, s, seed) * n) + 1).cast("int"))
     base = keys.select(
         k.alias("_k"),
-        F.concat(F.lit("STU"), F.lpad(k.cast("string"), 4, "0")).alias("student_id"),
+        F.format_string("STU%04d", k.cast("long")).alias("student_id"),   # at least 4 digits, never cut
         F.concat(F.lit("Student "), k.cast("string")).alias("name"),
         pick(genders, len(cfg.GENDERS), 4).alias("gender"),
         (F.lit(AGE_RANGE[0]) + F.floor(uniform(k, 5, seed) * (AGE_RANGE[1] - AGE_RANGE[0] + 1))).cast("int").alias("age"),

@@ -76,3 +76,15 @@ def test_snapshot_never_overwrites(spark):
     assert spark.read.parquet(p).count() == 3
     with pytest.raises(Exception):
         A.commit_snapshot(df, p)
+
+
+def test_student_ids_never_truncated(spark):
+    from pyspark.sql import functions as F
+
+    from riskspark.sources import synth
+    from riskspark.sources.fixtures import student_key
+    got = [r[0] for r in spark.createDataFrame([(42,), (1234567,)], "k long").select(student_key(F.col("k"))).collect()]
+    assert got == ["STU000042", "STU1234567"]
+    keys = spark.range(9998, 10003).select(F.col("id").alias("k"))
+    ids = [r.student_id for r in synth.synthetic_students(keys, "k").collect()]
+    assert sorted(ids) == ["STU10000", "STU10001", "STU10002", "STU9998", "STU9999"]
