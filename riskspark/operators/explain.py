@@ -177,6 +177,11 @@ def tree_attributions(model, df: DataFrame, features=cfg.MODEL_FEATURES, key: st
     shared = spark.sparkContext.broadcast((trees, weights))
     prep = PipelineModel(stages=model.stages[:-1]).transform(df).select(
         F.col(key), vector_to_array("features").alias("_x"))
+    # TreeSHAP is CPU-bound per row: give it at least one partition per core (a small
+    # input may arrive in one or two partitions; a large one keeps its own partitioning)
+    cores = spark.sparkContext.defaultParallelism
+    if prep.rdd.getNumPartitions() < cores:
+        prep = prep.repartition(cores)
     key_type = prep.schema[key].dataType.simpleString()
     names = list(features)
 

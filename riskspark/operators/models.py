@@ -160,7 +160,12 @@ def prepare_training(featured: DataFrame, params: TrainParams = TrainParams()) -
     df = drop_incomplete(select_features(featured, params.features, keep=[params.key, params.label])
                          .select(*cols), params.features + [params.label])
     df = df.withColumn(params.label, F.col(params.label).cast("double"))
-    return stratified_split(df, params).checkpoint(eager=True).cache()
+    split = stratified_split(df, params)
+    # The split's ranks come from windows partitioned by class (2 groups) or from range
+    # partitions, so the result may sit in a few skewed partitions. Every fit, CV fold and
+    # scoring pass reads this frame: rebalance it before the lineage cut, letting AQE size
+    # the partitions (advisory bytes): one for a small frame, evenly sized ones at scale.
+    return split.hint("rebalance").checkpoint(eager=True).cache()
 
 
 def _fit(name, params, data, n_rows):
