@@ -4,8 +4,10 @@ The published algorithm walks one tree for one row, descending into the "hot"
 child (where the row goes) with one-fraction 1 and the "cold" child with 0.
 Here the walk is done once per tree for a whole Arrow batch: every node is
 visited once, and the one-fractions and path weights are arrays over the
-batch's rows (1 where the row would take that branch). This is the per-batch
-body of a ``mapInPandas``; Spark distributes the batches.
+batch's rows (1 where the row would take that branch). EXTEND is one closed-form
+array expression over the whole path; UNWIND at a leaf only accumulates the
+weight sum it needs. This is the per-batch body of a ``mapInPandas``; Spark
+distributes the batches.
 
 Trees are plain NumPy node arrays: ``left``, ``right`` (-1 at leaves),
 ``feature``, ``threshold`` (row goes left when ``x <= threshold``), ``value``
@@ -23,38 +25,61 @@ def expected_value(tree: dict) -> float:
     return float(np.sum(tree["value"][leaves] * tree["cover"][leaves]) / tree["cover"][0])
 
 
+# A path is (features, zero fractions z (L,), one fractions o (L, rows), weights w (L, rows)).
+
+def _empty_path(n: int):
+    return [], np.zeros(0), np.zeros((0, n)), np.zeros((0, n))
+
+
 def _extend(path, z, o, feature):
-    """EXTEND: grow the path by one (feature, zero-fraction z, one-fraction o) element."""
-    feats, zs, os_, ws = path
-    depth = len(ws)
-    n = o.shape[0]
-    ws = [w.copy() for w in ws] + [np.ones(n) if depth == 0 else np.zeros(n)]
-    for i in range(depth - 1, -1, -1):
-        ws[i + 1] = ws[i + 1] + o * ws[i] * (i + 1) / (depth + 1)
-        ws[i] = z * ws[i] * (depth - i) / (depth + 1)
-    return feats + [feature], zs + [z], os_ + [o], ws
+    """EXTEND in closed form: new_w[m] = z w[m] (L-m)/(L+1) + o w[m-1] m/(L+1) (no loop)."""
+    feats, zs, os_, w = path
+    L, n = w.shape[0], o.shape[0]
+    new = np.zeros((L + 1, n))
+    if L == 0:
+        new[0] = 1.0
+    else:
+        m = np.arange(L)
+        new[:L] = z * w * ((L - m) / (L + 1))[:, None]
+        new[1:] += o * w * ((m + 1) / (L + 1))[:, None]
+    return feats + [feature], np.append(zs, z), np.vstack([os_, o[None, :]]), new
 
 
 def _unwind(path, k):
     """UNWIND: remove element k, undoing its contribution to the path weights."""
-    feats, zs, os_, ws = path
-    depth = len(ws) - 1
+    feats, zs, os_, w = path
+    d = w.shape[0] - 1
     z, o = zs[k], os_[k]
-    nxt = ws[depth].copy()
-    new_ws = [w.copy() for w in ws[:depth]]
     nonzero = o != 0
     safe_o = np.where(nonzero, o, 1.0)
-    for j in range(depth - 1, -1, -1):
-        if_one = nxt * (depth + 1) / ((j + 1) * safe_o)
-        if_zero = new_ws[j] * (depth + 1) / (z * (depth - j)) if z != 0 else np.zeros_like(nxt)
-        tmp = new_ws[j]
-        new_ws[j] = np.where(nonzero, if_one, if_zero)
-        nxt = np.where(nonzero, tmp - new_ws[j] * z * (depth - j) / (depth + 1), nxt)
-    return (feats[:k] + feats[k + 1:], zs[:k] + zs[k + 1:], os_[:k] + os_[k + 1:], new_ws)
-
-
-def _unwound_sum(path, k):
-    return np.sum(_unwind(path, k)[3], axis=0)
+    nxt = w[d].copy()
+    new = np.empty((d, w.shape[1]))
+    for j in range(d - 1, -1, -1):
+        if_one = nxt * (d + 1) / ((j + 1) * safe_o)
+        if_zero = w[j] * (d + 1) / (z * (d - j)) if z != 0 else np.zeros_like(nxt)
+        new[j] = np.where(nonzero, if_one, if_zero)
+        nxt = np.where(nonzero, w[j] - new[j] * z * (d - j) / (d + 1), nxt)
+    keep = [i for i in range(d + 1) if i != k]
+    return [feats[i] for i in keep], zs[keep], os_[keep], new
+
+
+def _unwound_sum(path, k) -> np.ndarray:
+    """Sum of the weights left after unwinding element k (UNWIND without rebuilding the path).
+
+    One-fractions are 0/1 here (products of branch indicators), so the "one" branch
+    needs no division by o.
+    """
+    feats, zs, os_, w = path
+    d = w.shape[0] - 1
+    z, hot = zs[k], os_[k] != 0
+    nxt = w[d].copy()
+    total = np.zeros_like(nxt)
+    for j in range(d - 1, -1, -1):
+        if_one = nxt * ((d + 1) / (j + 1))
+        wj = np.where(hot, if_one, w[j] * ((d + 1) / (z * (d - j)))) if z != 0 else np.where(hot, if_one, 0.0)
+        total += wj
+        nxt = np.where(hot, w[j] - wj * (z * (d - j) / (d + 1)), nxt)
+    return total
 
 
 def tree_shap(tree: dict, X: np.ndarray) -> np.ndarray:
@@ -66,24 +91,23 @@ def tree_shap(tree: dict, X: np.ndarray) -> np.ndarray:
 
     def recurse(node, path, z, o, feature):
         path = _extend(path, z, o, feature)
+        feats, zs, os_, _ = path
         if left[node] < 0:
-            feats, zs, os_, _ = path
-            for k in range(1, len(feats)):
-                w = _unwound_sum(path, k)
-                phi[:, feats[k]] += w * (os_[k] - zs[k]) * value[node]
+            if len(feats) > 1:
+                for k in range(1, len(feats)):
+                    phi[:, feats[k]] += _unwound_sum(path, k) * (os_[k] - zs[k]) * value[node]
             return
         f = int(feat[node])
         goes_left = (X[:, f] <= thr[node]).astype(float)
         iz, io = 1.0, np.ones(n)
-        feats = path[0]
         if f in feats[1:]:
             k = feats.index(f, 1)
-            iz, io = path[1][k], path[2][k]
+            iz, io = zs[k], os_[k].copy()
             path = _unwind(path, k)
         for child, direction in ((left[node], goes_left), (right[node], 1.0 - goes_left)):
             recurse(child, path, iz * cover[child] / cover[node], io * direction, f)
 
-    recurse(0, ([], [], [], []), 1.0, np.ones(n), -1)
+    recurse(0, _empty_path(n), 1.0, np.ones(n), -1)
     return phi
 
 

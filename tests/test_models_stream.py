@@ -142,3 +142,65 @@ def test_treeshap_matches_brute_force_shapley():
                     wgt = m.factorial(k) * m.factorial(3 - k - 1) / m.factorial(3)
                     want += wgt * (cond_exp(x, set(s) | {i}) - cond_exp(x, set(s)))
             assert phi[row, i] == pytest.approx(want, abs=1e-12)
+
+
+def test_treeshap_random_trees_match_brute_force():
+    import itertools
+    import math as m
+
+    import numpy as np
+
+    from riskspark.operators.treeshap import ensemble_shap, expected_value, predict, tree_shap
+
+    rng = np.random.default_rng(5)
+
+    def random_tree(depth, n_feat):
+        left, right, feat, thr, val, cov = [], [], [], [], [], []
+
+        def node(d, c):
+            i = len(left)
+            for a in (left, right, feat, thr, val, cov):
+                a.append(0)
+            cov[i] = c
+            if d == depth or rng.uniform() < 0.2:
+                left[i], right[i], val[i] = -1, -1, float(rng.normal())
+                return i
+            feat[i], thr[i] = int(rng.integers(0, n_feat)), float(rng.uniform())   # repeats likely
+            share = float(rng.uniform(0.2, 0.8))
+            left[i] = node(d + 1, c * share)
+            right[i] = node(d + 1, c * (1 - share))
+            return i
+
+        node(0, 100.0)
+        return {"left": np.array(left), "right": np.array(right), "feature": np.array(feat),
+                "threshold": np.array(thr), "value": np.array(val), "cover": np.array(cov)}
+
+    def cond_exp(t, x, known):
+        def go(i):
+            if t["left"][i] < 0:
+                return t["value"][i]
+            f = t["feature"][i]
+            if f in known:
+                return go(t["left"][i] if x[f] <= t["threshold"][i] else t["right"][i])
+            a, b = t["left"][i], t["right"][i]
+            return (t["cover"][a] * go(a) + t["cover"][b] * go(b)) / t["cover"][i]
+        return go(0)
+
+    F_ = 4
+    X = rng.uniform(size=(6, F_))
+    for _ in range(6):
+        t = random_tree(5, F_)
+        phi = tree_shap(t, X)
+        for row, x in enumerate(X):
+            for i in range(F_):
+                others = [j for j in range(F_) if j != i]
+                want = 0.0
+                for k in range(F_):
+                    for s in itertools.combinations(others, k):
+                        wgt = m.factorial(k) * m.factorial(F_ - k - 1) / m.factorial(F_)
+                        want += wgt * (cond_exp(t, x, set(s) | {i}) - cond_exp(t, x, set(s)))
+                assert phi[row, i] == pytest.approx(want, abs=1e-10)
+        # local accuracy: base + sum = output
+        phi_e, base = ensemble_shap([t], [1.0], X)
+        assert np.allclose(base + phi_e.sum(axis=1), predict([t], [1.0], X), atol=1e-10)
+        assert base == pytest.approx(expected_value(t))
