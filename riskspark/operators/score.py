@@ -21,6 +21,16 @@ def predicted_result(fail_prob, pass_prob) -> F.Column:
     return F.when(pass_prob > fail_prob, "Pass").otherwise("Fail")
 
 
+def with_record_identity(df: DataFrame, key: str = cfg.ID_COLUMN, name: str = "name") -> DataFrame:
+    """records without an id or name column report ``UNKNOWN`` / ``Unknown``.
+
+    Only an absent column takes the default; a NULL value stays NULL (a missing key
+    versus a key holding None, as in the reference's record lookup).
+    """
+    defaults = {c: F.lit(v) for c, v in ((key, cfg.UNKNOWN_ID), (name, cfg.UNKNOWN_NAME)) if c not in df.columns}
+    return df.withColumns(defaults) if defaults else df
+
+
 def attach_risk(df: DataFrame, fail_col: str = "p_fail", pass_col: str | None = None,
                 params: cfg.RiskParams = cfg.RiskParams(), drop_inputs: bool = True) -> DataFrame:
     """The six scoring columns from class probabilities (pass = 1 - fail when absent)."""

@@ -21,13 +21,13 @@ from .. import config as cfg
 from ..operators.clean import clean_single
 from ..operators.features import add_features
 from ..operators.recommend import recommendation_array
-from ..operators.score import attach_risk
+from ..operators.score import attach_risk, with_record_identity
 from ..session import scratch_path
 
 
 def scoring_transform(records: DataFrame, model=None, features=cfg.MODEL_FEATURES) -> DataFrame:
     """The per-record plan (works on batch and streaming frames alike)."""
-    df = add_features(clean_single(records))
+    df = add_features(with_record_identity(clean_single(records)))
     if model is None:
         return df.withColumn("recommendations", recommendation_array(df, "risk_level"))
     df = df.withColumns({c: (F.col(c).cast("double") if c in df.columns else F.lit(0.0)) for c in features})

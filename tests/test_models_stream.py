@@ -204,3 +204,11 @@ def test_treeshap_random_trees_match_brute_force():
         phi_e, base = ensemble_shap([t], [1.0], X)
         assert np.allclose(base + phi_e.sum(axis=1), predict([t], [1.0], X), atol=1e-10)
         assert base == pytest.approx(expected_value(t))
+
+
+def test_record_without_id_or_name_reports_unknown(spark, trained):
+    rec = spark.createDataFrame([student_row("X", **WEAK)], STUDENT_COLS).drop("student_id", "name")
+    out = scoring_transform(rec, trained.models[trained.best_name]).first()
+    assert (out.student_id, out.name) == ("UNKNOWN", "Unknown")
+    kept = spark.createDataFrame([student_row(None, **WEAK)], STUDENT_COLS)
+    assert scoring_transform(kept).first().student_id is None   # a NULL id is not replaced
