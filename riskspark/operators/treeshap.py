@@ -4,10 +4,12 @@ The published algorithm walks one tree for one row, descending into the "hot"
 child (where the row goes) with one-fraction 1 and the "cold" child with 0.
 Here the walk is done once per tree for a whole Arrow batch: every node is
 visited once, and the one-fractions and path weights are arrays over the
-batch's rows (1 where the row would take that branch). EXTEND is one closed-form
-array expression over the whole path; UNWIND at a leaf only accumulates the
-weight sum it needs. This is the per-batch body of a ``mapInPandas``; Spark
-distributes the batches.
+batch's rows (1 where the row would take that branch). Rows that took the same
+branches share their path state, so the arrays are kept per distinct branch
+pattern and mapped back to rows at the leaves. EXTEND is one closed-form array
+expression over the whole path; UNWIND at a leaf only accumulates the weight sum
+it needs. This is the per-batch body of a ``mapInPandas``; Spark distributes the
+batches.
 
 Trees are plain NumPy node arrays: ``left``, ``right`` (-1 at leaves),
 ``feature``, ``threshold`` (row goes left when ``x <= threshold``), ``value``
@@ -83,31 +85,46 @@ def _unwound_sum(path, k) -> np.ndarray:
 
 
 def tree_shap(tree: dict, X: np.ndarray) -> np.ndarray:
-    """Shapley values (rows x features) of one tree's output for the rows of ``X``."""
+    """Shapley values (rows x features) of one tree's output for the rows of ``X``.
+
+    One-fractions are 0/1, so rows that took the same branches so far share the same
+    path state. The walk therefore keeps path arrays per distinct branch pattern
+    (at most min(rows, 2^depth) columns) plus ``rid``, each row's pattern index; per
+    node the rows cost only integer work.
+    """
     n, n_features = X.shape
     phi = np.zeros((n, n_features))
     left, right, feat, thr = tree["left"], tree["right"], tree["feature"], tree["threshold"]
     value, cover = tree["value"], tree["cover"]
 
-    def recurse(node, path, z, o, feature):
+    def recurse(node, path, rid, z, o, feature):
         path = _extend(path, z, o, feature)
-        feats, zs, os_, _ = path
+        feats, zs, os_, w = path
         if left[node] < 0:
-            if len(feats) > 1:
-                for k in range(1, len(feats)):
-                    phi[:, feats[k]] += _unwound_sum(path, k) * (os_[k] - zs[k]) * value[node]
+            for k in range(1, len(feats)):
+                per_pattern = _unwound_sum(path, k) * (os_[k] - zs[k]) * value[node]
+                phi[:, feats[k]] += per_pattern[rid]
             return
         f = int(feat[node])
-        goes_left = (X[:, f] <= thr[node]).astype(float)
-        iz, io = 1.0, np.ones(n)
+        goes_left = X[:, f] <= thr[node]
+        u = w.shape[1]
+        iz, io = 1.0, np.ones(u)
         if f in feats[1:]:
             k = feats.index(f, 1)
             iz, io = zs[k], os_[k].copy()
             path = _unwind(path, k)
-        for child, direction in ((left[node], goes_left), (right[node], 1.0 - goes_left)):
-            recurse(child, path, iz * cover[child] / cover[node], io * direction, f)
-
-    recurse(0, _empty_path(n), 1.0, np.ones(n), -1)
+        for child, direction in ((left[node], goes_left), (right[node], ~goes_left)):
+            code = rid * 2 + direction                 # (pattern so far, takes this branch)
+            present = np.zeros(2 * u, dtype=bool)
+            present[code] = True
+            codes = np.flatnonzero(present)
+            new_id = np.cumsum(present) - 1
+            parent = codes // 2
+            child_path = (path[0], path[1], path[2][:, parent], path[3][:, parent])
+            recurse(child, child_path, new_id[code], iz * cover[child] / cover[node],
+                    io[parent] * (codes % 2), f)
+
+    recurse(0, _empty_path(1), np.zeros(n, dtype=np.int64), 1.0, np.ones(1), -1)
     return phi
 
 
