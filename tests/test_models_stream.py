@@ -212,3 +212,23 @@ def test_record_without_id_or_name_reports_unknown(spark, trained):
     assert (out.student_id, out.name) == ("UNKNOWN", "Unknown")
     kept = spark.createDataFrame([student_row(None, **WEAK)], STUDENT_COLS)
     assert scoring_transform(kept).first().student_id is None   # a NULL id is not replaced
+
+
+def test_training_frame_is_rebalanced_not_left_in_class_partitions(spark):
+    # A frame that is large relative to AQE's advisory size must come out in several
+    # partitions (its ranks come from windows over 2 classes, which leave 1-2 partitions).
+    keys = ("spark.sql.adaptive.advisoryPartitionSizeInBytes",
+            "spark.sql.adaptive.coalescePartitions.minPartitionSize")
+    old = {k: spark.conf.get(k, None) for k in keys}
+    try:
+        spark.conf.set(keys[0], "8k")
+        spark.conf.set(keys[1], "4k")
+        data = D.prepare_training(common.featured(spark, SF_SMALL), D.TrainParams())
+        sizes = [r["count"] for r in data.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+        assert len(sizes) > 2 and sum(sizes) == data.count()
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
