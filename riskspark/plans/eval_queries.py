@@ -39,7 +39,7 @@ def register(name, sql=None):
 # -- evaluation frames --------------------------------------------------------
 
 def labelled_students(spark, sf_dir):
-    d = encode_target(dedup_first(common.students(spark, sf_dir)))
+    d = encode_target(common.first_students(spark, sf_dir, ["result", "attendance_percentage"]))
     return d.select("student_id", F.col("result").alias("label"), "attendance_percentage")
 
 

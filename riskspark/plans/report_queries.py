@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import analytics as I
-from ..operators.clean import dedup_first
 from . import common
 from .sqlparts import DEDUP_SQL, LATEST_ONE_SQL, PREDICTIONS_SQL, STUDENTS_SQL, r, strip, cap, with_views
 
@@ -33,7 +32,7 @@ _SCORED_VIEWS = (STUDENTS_SQL, PREDICTIONS_SQL, DEDUP_SQL, LATEST_ONE_SQL, SCORE
 
 def scored(spark, sf_dir):
     """Each student (first copy) with the latest prediction: the dashboards' scored table."""
-    d = dedup_first(common.students(spark, sf_dir))
+    d = common.first_students(spark, sf_dir, ["name", "department", "attendance_percentage", "midterm_marks"])
     keep = ["student_id", "predicted_at", "id", "risk_level", "risk_score", "predicted_result", "confidence",
             "fail_probability", "pass_probability"]
     latest = I.latest_one(common.predictions(spark, sf_dir).select(*keep))
@@ -68,7 +67,7 @@ SELECT CAST(COUNT(*) AS BIGINT) AS total_students,
        CAST(SUM(CASE WHEN {cap(strip('result'))} = 'Fail' THEN 1 ELSE 0 END) AS BIGINT) AS fail_count
 FROM dedup""", STUDENTS_SQL, DEDUP_SQL))
 def i3_dashboard_stats(spark, sf_dir):
-    return I.dashboard_stats(dedup_first(common.students(spark, sf_dir)))
+    return I.dashboard_stats(common.first_students(spark, sf_dir, ["attendance_percentage", "result"]))
 
 
 @register("i4_high_risk_ever", with_views("""
