@@ -30,13 +30,20 @@ scored AS (
 _SCORED_VIEWS = (STUDENTS_SQL, PREDICTIONS_SQL, DEDUP_SQL, LATEST_ONE_SQL, SCORED_SQL)
 
 
-def scored(spark, sf_dir):
-    """Each student (first copy) with the latest prediction: the dashboards' scored table."""
-    d = common.first_students(spark, sf_dir, ["name", "department", "attendance_percentage", "midterm_marks"])
+SCORED_STUDENT_COLS = ("name", "department", "attendance_percentage", "midterm_marks")
+
+
+def scored(spark, sf_dir, student_cols=SCORED_STUDENT_COLS):
+    """Each student (first copy) with the latest prediction: the dashboards' scored table.
+
+    ``student_cols`` narrows the student side to what a query reads; without
+    ``midterm_marks`` the line-item tables are not scanned at all.
+    """
+    d = common.first_students(spark, sf_dir, list(student_cols))
     keep = ["student_id", "predicted_at", "id", "risk_level", "risk_score", "predicted_result", "confidence",
             "fail_probability", "pass_probability"]
     latest = I.latest_one(common.predictions(spark, sf_dir).select(*keep))
-    return d.select("student_id", "name", "department", "attendance_percentage", "midterm_marks").join(
+    return d.select("student_id", *student_cols).join(
         latest.select("student_id", "risk_level", "risk_score", "predicted_result", "confidence",
                       "fail_probability", "pass_probability"), "student_id")
 
@@ -99,7 +106,7 @@ SELECT CAST(COUNT(*) AS BIGINT) AS total_students,
        {r("AVG(CASE WHEN predicted_result = 'Pass' THEN 1 ELSE 0 END) * 100", 2)} AS pass_rate_pct
 FROM scored""", *_SCORED_VIEWS))
 def i7_kpi_row(spark, sf_dir):
-    return I.kpi_row(scored(spark, sf_dir))
+    return I.kpi_row(scored(spark, sf_dir, ["attendance_percentage"]))
 
 
 @register("i8_attendance_histogram", with_views("""
@@ -111,7 +118,7 @@ SELECT g.bin, 0.0E0 + g.bin * 5.0E0 AS bin_start, 0.0E0 + (g.bin + 1) * 5.0E0 AS
        CAST(COALESCE(c.n, 0) AS BIGINT) AS count
 FROM grid g LEFT JOIN counts c ON c.bin = g.bin""", *_SCORED_VIEWS))
 def i8_attendance_histogram(spark, sf_dir):
-    return I.attendance_histogram(scored(spark, sf_dir))
+    return I.attendance_histogram(scored(spark, sf_dir, ["attendance_percentage"]))
 
 
 @register("i8_below_threshold", with_views("""
@@ -119,13 +126,13 @@ SELECT CAST(COUNT(*) FILTER (WHERE attendance_percentage < 75) AS BIGINT) AS bel
        CAST(COUNT(*) FILTER (WHERE attendance_percentage IS NOT NULL) AS BIGINT) AS with_attendance
 FROM scored""", *_SCORED_VIEWS))
 def i8_below_threshold(spark, sf_dir):
-    return I.below_threshold(scored(spark, sf_dir))
+    return I.below_threshold(scored(spark, sf_dir, ["attendance_percentage"]))
 
 
 @register("i9_risk_distribution", with_views(
     "SELECT risk_level, CAST(COUNT(*) AS BIGINT) AS count FROM scored GROUP BY risk_level", *_SCORED_VIEWS))
 def i9_risk_distribution(spark, sf_dir):
-    return I.risk_distribution(scored(spark, sf_dir))
+    return I.risk_distribution(scored(spark, sf_dir, []))
 
 
 @register("i10_attendance_midterm_points", with_views(
@@ -148,7 +155,7 @@ SELECT department, {r("AVG(CASE WHEN predicted_result = 'Pass' THEN 1 ELSE 0 END
        array_to_string(list_slice(regexp_split_to_array({strip('department')}, '\\s+'), 1, 2), ' ') AS short_name
 FROM scored GROUP BY department""", *_SCORED_VIEWS))
 def i11_department_pass_rate(spark, sf_dir):
-    return I.department_pass_rate(scored(spark, sf_dir))
+    return I.department_pass_rate(scored(spark, sf_dir, ["department"]))
 
 
 @register("i12_high_risk_table", with_views("""
