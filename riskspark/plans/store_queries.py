@@ -198,7 +198,7 @@ def a10_conform_students(spark, sf_dir):
 SELECT student_id, predicted_result, risk_level, risk_score FROM scored ORDER BY student_id LIMIT 20""",
     STUDENTS_SQL, PREDICTIONS_SQL, DEDUP_SQL, LATEST_ONE_SQL, SCORED_SQL))
 def a16_batch_preview(spark, sf_dir):
-    return scored(spark, sf_dir).select("student_id", "predicted_result", "risk_level", "risk_score") \
+    return scored(spark, sf_dir, []).select("student_id", "predicted_result", "risk_level", "risk_score") \
         .orderBy("student_id").limit(cfg.PREVIEW_ROWS)
 
 
