@@ -144,7 +144,7 @@ FROM predictions p LEFT JOIN key_map k ON k.old_key = p.student_id""",
 def a9_cascade_rename(spark, sf_dir):
     """Students with a known department are re-keyed to ``DEP-<id>``; the whole prediction
     history follows through the key map (one row per old key), other keys stay."""
-    first = dedup_first(common.students(spark, sf_dir)).where(F.col("department").isNotNull())
+    first = common.first_students(spark, sf_dir, ["department"]).where(F.col("department").isNotNull())
     key_map = first.select(F.col("student_id").alias("old_key"),
                            F.concat(F.upper(F.substring("department", 1, 3)), F.lit("-"),
                                     F.col("student_id")).alias("new_key"))
