@@ -58,8 +58,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, masks=MASKS, window: int = WIND
              .withColumn("mask", F.size(F.filter("before", lambda b: b <= F.col("at"))) - 1))
     # masks without seeds repeat an offset; the last mask of equal offsets is the one that has them
     seeds = seeds.select("seed", "item_id", "mask", (F.col("at") - F.get("before", F.col("mask"))).alias("item_at"))
-    found = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), _tokens(F.col("text").cast("string")).alias("h"))
-             .filter("doc_id is not null and h is not null").withColumn("n", F.size("h")))
+    found = (docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), _tokens(F.col("text").cast("string")).alias("h"))
+             .withColumn("n", F.size("h")))
     place = lambda n: (F.col("at") - F.get(_before(n, masks), F.col("mask")) - F.col("item_at")).alias("diagonal")
     if seeds.count() * SEED_BYTES <= broadcast_bytes:
         hits = (found.select("doc_id", "h", "n", F.posexplode(_seeds(F.col("h"), F.col("n"), masks)).alias("at", "seed"))
@@ -69,11 +69,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, masks=MASKS, window: int = WIND
         at = (found.select("doc_id", "n", F.posexplode(_seeds(F.col("h"), F.col("n"), masks)).alias("at", "seed"))
               .join(seeds, "seed").select("doc_id", "item_id", place(F.col("n"))).distinct())
         hits = at.join(found.select("doc_id", "h"), "doc_id").join(items, "item_id")
-    equal = F.transform("item", lambda t, j: F.when(F.get(F.col("h"), F.col("diagonal") + j) == t, 1).otherwise(0))
+    same = lambda j: F.get(F.col("h"), F.col("diagonal") + j) == F.get(F.col("item"), j)
+    equal = lambda start, n: F.size(F.filter(F.sequence(start, start + n - 1), same))
     wide = F.least(F.col("m"), F.lit(window))
-    best = F.array_max(F.transform(F.sequence(F.lit(0), F.col("m") - wide), lambda i: F.aggregate(F.slice("equal", i + 1, wide), F.lit(0), lambda a, b: a + b)))
-    return (hits.withColumn("equal", equal).filter(best >= F.ceil(wide * similarity))
-            .select("doc_id", "item_id", "diagonal", "m", F.aggregate("equal", F.lit(0), lambda a, b: a + b).alias("equal"))
+    close = F.exists(F.sequence(F.lit(0), F.col("m") - wide), lambda i: equal(i, wide) >= F.ceil(wide * similarity))
+    return (hits.filter(close).select("doc_id", "item_id", "diagonal", "m", equal(F.lit(0), F.col("m")).alias("equal"))
             .groupBy("doc_id", "item_id").agg(F.min("diagonal").alias("doc_token"), F.max("m").alias("item_tokens"), F.max("equal").alias("equal_tokens")))
 
 

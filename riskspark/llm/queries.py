@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from riskspark.llm import decontaminate, line_dedup, passage_dedup
+from riskspark.llm import decontaminate, line_dedup, near_dedup, passage_dedup
 from riskspark.llm.common import table
 
 
+def op1_near_dedup(spark, sf_dir):
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op2_substring_dedup(spark, sf_dir):
     return passage_dedup.removed_units(table(spark, sf_dir, "documents"))
 
@@ -19,11 +23,13 @@ def op9_line_dedup(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_near_dedup": op1_near_dedup,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_decontamination": op3_decontamination,
     "op9_line_dedup": op9_line_dedup,
 }
 ORACLE = {
+    "op1_near_dedup": near_dedup.SQL,
     "op3_decontamination": decontaminate.oracle(),
     "op9_line_dedup": line_dedup.SQL,
 }
