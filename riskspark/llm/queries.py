@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from riskspark.llm import decontaminate, line_dedup, near_dedup, passage_dedup
+from riskspark.llm import decontaminate, line_dedup, near_dedup, passage_dedup, quality, toxicity
 from riskspark.llm.common import table
 
 
@@ -18,15 +18,25 @@ def op3_decontamination(spark, sf_dir):
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_quality_classifier(spark, sf_dir):
+    return quality.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_line_dedup(spark, sf_dir):
     return line_dedup.query(table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark, sf_dir):
+    return toxicity.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_decontamination": op3_decontamination,
+    "op8_quality_classifier": op8_quality_classifier,
     "op9_line_dedup": op9_line_dedup,
+    "op10_toxicity": op10_toxicity,
 }
 ORACLE = {
     "op1_near_dedup": near_dedup.SQL,

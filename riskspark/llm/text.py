@@ -100,9 +100,9 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
-def words(data: np.ndarray, off: np.ndarray, lower: bool = True) -> Words:
-    """Splits a slice (see ``slices``) into words."""
-    space = _SPACE[data]
+def words(data: np.ndarray, off: np.ndarray, lower: bool = True, breaks: np.ndarray = _SPACE) -> Words:
+    """Splits a slice (see ``slices``) into words at the bytes that ``breaks`` marks."""
+    space = breaks[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[off] = True
     before = np.ones(len(data), bool)
