@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from riskspark.llm import decontaminate, line_dedup, near_dedup, passage_dedup, quality, toxicity
+from riskspark.llm import decontaminate, fingerprints, line_dedup, near_dedup, packing, passage_dedup, quality, toxicity, warc
 from riskspark.llm.common import table
 
 
@@ -18,6 +18,18 @@ def op3_decontamination(spark, sf_dir):
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op5_warc(spark, sf_dir):
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op6_fingerprints(spark, sf_dir):
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_classifier(spark, sf_dir):
     return quality.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -34,6 +46,9 @@ QUERIES = {
     "op1_near_dedup": op1_near_dedup,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_decontamination": op3_decontamination,
+    "op4_packing": op4_packing,
+    "op5_warc": op5_warc,
+    "op6_fingerprints": op6_fingerprints,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_line_dedup": op9_line_dedup,
     "op10_toxicity": op10_toxicity,
