@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from riskspark.llm import decontaminate, fingerprints, line_dedup, near_dedup, packing, passage_dedup, quality, toxicity, warc
+from riskspark.llm import attention_lm, decontaminate, fingerprints, line_dedup, near_dedup, packing, passage_dedup, quality, toxicity, warc
 from riskspark.llm.common import table
 
 
@@ -30,6 +30,10 @@ def op6_fingerprints(spark, sf_dir):
     return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op7_lm_scoring(spark, sf_dir):
+    return attention_lm.query(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_classifier(spark, sf_dir):
     return quality.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -49,6 +53,7 @@ QUERIES = {
     "op4_packing": op4_packing,
     "op5_warc": op5_warc,
     "op6_fingerprints": op6_fingerprints,
+    "op7_lm_scoring": op7_lm_scoring,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_line_dedup": op9_line_dedup,
     "op10_toxicity": op10_toxicity,

@@ -48,7 +48,7 @@ class Subwords:
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint16)
 
-    def pieces(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def pieces(self, data, start, end, hashes) -> tuple[np.ndarray, np.ndarray]:
         """(ids, number of ids of each piece) of byte spans with these hashes."""
         uniq, at, inverse = np.unique(hashes, return_index=True, return_inverse=True)
         keys = uniq.tolist()

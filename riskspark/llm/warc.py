@@ -254,7 +254,7 @@ def read_warc(spark: SparkSession, folder: str, payloads: bool = True) -> DataFr
 
 
 def _page(column: str):
-    return F.regexp_extract(column, r"^urn:page:(-?\d*):", 1).cast("long")
+    return F.regexp_extract(column, r"^urn:page:(-?\d*):", 1).try_cast("long")
 
 
 def round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
