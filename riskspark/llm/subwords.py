@@ -18,6 +18,8 @@ from riskspark.llm import text as T
 
 #: pieces remembered per worker before it starts anew (about 130 bytes each)
 MEMO = 400_000
+#: new pieces that go to the tokenizer as one text
+TOGETHER = 100
 _ODD = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80|<\|")
 _open: dict[str, Subwords] = {}
 
@@ -37,6 +39,8 @@ class Subwords:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.memo: dict[int, bytes] = {}
+        #: of a byte-level vocabulary each character of an id's name stands for a byte
+        self.bytes = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(self.tokenizer.get_vocab_size())])
 
     @staticmethod
     def of(path: str | None = None) -> Subwords:
@@ -48,6 +52,25 @@ class Subwords:
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint16)
 
+    def each(self, strings: list[bytes]) -> list[bytes]:
+        """Ids of pieces, as bytes of 16-bit numbers. Pieces that begin with white space are tokenized
+        TOGETHER at a time as one text; the ids' lengths in bytes tell them apart."""
+        out = [b""] * len(strings)
+        alone = [i for i, s in enumerate(strings) if s[0] not in b" \t\n\v\f\r"]
+        for i, e in zip(alone, self.tokenizer.encode_batch_fast([strings[i].decode("utf-8", "replace") for i in alone], add_special_tokens=False), strict=True):
+            out[i] = np.array(e.ids, np.uint16).tobytes()
+        some = [i for i, s in enumerate(strings) if s[0] in b" \t\n\v\f\r"]
+        groups = [some[k : k + TOGETHER] for k in range(0, len(some), TOGETHER)]
+        joined = [b"".join([strings[i] for i in g]).decode("utf-8", "replace") for g in groups]
+        for g, e in zip(groups, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, np.uint16)
+            stop = np.searchsorted(np.cumsum(self.bytes[ids]), np.cumsum([len(strings[i]) for i in g]), "left") + 1
+            raw, a = ids.tobytes(), 0
+            for i, b in zip(g, stop.tolist(), strict=True):
+                out[i] = raw[2 * a : 2 * b]
+                a = b
+        return out
+
     def pieces(self, data, start, end, hashes) -> tuple[np.ndarray, np.ndarray]:
         """(ids, number of ids of each piece) of byte spans with these hashes."""
         uniq, at, inverse = np.unique(hashes, return_index=True, return_inverse=True)
@@ -57,9 +80,9 @@ class Subwords:
         new = [i for i, k in enumerate(keys) if k not in self.memo]
         if new:
             raw = data.tobytes()
-            strings = [raw[start[j] : end[j]].decode("utf-8", "replace") for j in at[new].tolist()]
-            for i, e in zip(new, self.tokenizer.encode_batch_fast(strings, add_special_tokens=False), strict=True):
-                self.memo[keys[i]] = np.array(e.ids, np.uint16).tobytes()
+            strings = [raw[start[j] : end[j]] for j in at[new].tolist()]
+            for i, ids in zip(new, self.each(strings), strict=True):
+                self.memo[keys[i]] = ids
         parts = [self.memo[k] for k in keys]
         pool = np.frombuffer(b"".join(parts), np.uint16)
         n = np.fromiter(map(len, parts), np.int64, len(parts)) // 2
