@@ -15,11 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def keep(df: DataFrame, kind: str) -> DataFrame:
+def keep(df: DataFrame, kind: str, compression: str = "snappy") -> DataFrame:
     """Writes ``df`` once to the shared folder and reads it back: later jobs neither repeat its
     work nor depend on the executors that made it."""
     path = scratch_path(df.sparkSession, kind)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -10,7 +10,7 @@ per subset. A text without a word of the band uses all its words. The likeness o
 is the share of equal hashes among subsets that keep a word of either text.
 
 Defined cases: null and empty texts have the fingerprint of no words (all zeros, alike with each
-other only); rows of equal doc_id follow each other in descending order of their texts; a single
+other only); rows of equal doc_id follow each other in the order of a hash of their texts; a single
 row is its own next row; repeated rows stay; an empty table gives an empty result; other columns
 are not read.
 """
@@ -21,6 +21,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -126,6 +127,13 @@ def _rows(ids: list, texts: list[str], words: np.ndarray) -> dict:
             "near_edited": pa.array(likeness(own[:-1], new)), "near_next": pa.array(likeness(own[:-1], own[1:]))}
 
 
+def _packed(batches):
+    """Texts compressed before they move: half of what the shuffle itself would make of them."""
+    zip_ = zstandard.ZstdCompressor(3).compress
+    for batch in batches:
+        yield pa.record_batch({"doc_id": batch.column(0), "zipped": pa.array([zip_(t.encode()) for t in batch.column(1).to_pylist()], pa.binary()), "tie": batch.column(2)})
+
+
 def _in_order(sent):
     """Rows of a range in descending order; its first and last text meet their neighbours later."""
 
@@ -134,10 +142,10 @@ def _in_order(sent):
         return pa.record_batch(none | {"doc_id": pa.array([doc_id], pa.int64()), "edge": pa.array([kind], pa.int32()), "part": pa.array([TaskContext.get().partitionId()], pa.int32()), "text": pa.array([text], pa.string())})
 
     def run(batches):
-        words, last = sent.value, None
+        words, last, unzip = sent.value, None, zstandard.ZstdDecompressor().decompress
         for batch in batches:
             for s in range(0, batch.num_rows, 512):
-                ids, texts = batch.column(0)[s : s + 512].to_pylist(), batch.column(1)[s : s + 512].to_pylist()
+                ids, texts = batch.column(0)[s : s + 512].to_pylist(), [unzip(z).decode() for z in batch.column(1)[s : s + 512].to_pylist()]
                 if last is None:
                     yield edge(0, ids[0], texts[0])
                 else:
@@ -158,8 +166,9 @@ def fingerprints(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataF
     docs = id_text(docs).withColumn("text", F.coalesce("text", F.lit("")))
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(lexicon(docs, low, high))
-    ranged = docs.repartitionByRange(F.col("doc_id").desc()).sortWithinPartitions(F.col("doc_id").desc(), F.col("text").desc())
-    found = keep(ranged.mapInArrow(_in_order(sent), RESULT + _EDGE), "fingerprints")
+    packed = docs.withColumn("tie", F.xxhash64("text")).select("doc_id", "text", "tie").mapInArrow(_packed, "doc_id long, zipped binary, tie long")
+    ranged = packed.repartitionByRange(F.col("doc_id").desc()).sortWithinPartitions(F.col("doc_id").desc(), "tie").select("doc_id", "zipped")
+    found = keep(ranged.mapInArrow(_in_order(sent), RESULT + _EDGE), "fingerprints", compression="zstd")
     parts = sorted(r.part for r in found.filter("edge = 0").select("part").collect())  # one number per task
     after = spark.createDataFrame(list(zip(parts, parts[1:] + parts[:1], strict=True)), "part int, next_part int")
     ends = (found.filter("edge = 1").select("doc_id", "text", "part").join(after, "part")
