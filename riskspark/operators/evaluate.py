@@ -122,9 +122,11 @@ def auc(df: DataFrame, label: str = "label", score: str = "score",
     group_cols = list(group_cols)
     g = _score_groups(df, label, score, group_cols)
     cum = running_totals(g, ["threshold"], ["pos"], group_cols=group_cols, descending=True)
+    # counts of 10^9 multiply past a long: exact decimals for the sum, doubles for the ratio
+    wide = lambda c: c.cast("decimal(19,0)")
     area = cum.groupBy(*group_cols).agg(
-        F.sum(F.col("neg") * (2 * (F.col("pos_cum") - F.col("pos")) + F.col("pos"))).alias("a"),
-        F.sum("pos").alias("P"), F.sum("neg").alias("N"))
+        F.sum(wide(F.col("neg")) * wide(2 * (F.col("pos_cum") - F.col("pos")) + F.col("pos"))).cast("double").alias("a"),
+        F.sum("pos").cast("double").alias("P"), F.sum("neg").cast("double").alias("N"))
     return area.select(*group_cols, np_round(safe_ratio(F.col("a"), 2 * F.col("P") * F.col("N")), 4).alias("auc"))
 
 

@@ -24,11 +24,11 @@ def register(name, sql=None):
     return deco
 
 
-def _arrivals(spark, sf_dir, files: int = 4):
+def _arrivals(spark, sf_dir, rows_per_file: int = 50_000):
     """Land the student rows as several parquet files (the stream's input)."""
     src = common.students(spark, sf_dir)
     path = scratch_path(spark, "stream_in")
-    src.repartition(files).write.parquet(path)   # round robin: no hot-key file
+    src.write.option("maxRecordsPerFile", rows_per_file).parquet(path)   # as many files as the rows need
     return path, src.schema
 
 

@@ -8,6 +8,7 @@ when that setting is absent (tests, local runs) do we set our own.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -40,9 +41,12 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared folder; create a private one only when none is configured."""
-    path = spark.conf.get(CHECKPOINT_CONF, None)
+    """Return the shared folder: the configured one, else the one set on the context; a private
+    one only on a local master, because executors elsewhere would not see it."""
+    path = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError(f"set {CHECKPOINT_CONF} to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="riskspark-ckpt-")
         spark.conf.set(CHECKPOINT_CONF, path)
     if not spark.sparkContext.getCheckpointDir():

@@ -46,7 +46,12 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType = STUDENT_SCHE
         if f.name in raw.columns:
             c = F.col(f"`{f.name}`")
             c = F.when(c.isNull() | F.array_contains(na, c), F.lit(None)).otherwise(c)
-            cols.append((c if isinstance(f.dataType, T.StringType) else c.try_cast(f.dataType)).alias(f.name))
+            if isinstance(f.dataType, T.IntegerType):  # "21.0", as writers with gaps in the column put it, is 21
+                d = c.try_cast("double")
+                c = F.coalesce(c.try_cast("int"), F.when(d == F.floor(d), d.try_cast("int")))
+            elif not isinstance(f.dataType, T.StringType):
+                c = c.try_cast(f.dataType)
+            cols.append(c.alias(f.name))
     return raw.select(*cols)
 
 

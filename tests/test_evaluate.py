@@ -112,3 +112,11 @@ def test_roc_drop_intermediate_matches_second_differences(spark, small, monkeypa
     assert got == sorted(thinned_roc(y, s))
     every = E.roc_points(df, drop_intermediate=False).count()
     assert every == len(set(s)) + 1 > len(got)
+
+
+def test_auc_of_counts_past_a_long(spark, monkeypatch):
+    from riskspark.operators import evaluate
+
+    big = spark.createDataFrame([(0.9, 3_000_000_000, 1_000_000_000), (0.1, 1_000_000_000, 3_000_000_000)], "threshold double, pos long, neg long")
+    monkeypatch.setattr(evaluate, "_score_groups", lambda *a, **k: big)
+    assert evaluate.auc(None).first()["auc"] == 0.75
