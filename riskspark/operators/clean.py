@@ -16,12 +16,13 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as cfg
 from ..functions import clip, nan_to_null, py_capitalize, py_strip, standard_name, to_double_or_zero
-from .ordered import SMALL_DICTIONARY, dense_codes, exact_quantiles
+from .ordered import dense_codes, exact_quantiles, running_totals
 
 
 # -- B1 / B2 ---------------------------------------------------------------
@@ -48,8 +49,14 @@ def validate_required(df: DataFrame, required=cfg.REQUIRED_COLUMNS) -> DataFrame
 # -- B3 --------------------------------------------------------------------
 
 def with_row_ordinal(df: DataFrame, name: str = "row_ordinal") -> DataFrame:
-    """Input order of a freshly read file (partition index, then row within partition)."""
-    return df.withColumn(name, F.monotonically_increasing_id())
+    """Input order of freshly read files: path, place of the split in its file, row in the split.
+    (Spark packs larger splits first, so the partition index alone is not file order.) Frames
+    that were not read from files are numbered in partition order."""
+    row = F.monotonically_increasing_id()
+    try:
+        return df.withColumn(name, F.struct("_metadata.file_path", "_metadata.file_block_start", row.alias("row")))
+    except AnalysisException:
+        return df.withColumn(name, row)
 
 
 def dedup_first(df: DataFrame, key: str = cfg.ID_COLUMN, order_col: str = "row_ordinal") -> DataFrame:
@@ -57,10 +64,11 @@ def dedup_first(df: DataFrame, key: str = cfg.ID_COLUMN, order_col: str = "row_o
 
     ``min_by`` is a partial aggregate: each map task reduces its share of a hot
     key to one candidate before the shuffle, so a key holding a third of the
-    rows costs one row per map task downstream.
+    rows costs one row per map task downstream. Rows without an order value come
+    last (``min_by`` alone would skip them and blank a key that has no others).
     """
     others = [c for c in df.columns if c != key]
-    best = F.min_by(F.struct(*[F.col(c) for c in others]), F.col(order_col))
+    best = F.min_by(F.struct(*[F.col(c) for c in others]), F.struct(F.col(order_col).isNull(), F.col(order_col)))
     return df.groupBy(key).agg(best.alias("_first")).select(
         *[F.col(key) if c == key else F.col(f"_first.{c}").alias(c) for c in df.columns])
 
@@ -98,7 +106,7 @@ def impute(df: DataFrame, state: ImputeState) -> DataFrame:
     """B4/B5 apply. Numeric columns that were imputed become double (pandas float64)."""
     exprs = {}
     for c, v in state.numeric.items():
-        x = nan_to_null(F.col(c).cast("double"))
+        x = nan_to_null(F.col(c).try_cast("double"))
         exprs[c] = x if v is None or v != v else F.coalesce(x, F.lit(float(v)))
     for c, v in state.categorical.items():
         exprs[c] = F.coalesce(F.col(c), F.lit(v)) if v is not None else F.col(c)
@@ -108,7 +116,7 @@ def impute(df: DataFrame, state: ImputeState) -> DataFrame:
 def impute_single(df: DataFrame, numeric=cfg.NUMERIC_FEATURES,
                   categorical=cfg.CATEGORICAL_FEATURES) -> DataFrame:
     """Numeric -> 0.0, categorical -> 'Unknown' (single-record mode)."""
-    exprs = {c: F.coalesce(nan_to_null(F.col(c).cast("double")), F.lit(cfg.SINGLE_NUMERIC_FILL))
+    exprs = {c: F.coalesce(nan_to_null(F.col(c).try_cast("double")), F.lit(cfg.SINGLE_NUMERIC_FILL))
              for c in numeric if c in df.columns}
     exprs.update({c: F.coalesce(F.col(c), F.lit(cfg.SINGLE_CATEGORICAL_FILL))
                   for c in categorical if c in df.columns})
@@ -164,51 +172,47 @@ def apply_label_dictionary(df: DataFrame, col: str, dictionary: DataFrame | None
     return out.withColumn(col, F.coalesce(F.col("_code"), F.lit(unseen))).drop("_lbl_key", "_lbl", "_code")
 
 
-def _label_counts(df: DataFrame, cols) -> DataFrame:
-    """(column, value, n) over several categorical columns in one partial aggregate; NULL kept."""
+def _label_counts(df: DataFrame, cols, null_label: str | None = None) -> DataFrame:
+    """(column, value, n) over several categorical columns in one partial aggregate; NULL kept,
+    or counted as ``null_label``."""
+    value = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(null_label).cast("string"))
     long = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in cols
+        F.struct(F.lit(c).alias("column"), value(c).alias("value")) for c in cols
     ])).alias("_s")).select("_s.column", "_s.value")
     return long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _dictionary_frame(spark, labels) -> DataFrame:
-    return spark.createDataFrame([(v, i) for i, v in enumerate(sorted(labels))], "value string, code int")
+#: a dictionary of at most so many labels is sent to the tasks that apply it; AQE picks the join beyond
+BROADCAST_LABELS = 100_000
 
 
 def fit_categoricals(df: DataFrame, cols=cfg.CATEGORICAL_FEATURES, with_modes: bool = True,
-                     small: int = SMALL_DICTIONARY) -> tuple[dict, dict]:
-    """B5 + B8 fitted together: (modes, dictionaries) from one aggregate.
+                     num_partitions: int | None = None) -> tuple[dict, dict]:
+    """B5 + B8 fitted together: (modes, dictionaries) from one aggregate, read once.
 
     ``with_modes``: dictionaries describe the column after B5 imputation (NULL
     becomes the mode), as in the *fit* mode; otherwise NULL is the label 'nan',
-    as in batch refits. Size-checked: at most ``small`` distinct (column, value)
-    pairs are sorted on the driver (categorical domains); beyond it the modes
-    and the dictionaries are computed distributed (``column_modes``,
-    ``fit_label_dictionary``).
+    as in batch refits. Labels are ranked on the executors; the driver gets one
+    (mode, label count) row per column.
     """
     cols = [c for c in cols if c in df.columns]
     if not cols:
         return {}, {}
-    head = _label_counts(df, cols).limit(small + 1).collect()
-    if len(head) > small:
-        modes = column_modes(df, cols) if with_modes else {}
-        filled = impute(df, ImputeState({}, modes))
-        return modes, {c: fit_label_dictionary(filled, c).cache() for c in cols}
-    seen = {c: [] for c in cols}
-    for r in head:
-        seen[r["column"]].append((r["value"], r["n"]))
+    counts = _label_counts(df, cols, None if with_modes else "nan")
+    label = F.col("value").isNotNull()
+    ranked = running_totals(counts.withColumn("_one", label.cast("int")), ["value"], ["_one"],
+                            group_cols=["column"], num_partitions=num_partitions)
+    top = F.min(F.when(label, F.struct((-F.col("n")).alias("neg_n"), "value")))
+    found = {r["column"]: r for r in ranked.groupBy("column").agg(top.alias("top"), F.max("_one_cum").alias("labels")).collect()}
     modes, dictionaries = {}, {}
-    for c, pairs in seen.items():
-        present = [(v, n) for v, n in pairs if v is not None]
-        has_null = len(present) < len(pairs)
-        mode = min(present, key=lambda t: (-t[1], t[0]))[0] if present else None
-        if with_modes and mode is not None:
-            modes[c] = mode
-        labels = {v for v, _ in present}
-        if has_null and c not in modes:
-            labels.add("nan")
-        dictionaries[c] = _dictionary_frame(df.sparkSession, labels)
+    for c in cols:
+        codes = ranked.where(label & (F.col("column") == c)).select("value", (F.col("_one_cum") - 1).cast("int").alias("code"))
+        if c in found and found[c]["top"] is None:   # NULL alone: 'nan' is the only label
+            codes = df.sparkSession.createDataFrame([("nan", 0)], "value string, code int")
+        elif c in found and with_modes:
+            modes[c] = found[c]["top"]["value"]
+        small = c not in found or found[c]["labels"] <= BROADCAST_LABELS
+        dictionaries[c] = F.broadcast(codes) if small else codes
     return modes, dictionaries
 
 

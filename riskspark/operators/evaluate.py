@@ -95,10 +95,10 @@ def roc_points(df: DataFrame, label: str = "label", score: str = "score",
     distributed running count) finds it. ``False`` keeps every point (AUC unchanged).
     """
     g = _score_groups(df, label, score).withColumn("_one", F.lit(1))
-    # class totals are two scalars (fitted like any model parameter)
-    tot = g.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N")).first()
-    n_pos, n_neg = int(tot["P"] or 0), int(tot["N"] or 0)
     cum = running_totals(g, ["threshold"], ["pos", "neg", "_one"], descending=True)
+    # class totals are two scalars (fitted like any model parameter), read from the checkpoint
+    tot = cum.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N")).first()
+    n_pos, n_neg = int(tot["P"] or 0), int(tot["N"] or 0)
     if drop_intermediate:
         nxt = cum.select((F.col("_one_cum") - 1).alias("_at"), F.col("pos").alias("_npos"),
                          F.col("neg").alias("_nneg"))

@@ -23,7 +23,6 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,35 +35,22 @@ def _partitions(df: DataFrame, n: int | None) -> int:
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "8")))
 
 
-SMALL_ROWS = 1_000_000
-
-
 def running_totals(df: DataFrame, order_cols: Sequence[str], sum_cols: Sequence[str],
                    group_cols: Sequence[str] = (), descending: bool = False,
-                   num_partitions: int | None = None, suffix: str = "_cum",
-                   small: int = SMALL_ROWS) -> DataFrame:
+                   num_partitions: int | None = None, suffix: str = "_cum") -> DataFrame:
     """Inclusive running sums of ``sum_cols`` along ``order_cols`` within ``group_cols``.
 
-    Order keys must be unique within a group (compact first). Size-checked: an
-    input of at most ``small`` rows (a bound one task sorts in well under a
-    second) uses one ordinary window; anything larger takes the range-partitioned
-    path below, whose per-task share shrinks as partitions are added.
+    Order keys must be unique within a group (compact first). One path at every size:
+    the per-task share shrinks as partitions are added, and ``df`` is evaluated once
+    (everything after the checkpoint reads the checkpoint).
     """
     n = _partitions(df, num_partitions)
     group_cols = list(group_cols)
     order = [F.col(c).desc() if descending else F.col(c).asc() for c in order_cols]
-    if small:
-        df = df.persist(StorageLevel.MEMORY_AND_DISK)   # reused by the size check and the plan
-        if df.limit(small + 1).count() <= small:
-            w = (Window.partitionBy(*group_cols).orderBy(*order)
-                 .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-            return df.select(*df.columns, *[F.sum(c).over(w).alias(f"{c}{suffix}") for c in sum_cols])
     # Materialise the range partitioning in the shared checkpoint folder: the
     # partition ids below must be identical in both branches, and a re-run range
     # sample over shuffle output (whose row order varies) could move bounds.
     d = df.repartitionByRange(n, *[F.col(g) for g in group_cols], *order).checkpoint(eager=True)
-    if small:
-        df.unpersist()   # the checkpoint now holds the data
     d = d.withColumn(PID, F.spark_partition_id())
     # per (partition, group) totals: G + N rows, aggregated distributed (never broadcast)
     part = d.groupBy(PID, *group_cols).agg(*[F.sum(c).alias(f"_pt_{c}") for c in sum_cols])
@@ -108,16 +94,15 @@ def long_values(df: DataFrame, cols: Sequence[str], name_col: str = "column",
 
 
 def exact_quantile_frame(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
-                         num_partitions: int | None = None, small: int = SMALL_ROWS) -> DataFrame:
+                         num_partitions: int | None = None) -> DataFrame:
     """Exact linear-interpolated quantiles (pandas/NumPy ``linear``) per column.
 
     Returns (column, prob, quantile, n). Work: one partial aggregate to distinct
     (column, value) counts, then ``running_totals``; nothing is collected.
     """
     compact = long_values(df, cols).groupBy("column", "value").agg(F.count(F.lit(1)).alias("cnt"))
-    cum = running_totals(compact, ["value"], ["cnt"], group_cols=["column"],
-                         num_partitions=num_partitions, small=small)
-    totals = compact.groupBy("column").agg(F.sum("cnt").alias("n"))
+    cum = running_totals(compact, ["value"], ["cnt"], group_cols=["column"], num_partitions=num_partitions)
+    totals = cum.groupBy("column").agg(F.max("cnt_cum").alias("n"))   # from the checkpoint, not the input again
     probs_arr = F.array(*[F.lit(float(p)) for p in probs])
     # one row per (column, prob) holding the two 0-based ranks to fetch
     targets = totals.select(
@@ -152,10 +137,10 @@ def exact_quantile_frame(df: DataFrame, cols: Sequence[str], probs: Sequence[flo
 
 
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float] = (0.5,),
-                    num_partitions: int | None = None, small: int = SMALL_ROWS) -> dict[str, dict[float, float]]:
+                    num_partitions: int | None = None) -> dict[str, dict[float, float]]:
     """Fitted quantiles as driver scalars: at most len(cols) * len(probs) numbers."""
     out: dict[str, dict[float, float]] = {c: {} for c in cols}
-    for r in exact_quantile_frame(df, cols, probs, num_partitions, small).collect():
+    for r in exact_quantile_frame(df, cols, probs, num_partitions).collect():
         out[r["column"]][float(r["prob"])] = r["quantile"]
     for c in cols:
         for p in probs:
@@ -163,25 +148,10 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float] =
     return out
 
 
-SMALL_DICTIONARY = 100_000
-
-
 def dense_codes(values: DataFrame, value_col: str, code_col: str = "code",
-                num_partitions: int | None = None, small: int = SMALL_DICTIONARY) -> DataFrame:
-    """Sorted dictionary of distinct values -> 0-based code, without a single-task window.
-
-    Size-checked: a dictionary of at most ``small`` entries (categorical domains)
-    is sorted on the driver and returned as a local relation the planner can
-    broadcast; a larger one is ranked with distributed running totals.
-    """
+                num_partitions: int | None = None) -> DataFrame:
+    """Sorted dictionary of distinct values -> 0-based code, ranked on the executors without a
+    single-task window."""
     distinct = values.select(F.col(value_col)).where(F.col(value_col).isNotNull()).distinct()
-    head = distinct.limit(small + 1).collect()
-    if len(head) <= small:
-        schema = values.select(value_col).schema
-        vals = sorted(r[0] for r in head)
-        return values.sparkSession.createDataFrame(
-            [(v, i) for i, v in enumerate(vals)], f"`{value_col}` {schema[0].dataType.simpleString()}, "
-            f"`{code_col}` int")
-    distinct = distinct.withColumn("_one", F.lit(1))
-    ranked = running_totals(distinct, [value_col], ["_one"], num_partitions=num_partitions, small=0)
+    ranked = running_totals(distinct.withColumn("_one", F.lit(1)), [value_col], ["_one"], num_partitions=num_partitions)
     return ranked.select(value_col, (F.col("_one_cum") - 1).cast("int").alias(code_col))

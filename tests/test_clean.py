@@ -122,12 +122,12 @@ def test_messy_headers_then_fit(spark):
     assert out.count() == 5 and "student_id" in out.columns
 
 
-@pytest.mark.parametrize("small", [100, 1])
-def test_fused_categorical_fit_matches_separate_operators(spark, small):
-    # ties (a/b), a NULL, an all-NULL column; small=1 forces the distributed path
+@pytest.mark.parametrize("parts", [1, 3])
+def test_fused_categorical_fit_matches_separate_operators(spark, parts):
+    # ties (a/b), a NULL, an all-NULL column
     rows = [student_row(f"S{i}", gender=g, dept=None) for i, g in enumerate(["b", "a", None, "a", "b", "c"])]
     df = frame(spark, rows)
-    modes, dicts = B.fit_categoricals(df, ["gender", "department"], with_modes=True, small=small)
+    modes, dicts = B.fit_categoricals(df, ["gender", "department"], with_modes=True, num_partitions=parts)
     assert modes == B.column_modes(df, ["gender", "department"]) == {"gender": "a"}
     filled = B.impute(df, B.ImputeState({}, modes))
     for c in ("gender", "department"):
@@ -135,6 +135,22 @@ def test_fused_categorical_fit_matches_separate_operators(spark, small):
         assert sorted((r.value, r.code) for r in dicts[c].collect()) == want
     assert sorted(r.value for r in dicts["department"].collect()) == ["nan"]
     # batch refit: NULL is its own label, no modes
-    none, raw = B.fit_categoricals(df, ["gender"], with_modes=False, small=small)
+    none, raw = B.fit_categoricals(df, ["gender"], with_modes=False, num_partitions=parts)
     assert none == {}
     assert sorted((r.value, r.code) for r in raw["gender"].collect()) == [("a", 0), ("b", 1), ("c", 2), ("nan", 3)]
+
+
+def test_dedup_keeps_a_row_without_order(spark):
+    df = spark.createDataFrame([("S1", None, "a"), ("S2", 5, "late"), ("S2", None, "none"), ("S2", 2, "early")],
+                               "student_id string, row_ordinal long, name string")
+    assert sorted((r.student_id, r.name) for r in B.dedup_first(df).collect()) == [("S1", "a"), ("S2", "early")]
+
+
+def test_file_order_is_path_order_not_size_order(spark, tmp_path):
+    d = tmp_path / "in"
+    d.mkdir()
+    (d / "part-0.csv").write_text("student_id,name\nS1,first\n")
+    (d / "part-1.csv").write_text("student_id,name\nS1,second\n" + "".join(f"S{i},x\n" for i in range(2, 500)))
+    df = B.with_row_ordinal(B.standardise_columns(spark.read.option("header", True).csv(str(d))))
+    got = {r.student_id: r.name for r in B.dedup_first(df).collect()}
+    assert got["S1"] == "first" and len(got) == 499

@@ -65,13 +65,7 @@ def test_metrics_table_best_and_long(spark):
     assert E.metrics_long(mt).count() == 15
 
 
-@pytest.mark.parametrize("small", [1_000_000, 0])
-def test_grouped_metrics_table_equals_per_model_operators(spark, small, monkeypatch):
-    # small=0 forces the range-partitioned running totals inside the grouped AUC
-    import riskspark.operators.ordered as O
-    monkeypatch.setattr(O, "SMALL_ROWS", small)
-    monkeypatch.setattr(O.running_totals, "__defaults__",
-                        O.running_totals.__defaults__[:-1] + (small,))
+def test_grouped_metrics_table_equals_per_model_operators(spark):
     rng = np.random.default_rng(7)
     frames = {}
     for name in ("a", "b", "c"):
@@ -100,10 +94,7 @@ def thinned_roc(y, s):
     return [(0.0, 0.0)] + [(round(f / N, 12), round(t / P, 12)) for f, t in zip(fps[keep], tps[keep])]
 
 
-@pytest.mark.parametrize("small", [1_000_000, 0])
-def test_roc_drop_intermediate_matches_second_differences(spark, small, monkeypatch):
-    import riskspark.operators.ordered as O
-    monkeypatch.setattr(O.running_totals, "__defaults__", O.running_totals.__defaults__[:-1] + (small,))
+def test_roc_drop_intermediate_matches_second_differences(spark):
     rng = np.random.default_rng(3)
     y = rng.integers(0, 2, 300)
     s = np.round(rng.uniform(0, 1, 300), 2)          # many ties, many repeated steps
