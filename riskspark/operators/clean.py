@@ -314,8 +314,7 @@ def clean_single(df: DataFrame, dictionaries: dict | None = None,
     return df
 
 
-def clean_batch(df: DataFrame, params: cfg.CleanParams = cfg.CleanParams()) -> DataFrame:
-    """Batch-inference cleaning (B12 -> B1 -> B11 -> B8 refit on the batch)."""
+def clean_batch(df: DataFrame, params: cfg.CleanParams = cfg.CleanParams(), encode: bool = True) -> DataFrame:
+    """Batch-inference cleaning (B12 -> B1 -> B11 -> B8 refit on the batch, where the codes are read)."""
     df = coerce_batch(standardise_columns(drop_target(df, params.target)))
-    df, _ = encode_categoricals(df, params.categorical)
-    return df
+    return encode_categoricals(df, params.categorical)[0] if encode else df

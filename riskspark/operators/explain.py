@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config as cfg
@@ -61,10 +61,11 @@ def attributions_long(attr: DataFrame, key: str = cfg.ID_COLUMN) -> DataFrame:
     return attr.select(key, F.inline("attributions"))
 
 
-def global_importance(attr: DataFrame, key: str = cfg.ID_COLUMN) -> DataFrame:
-    """H2: mean |value| per feature, ranked (rank 1 = most important)."""
-    imp = attributions_long(attr, key).groupBy("feature").agg(F.avg(F.abs("value")).alias("importance"))
-    return imp
+def global_importance(attr: DataFrame, key: str = cfg.ID_COLUMN, decimals: int = 4) -> DataFrame:
+    """H2: mean |value| per feature (``decimals`` places) and its rank (1 = most important, ties by
+    name). The window holds one row per feature."""
+    imp = attributions_long(attr, key).groupBy("feature").agg(np_round(F.avg(F.abs("value")), decimals).alias("importance"))
+    return imp.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("importance"), "feature")))
 
 
 def sorted_contributions(attr: DataFrame, key: str = cfg.ID_COLUMN, decimals: int = 4) -> DataFrame:
@@ -88,8 +89,8 @@ def waterfall(attr: DataFrame, key: str = cfg.ID_COLUMN, max_display: int = cfg.
                                      .when(a["feature"] > b["feature"], 1).otherwise(0)))
     n = F.size(by_abs)
     keep = max_display - 1
-    rest = F.slice(by_abs, keep + 1, 1 << 20)
-    other = F.struct(F.concat(F.lit(""), (n - keep).cast("string"), F.lit(" other features")).alias("feature"),
+    rest = F.slice(by_abs, F.lit(keep + 1), F.greatest(n - keep, F.lit(0)))
+    other = F.struct(F.concat((n - keep).cast("string"), F.lit(" other features")).alias("feature"),
                      F.aggregate(rest, F.lit(0.0), lambda acc, s: acc + s["value"]).alias("value"))
     bars = F.when(n > max_display, F.concat(F.slice(by_abs, 1, keep), F.array(other))).otherwise(by_abs)
     return attr.select(key, "base_value", F.posexplode(bars).alias("position", "b")).select(
@@ -156,7 +157,8 @@ def tree_tables(clf, spark) -> tuple[list, list, str]:
     return trees, weights, kind
 
 
-def tree_attributions(model, df: DataFrame, features=cfg.MODEL_FEATURES, key: str = cfg.ID_COLUMN) -> DataFrame:
+def tree_attributions(model, df: DataFrame, features=cfg.MODEL_FEATURES, key: str = cfg.ID_COLUMN,
+                      num_partitions: int | None = None) -> DataFrame:
     """H1 (trees): TreeSHAP of a fitted ``Pipeline(assembler, scaler, forest|boosted)`` for every row.
 
     The scaled feature vectors are produced by the pipeline's own stages; the
@@ -177,11 +179,8 @@ def tree_attributions(model, df: DataFrame, features=cfg.MODEL_FEATURES, key: st
     shared = spark.sparkContext.broadcast((trees, weights))
     prep = PipelineModel(stages=model.stages[:-1]).transform(df).select(
         F.col(key), vector_to_array("features").alias("_x"))
-    # TreeSHAP is CPU-bound per row: give it at least one partition per core (a small
-    # input may arrive in one or two partitions; a large one keeps its own partitioning)
-    cores = spark.sparkContext.defaultParallelism
-    if prep.rdd.getNumPartitions() < cores:
-        prep = prep.repartition(cores)
+    # TreeSHAP is CPU-bound per row: spread the rows over the declared parallelism
+    prep = prep.repartition(num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions")))
     key_type = prep.schema[key].dataType.simpleString()
     names = list(features)
 

@@ -56,7 +56,7 @@ class TrainParams:
     gbt_depth: int = cfg.GBT_PARAMS["max_depth"]
     gbt_step: float = cfg.GBT_PARAMS["learning_rate"]
     models: tuple = tuple(cfg.MODEL_ORDER)
-    parallel_fits: int | None = None   # None: every (model, fold) fit and refit at once
+    parallel_fits: int = cfg.PARALLEL_FITS   # each running fit holds its own binned copy of its rows
 
 
 # -- D1 / D6 -----------------------------------------------------------------
@@ -72,7 +72,7 @@ def stratified_split(df: DataFrame, params: TrainParams = TrainParams()) -> Data
     h = df.withColumn("_h", F.xxhash64(F.col(params.key), F.lit(params.seed))).withColumn("_one", F.lit(1))
     ranked = running_totals(h, ["_h", params.key], ["_one"], group_cols=[lab])
     # per-class test quota (Python's round = half-even), joined in-plan: one row per class
-    quota = df.groupBy(lab).agg(F.bround(F.lit(float(params.test_size)) * F.count(F.lit(1)), 0)
+    quota = ranked.groupBy(lab).agg(F.bround(F.lit(float(params.test_size)) * F.count(F.lit(1)), 0)
                                 .cast("long").alias("_n_test"))
     rank, n_test = F.col("_one_cum"), F.col("_n_test")
     is_test = rank <= n_test
@@ -176,8 +176,8 @@ def cross_validate(train: DataFrame, params: TrainParams = TrainParams()):
     """Stratified k-fold CV of every model, plus the refit on the whole training split.
 
     All (model, fold) fits and the refits are independent Spark jobs, submitted
-    from one driver thread pool (slowest models first) so the cluster is never
-    idle between the many small jobs of an iterative fit. Each fold's logistic
+    from a driver thread pool of ``parallel_fits`` (slowest models first) so the cluster
+    is not idle between the many small jobs of an iterative fit. Each fold's logistic
     regression gets the penalty for its own size (``1 / (C * n_fold)``), as a
     fresh estimator per fold would. Returns (refitted models, {name: (mean, pop std)}).
     """
@@ -195,7 +195,7 @@ def cross_validate(train: DataFrame, params: TrainParams = TrainParams()):
         fitted = _fit(m, params, train.filter(F.col("fold") != k), n_train - sizes.get(k, 0))
         return m, k, evaluator.evaluate(fitted.transform(train.filter(F.col("fold") == k)))
 
-    with ThreadPoolExecutor(max_workers=max(1, params.parallel_fits or len(tasks))) as pool:
+    with ThreadPoolExecutor(max_workers=max(1, params.parallel_fits)) as pool:
         results = list(pool.map(run, tasks))
     models = {m: out for m, k, out in results if k is None}
     cv = {}
@@ -235,8 +235,13 @@ def scored_frame(model: PipelineModel, df: DataFrame, label: str) -> DataFrame:
 
 # -- E6 ------------------------------------------------------------------------
 
+def importance_model(models: dict) -> PipelineModel | None:
+    """The forest, else any other model that has importances, else None."""
+    return next((models[m] for m in (RF, *models) if m in models and hasattr(models[m].stages[-1], "featureImportances")), None)
+
+
 def feature_importances(model: PipelineModel, features=cfg.MODEL_FEATURES, top_n: int = cfg.TOP_IMPORTANCES):
-    """The forest's importances as (feature, importance), largest first, top n."""
+    """A tree ensemble's importances as (feature, importance), largest first, top n."""
     clf = model.stages[-1]
     imp = clf.featureImportances.toArray().tolist()
     return list(sorted(zip(features, imp), key=lambda t: -t[1]))[:top_n]
@@ -251,7 +256,7 @@ def batch_score(model: PipelineModel, raw: DataFrame, features=cfg.MODEL_FEATURE
     self-join on a generated row id).
     """
     tagged = raw.select(*[F.col(c).alias(f"__raw_{i}") for i, c in enumerate(raw.columns)], *raw.columns)
-    prepared = add_features(clean_batch(tagged))
+    prepared = add_features(clean_batch(tagged, encode=False))   # no model reads the label codes
     prepared = prepared.withColumns({c: (F.col(c).cast("double") if c in prepared.columns else F.lit(0.0))
                                      for c in features})
     p = vector_to_array(F.col("probability"))

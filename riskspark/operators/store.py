@@ -44,7 +44,7 @@ def lookup_first(table: DataFrame, keys: DataFrame, key: str = cfg.ID_COLUMN,
     """A5 for a batch of ids: the first matching row per requested id (semi join + min_by)."""
     hits = table.join(keys.select(key).distinct(), key, "left_semi")
     others = [c for c in table.columns if c != key]
-    return hits.groupBy(key).agg(F.min_by(F.struct(*others), F.col(order_col)).alias("_r")).select(
+    return hits.groupBy(key).agg(F.min_by(F.struct(*others), F.struct(F.col(order_col).isNull(), order_col)).alias("_r")).select(
         *[F.col(key) if c == key else F.col(f"_r.{c}").alias(c) for c in table.columns])
 
 
@@ -55,8 +55,8 @@ def fold_batch(batch: DataFrame, key: str = cfg.ID_COLUMN, update_cols=UPDATE_ON
     """Per key, the first row's columns with ``update_cols`` from the last row; plus row count."""
     others = [c for c in batch.columns if c != key]
     return batch.groupBy(key).agg(
-        F.min_by(F.struct(*others), F.col(order_col)).alias("_first"),
-        F.max_by(F.struct(*update_cols), F.col(order_col)).alias("_last"),
+        F.min_by(F.struct(*others), F.struct(F.col(order_col).isNull(), order_col)).alias("_first"),
+        F.max_by(F.struct(*update_cols), F.struct(F.col(order_col).isNotNull(), order_col)).alias("_last"),
         F.count(F.lit(1)).alias("_batch_rows"))
 
 

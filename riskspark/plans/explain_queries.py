@@ -54,10 +54,10 @@ def h1_linear_attributions(spark, sf_dir):
 
 
 @register("h2_global_importance", with_views(
-    f"SELECT feature, {r('AVG(ABS(value))', 4)} AS importance FROM attr GROUP BY feature", *_H_VIEWS))
+    f"""SELECT feature, importance, CAST(ROW_NUMBER() OVER (ORDER BY importance DESC, feature) AS INTEGER) AS rank
+FROM (SELECT feature, {r('AVG(ABS(value))', 4)} AS importance FROM attr GROUP BY feature) t""", *_H_VIEWS))
 def h2_global_importance(spark, sf_dir):
-    g = H.global_importance(score_attributions(spark, sf_dir))
-    return g.select("feature", np_round("importance", 4).alias("importance"))
+    return H.global_importance(score_attributions(spark, sf_dir))
 
 
 @register("h3_sorted_contributions", with_views(f"""

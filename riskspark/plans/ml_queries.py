@@ -1,7 +1,7 @@
 """Registered training, selection, persistence and model-scoring queries (2.D, E6, F1, A11, A15).
 
-All rows-only: MLlib's RNG and optimisers differ from scikit-learn's, so results
-are checked by invariants in tests, not by an oracle. Registered queries use
+Rows-only but for the split's counts: MLlib's RNG and optimisers differ from scikit-learn's,
+so results are checked by invariants in tests, not by an oracle. Registered queries use
 smaller ensembles (20 trees / 20 rounds) than the library defaults (200), which
 stay the reference's values.
 """
@@ -17,6 +17,7 @@ from ..operators import models as D
 from ..operators.store import append_stamped
 from ..session import scratch_path
 from . import common
+from .sqlparts import CLEAN_SQL, STUDENTS_SQL, with_views
 
 QUERIES = {}
 ORACLE = {}
@@ -27,9 +28,11 @@ _memo: dict = {}
 _lock = threading.Lock()
 
 
-def register(name):
+def register(name, sql=None):
     def deco(fn):
         QUERIES[name] = fn
+        if sql is not None:
+            ORACLE[name] = sql
         return fn
     return deco
 
@@ -49,20 +52,29 @@ def d_train_select(spark, sf_dir):
     return trained(spark, sf_dir).metrics
 
 
-@register("d1_split_counts")
+SPLIT_SQL = """
+totals AS (SELECT CAST(result AS DOUBLE) AS result, COUNT(*) AS n FROM clean GROUP BY 1),
+quotas AS (SELECT result, CAST(round_even(0.2 * n, 0) AS BIGINT) AS held, n - CAST(round_even(0.2 * n, 0) AS BIGINT) AS used FROM totals)"""
+
+
+@register("d1_split_counts", with_views("""
+SELECT 'test' AS split, -1 AS fold, result, held AS n FROM quotas WHERE held > 0
+UNION ALL
+SELECT 'train', CAST(k AS INTEGER), result, used // 5 + CASE WHEN k < used % 5 THEN 1 ELSE 0 END
+FROM quotas, range(5) folds(k) WHERE used // 5 + CASE WHEN k < used % 5 THEN 1 ELSE 0 END > 0""",
+                                        STUDENTS_SQL, CLEAN_SQL, SPLIT_SQL))
 def d1_split_counts(spark, sf_dir):
-    """Rows per (split, fold, label): stratification at a glance."""
-    r = trained(spark, sf_dir)
-    both = r.train.unionByName(r.test)
-    return both.groupBy("split", "fold", cfg.TARGET_COLUMN).agg(F.count(F.lit(1)).alias("n"))
+    """Rows per (split, fold, label); the counts follow from the label totals."""
+    split = D.prepare_training(common.featured(spark, sf_dir), QUERY_PARAMS)
+    return split.groupBy("split", "fold", cfg.TARGET_COLUMN).agg(F.count(F.lit(1)).alias("n"))
 
 
 @register("e6_forest_importances")
 def e6_forest_importances(spark, sf_dir):
     """Top-15 importances of the forest."""
     r = trained(spark, sf_dir)
-    imp = D.feature_importances(r.models[D.RF])
-    return spark.createDataFrame(imp, "feature string, importance double")
+    imp = D.feature_importances(D.importance_model(r.models))
+    return spark.createDataFrame([(i, *x) for i, x in enumerate(imp, 1)], "rank int, feature string, importance double")
 
 
 @register("f1_batch_scoring")

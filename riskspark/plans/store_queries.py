@@ -11,7 +11,6 @@ from ..operators import store as A
 from ..operators.clean import dedup_first, normalised_label
 from ..session import scratch_path
 from ..sources import files, synth
-from ..sources.fixtures import read_table
 from . import common
 from .report_queries import SCORED_SQL, scored
 from .sqlparts import DEDUP_SQL, LATEST_ONE_SQL, PREDICTIONS_SQL, STUDENTS_SQL, cap, strip, with_views
@@ -37,6 +36,23 @@ def a1_a2_csv_roundtrip(spark, sf_dir):
     return files.read_csv(spark, path)
 
 
+@register("a1_messy_csv", with_views("""
+SELECT row_ordinal, student_id, name, age, attendance_percentage, videos_watched, result,
+       'seen by' || chr(10) || student_id || ', "twice"' AS class_remark
+FROM students""", STUDENTS_SQL))
+def a1_messy_csv(spark, sf_dir):
+    """A file as people upload it (A1): spaced headers in any case, integers written as ``21.0``,
+    a column outside the schema, line breaks and quotes inside a field."""
+    path = scratch_path(spark, "csv")
+    whole = lambda c: F.concat(F.col(c).cast("string"), F.lit(".0"))
+    remark = F.concat(F.lit("seen by\n"), "student_id", F.lit(', "twice"'))
+    files.write_csv(common.students(spark, sf_dir).select(
+        F.col("row_ordinal").alias("Row Ordinal"), F.col("student_id").alias(" Student ID "), F.col("name").alias("NAME"),
+        whole("age").alias("Age"), F.col("attendance_percentage").alias("Attendance Percentage"),
+        whole("videos_watched").alias("Videos Watched"), F.col("result").alias("Result"), remark.alias("Class Remark")), path)
+    return files.read_csv(spark, path)
+
+
 @register("a3_scan_ordered", with_views("SELECT * FROM students ORDER BY student_id, row_ordinal", STUDENTS_SQL))
 def a3_scan_ordered(spark, sf_dir):
     return A.scan_ordered(common.students(spark, sf_dir))
@@ -222,13 +238,6 @@ def a12_alert_log(spark, sf_dir):
     return spark.read.parquet(path)
 
 
-@register("a13_synthetic_students")
-def a13_synthetic_students(spark, sf_dir):
-    """One synthetic student per customer key (work grows with the customer table)."""
-    keys = read_table(spark, sf_dir, "customer").select("c_custkey")
-    return synth.synthetic_students(keys, "c_custkey")
-
-
 @register("a14_seeded_sample")
 def a14_seeded_sample(spark, sf_dir):
     """20 students chosen by seeded hash order, target dropped."""

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import standard_name
+
 # fixed values: the strings pandas' CSV reader treats as missing by default
 PANDAS_NA_TOKENS = [
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
@@ -31,28 +33,40 @@ STUDENT_SCHEMA = T.StructType([
 ])
 
 _CSV_OPTS = {"header": "true", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false",
-             "escape": '"', "multiLine": "false"}
+             "escape": '"'}
+
+
+def _typed(c: F.Column, kind: T.DataType) -> F.Column:
+    if isinstance(kind, T.StringType):
+        return c
+    if isinstance(kind, T.IntegerType):  # "21.0", as writers with gaps in the column put it, is 21
+        d = c.try_cast("double")
+        return F.coalesce(c.try_cast("int"), F.when(d == F.floor(d), d.try_cast("int")))
+    return c.try_cast(kind)
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType = STUDENT_SCHEMA,
-             na_tokens=PANDAS_NA_TOKENS) -> DataFrame:
+             na_tokens=PANDAS_NA_TOKENS, multi_line: bool = True) -> DataFrame:
     """A1: header CSV -> declared types. Every field is read as text, NA tokens become NULL,
     then each column is ``try_cast`` to its declared type (bad values -> NULL, not an error).
-    Columns are matched by header name; a missing path raises (as the reference does)."""
-    raw = spark.read.options(**_CSV_OPTS).csv(path)   # all strings, names from the header
+
+    Headers are matched after B1's name rule ("Student ID" is ``student_id``); columns that the
+    schema does not declare follow as text under their standard names. All files of a folder must
+    have the same header, and two headers must not share a standard name: both raise, as does a
+    missing path. ``multi_line`` lets quoted fields hold line breaks, which makes each file one
+    task; without it large files are split."""
+    raw = spark.read.options(**_CSV_OPTS, multiLine=multi_line, enforceSchema=False).csv(path)   # all strings
+    names = [standard_name(c) for c in raw.columns]
+    if len(set(names)) < len(names):
+        raise ValueError(f"header names clash: {sorted(n for n in set(names) if names.count(n) > 1)}")
     na = F.array(*[F.lit(t) for t in na_tokens])
-    cols = []
-    for f in schema.fields:
-        if f.name in raw.columns:
-            c = F.col(f"`{f.name}`")
-            c = F.when(c.isNull() | F.array_contains(na, c), F.lit(None)).otherwise(c)
-            if isinstance(f.dataType, T.IntegerType):  # "21.0", as writers with gaps in the column put it, is 21
-                d = c.try_cast("double")
-                c = F.coalesce(c.try_cast("int"), F.when(d == F.floor(d), d.try_cast("int")))
-            elif not isinstance(f.dataType, T.StringType):
-                c = c.try_cast(f.dataType)
-            cols.append(c.alias(f.name))
-    return raw.select(*cols)
+    fields = {}
+    for name, c in zip(names, raw.columns, strict=True):
+        c = F.col("`" + c.replace("`", "``") + "`")
+        fields[name] = F.when(c.isNull() | F.array_contains(na, c), F.lit(None)).otherwise(c)
+    declared = [_typed(fields[f.name], f.dataType).alias(f.name) for f in schema.fields if f.name in fields]
+    extra = [fields[n].alias(n) for n in names if n not in schema.fieldNames()]
+    return raw.select(*declared, *extra)
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:

@@ -1,81 +1,12 @@
-"""Synthetic students (A13) and seeded sampling (A14), partition-independent.
-
-Randomness comes from ``xxhash64(key, stream, seed)`` mapped to (0, 1), so a
-row's values depend only on its key -- the same on 1 or 1000 executors and on
-re-execution after a lost task. Beta(2, 2) is the median of three uniforms;
-normals come from Box-Muller. The generation rule (latent ability -> correlated
-clipped scores -> weighted score -> logistic fail probability -> label) follows
-the reference's generator; its exact NumPy stream is not reproduced.
-"""
+"""Seeded sampling (A14), partition-independent."""
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as cfg
 
-# fixed values: the reference generator's per-score (ability weight, noise mean, noise sd, lo, hi)
-SCORE_MODEL = {
-    "attendance_percentage": (80, 10, 10, 30, 100),
-    "assignment_score": (70, 15, 12, 10, 100),
-    "quiz_score": (70, 10, 12, 5, 100),
-    "lab_score": (75, 12, 10, 10, 100),
-    "midterm_marks": (60, 10, 10, 5, 100),
-    "lms_activity": (80, 10, 15, 0, 100),
-    "videos_watched": (50, 5, 10, 0, 60),
-    "discussion_participation": (40, 5, 8, 0, 50),
-}
-LABEL_WEIGHTS = {"attendance_percentage": 0.25, "assignment_score": 0.20, "midterm_marks": 0.25,
-                 "quiz_score": 0.15, "lab_score": 0.15}
-LABEL_CENTRE, LABEL_SLOPE = 55, 0.1
-AGE_RANGE = (18, 24)
-
-
-def uniform(key: F.Column, stream: int, seed: int) -> F.Column:
-    """U(0, 1) from a 64-bit hash: top 53 bits, shifted off 0."""
-    h = F.xxhash64(key, F.lit(stream), F.lit(seed))
-    return (F.shiftrightunsigned(h, 11).cast("double") + 0.5) / float(1 << 53)
-
-
-def normal(key: F.Column, stream: int, seed: int, mean: float, sd: float) -> F.Column:
-    u1, u2 = uniform(key, stream, seed), uniform(key, stream + 1, seed)
-    return F.lit(mean) + F.lit(sd) * F.sqrt(-2 * F.log(u1)) * F.cos(2 * math.pi * u2)
-
-
-def _clip(c, lo, hi):
-    return F.least(F.greatest(c, F.lit(float(lo))), F.lit(float(hi)))
-
-
-def synthetic_students(keys: DataFrame, key: str, seed: int = cfg.RANDOM_STATE) -> DataFrame:
-    """One synthetic student per row of ``keys`` (e.g. ``spark.range(n)`` or a key column)."""
-    k = F.col(key)
-    us = [uniform(k, s, seed) for s in (1, 2, 3)]
-    # median of three uniforms is Beta(2, 2)
-    ability = F.greatest(F.least(us[0], us[1]), F.least(F.greatest(us[0], us[1]), us[2]))
-    cols = {}
-    for i, (c, (w, mu, sd, lo, hi)) in enumerate(SCORE_MODEL.items()):
-        v = _clip(ability * w + normal(k, 10 + 2 * i, seed, mu, sd), lo, hi)
-        cols[c] = v.cast("int") if c in ("videos_watched", "discussion_participation") else F.round(v, 2)
-    genders = F.array(*[F.lit(g) for g in cfg.GENDERS])
-    depts = F.array(*[F.lit(d) for d in cfg.DEPARTMENTS])
-    pick = lambda arr, n, s: F.element_at(arr, (F.floor(uniform(k, s, seed) * n) + 1).cast("int"))
-    base = keys.select(
-        k.alias("_k"),
-        F.format_string("STU%04d", k.cast("long")).alias("student_id"),   # at least 4 digits, never cut
-        F.concat(F.lit("Student "), k.cast("string")).alias("name"),
-        pick(genders, len(cfg.GENDERS), 4).alias("gender"),
-        (F.lit(AGE_RANGE[0]) + F.floor(uniform(k, 5, seed) * (AGE_RANGE[1] - AGE_RANGE[0] + 1))).cast("int").alias("age"),
-        pick(depts, len(cfg.DEPARTMENTS), 6).alias("department"),
-        *[v.alias(c) for c, v in cols.items()],
-    )
-    score = sum((F.col(c) * w for c, w in LABEL_WEIGHTS.items()), F.lit(0.0))
-    fail_p = 1 / (1 + F.exp(LABEL_SLOPE * (score - LABEL_CENTRE)))
-    return base.withColumn("result", F.when(uniform(F.col("_k"), 7, seed) < fail_p, "Fail").otherwise("Pass")) \
-        .drop("_k")
-
 
 def seeded_sample(df: DataFrame, k: int, key: str, seed: int = cfg.RANDOM_STATE,
                   drop=(cfg.TARGET_COLUMN,)) -> DataFrame:

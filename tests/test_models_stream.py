@@ -22,7 +22,7 @@ def trained(spark):
 
 def test_training_results(trained):
     rows = trained.metrics.orderBy("model_order").collect()
-    assert [r.model for r in rows] == ["Logistic Regression", "Random Forest", "XGBoost"]
+    assert [r.model for r in rows] == ["Logistic Regression", "Random Forest", "Gradient Boosting"]
     assert sum(r.is_best for r in rows) == 1
     for r in rows:
         for m in ("accuracy", "precision", "recall", "f1", "auc", "cv_f1_mean"):
@@ -92,7 +92,7 @@ def test_entry_contract(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("model_name", ["Random Forest", "XGBoost"])
+@pytest.mark.parametrize("model_name", ["Random Forest", "Gradient Boosting"])
 def test_tree_attributions_local_accuracy(spark, trained, model_name):
     m = trained.models[model_name]
     attr = H.tree_attributions(m, trained.test)

@@ -60,14 +60,37 @@ def test_csv_roundtrip_with_na_tokens(spark, tmp_path):
         files.read_csv(spark, str(tmp_path / "missing.csv")).collect()
 
 
-def test_synthetic_is_partition_independent(spark):
-    a = synth.synthetic_students(spark.range(200).repartition(1), "id")
-    b = synth.synthetic_students(spark.range(200).repartition(7), "id")
-    assert sorted(a.collect()) == sorted(b.collect())
-    pdf = a.toPandas()
-    assert pdf["attendance_percentage"].between(30, 100).all() and set(pdf["result"]) <= {"Pass", "Fail"}
-    s = synth.seeded_sample(a, 20, "student_id")
-    assert s.count() == 20 and "result" not in s.columns
+def test_csv_messy_header_extra_column_and_line_break(spark, tmp_path):
+    p = tmp_path / "in.csv"
+    p.write_text('Student ID,Name,AGE,Extra\nS1,"Ann\nLee",21.0,x\nS2,Bob,21.5,NA\n')
+    df = files.read_csv(spark, str(p))
+    assert df.columns == ["student_id", "name", "age", "extra"]
+    assert [tuple(r) for r in df.orderBy("student_id").collect()] == [("S1", "Ann\nLee", 21, "x"), ("S2", "Bob", None, None)]
+    clash = tmp_path / "clash.csv"
+    clash.write_text("Student ID,student_id\n1,2\n")
+    with pytest.raises(ValueError, match="clash"):
+        files.read_csv(spark, str(clash))
+
+
+def test_csv_files_must_share_a_header(spark, tmp_path):
+    for i, head in enumerate(["student_id,name", "name,student_id"]):
+        (tmp_path / f"part-{i}.csv").write_text(f"{head}\na,b\n")
+    with pytest.raises(Exception, match="header"):
+        files.read_csv(spark, str(tmp_path)).collect()
+
+
+def test_seeded_sample_is_partition_independent(spark):
+    rows = table(spark, [student_row(f"S{i}") for i in range(60)])
+    a = synth.seeded_sample(rows.repartition(1), 20, "student_id")
+    b = synth.seeded_sample(rows.repartition(7), 20, "student_id")
+    assert a.count() == 20 and "result" not in a.columns
+    assert {r.student_id for r in a.collect()} == {r.student_id for r in b.collect()}
+
+
+def test_fold_keeps_a_row_without_order(spark):
+    b = table(spark, [student_row("S1", name="only")]).withColumn("row_ordinal", F.lit(None).cast("long"))
+    assert A.fold_batch(b).first()._first.name == "only"
+    assert A.lookup_first(b, b).first().name == "only"
 
 
 def test_snapshot_never_overwrites(spark):
@@ -79,12 +102,6 @@ def test_snapshot_never_overwrites(spark):
 
 
 def test_student_ids_never_truncated(spark):
-    from pyspark.sql import functions as F
-
-    from riskspark.sources import synth
     from riskspark.sources.fixtures import student_key
     got = [r[0] for r in spark.createDataFrame([(42,), (1234567,)], "k long").select(student_key(F.col("k"))).collect()]
     assert got == ["STU000042", "STU1234567"]
-    keys = spark.range(9998, 10003).select(F.col("id").alias("k"))
-    ids = [r.student_id for r in synth.synthetic_students(keys, "k").collect()]
-    assert sorted(ids) == ["STU10000", "STU10001", "STU10002", "STU9998", "STU9999"]
