@@ -178,6 +178,33 @@ def test_language_model(spark, corpus):
         assert any(abs(r.base_score - b) < 1e-6 and r.n_tokens == len(ws) and r.n_known == sum(w in counts for w in ws) for b, ws in zip(base, own))
 
 
+def test_attention_gradients_and_causality():
+    rng, m, n = np.random.default_rng(4), attention_lm, 5
+    weights = {k: rng.normal(0, 0.4, shape) for k, shape in m.SHAPES.items()}
+    x = rng.normal(0, 1, (n, m.SPAN, m.INPUT))
+    x[..., -1] = 1
+    valid = rng.random((n, m.SPAN)) < 0.8
+    valid[:, m.CONTEXT] = True
+    now, known = rng.random((n, m.STEP, 2)), rng.random((n, m.STEP, 2)) < 0.6
+    like, scored = rng.random((n, m.STEP, m.TOPICS + 2)), rng.random((n, m.STEP)) < 0.7
+    like[..., m.TOPICS:] *= known
+
+    def loss(w):
+        return -np.log(m.forward(w, x, valid, now, known, like)[0][scored]).sum() / scored.sum()
+
+    prob, kept = m.forward(weights, x, valid, now, known, like)
+    for name, grad in m.backward(weights, x, valid, like, prob, kept, scored).items():
+        for place in [tuple(rng.integers(0, d) for d in grad.shape) for _ in range(6)]:
+            high, low = ({k: w.copy() for k, w in weights.items()} for _ in range(2))
+            high[name][place] += 1e-3
+            low[name][place] -= 1e-3
+            assert abs((loss(high) - loss(low)) / 2e-3 - grad[place]) < 2e-4, (name, place)
+    later = x.copy()
+    later[:, m.CONTEXT + 4:, :-1] += 1  # inputs of later ids change nothing before them
+    after = m.forward(weights, later, valid, now, known, like)[0]
+    assert np.allclose(after[:, :4], prob[:, :4]) and not np.allclose(after[:, 4:], prob[:, 4:])
+
+
 @pytest.mark.parametrize("name", ["quality", "toxic"])
 def test_classifiers(spark, name):
     rng = random.Random(2)
