@@ -37,10 +37,11 @@ def alert_worklist(scored: DataFrame, recipient: str = DEFAULT_RECIPIENT) -> Dat
 
 
 def alert_outcomes(log: DataFrame) -> DataFrame:
-    """Count per status (sent / failed / pending), zero when absent."""
+    """Count per status (sent / failed / pending: zero when absent; other values keep their rows)."""
     counts = log.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
     grid = log.sparkSession.createDataFrame([(s,) for s in cfg.ALERT_STATUSES], "status string")
-    return grid.join(counts, "status", "left").select("status", F.coalesce("n", F.lit(0)).cast("bigint").alias("count"))
+    return grid.withColumnRenamed("status", "known").join(counts, F.col("known").eqNullSafe(F.col("status")), "full").select(
+        F.coalesce("status", "known").alias("status"), F.coalesce("n", F.lit(0)).cast("bigint").alias("count"))
 
 
 def report_rows(scored: DataFrame, risk_col: str = "risk_level") -> DataFrame:

@@ -95,11 +95,11 @@ def commit_snapshot(df: DataFrame, base_path: str | None = None) -> str:
 
 # -- A8 / A11 / A12 -------------------------------------------------------------
 
-def append_stamped(df: DataFrame, path: str, ts_col: str) -> DataFrame:
-    """Append rows stamped with the commit time (``NOW()``)."""
-    out = df.withColumn(ts_col, F.current_timestamp())
-    out.write.mode("append").parquet(path)
-    return out
+def append_stamped(df: DataFrame, path: str, ts_col: str) -> str:
+    """Append rows stamped with the commit time (``NOW()``); returns the path, to be
+    read back (the frame itself would run again and stamp another time)."""
+    df.withColumn(ts_col, F.current_timestamp()).write.mode("append").parquet(path)
+    return path
 
 
 # -- A9 --------------------------------------------------------------------------
@@ -160,6 +160,33 @@ STUDENTS_TABLE = [
     ColumnRule("result", "enum", nullable=True, domain=tuple(cfg.RESULT_DOMAIN)),
 ]
 
+# fixed values: the reference's contracts of its other tables (their ``id`` and time stamp are given on append)
+PREDICTIONS_TABLE = [
+    ColumnRule("student_id", "varchar", nullable=False, length=20),
+    ColumnRule("predicted_result", "enum", nullable=False, domain=tuple(cfg.RESULT_DOMAIN)),
+    ColumnRule("risk_level", "enum", nullable=False,
+               domain=(cfg.RISK_LABEL_HIGH, cfg.RISK_LABEL_MEDIUM, cfg.RISK_LABEL_LOW)),
+    ColumnRule("risk_score", "decimal", nullable=False, precision=5, scale=2),
+    ColumnRule("pass_probability", "decimal", nullable=False, precision=6, scale=4),
+    ColumnRule("fail_probability", "decimal", nullable=False, precision=6, scale=4),
+    ColumnRule("confidence", "decimal", nullable=False, precision=5, scale=2),
+]
+METRICS_TABLE = [
+    ColumnRule("model_name", "varchar", nullable=False, length=50),
+    ColumnRule("accuracy", "decimal", precision=6, scale=4),
+    ColumnRule("precision_score", "decimal", precision=6, scale=4),
+    ColumnRule("recall", "decimal", precision=6, scale=4),
+    ColumnRule("f1_score", "decimal", precision=6, scale=4),
+    ColumnRule("auc", "decimal", precision=6, scale=4),
+    ColumnRule("is_best", "tinyint", default=0),
+]
+ALERTS_TABLE = [
+    ColumnRule("student_id", "varchar", nullable=False, length=20),
+    ColumnRule("alert_type", "varchar", default=cfg.ALERT_TYPE, length=50),
+    ColumnRule("sent_to", "varchar", length=200),
+    ColumnRule("status", "enum", default="pending", domain=tuple(cfg.ALERT_STATUSES)),
+]
+
 _INT_RANGES = {"tinyint": (-128, 127), "smallint": (-32768, 32767)}
 
 
@@ -172,30 +199,31 @@ def _enum_value(c: F.Column, domain) -> F.Column:
     return expr
 
 
-def conform(df: DataFrame, rules=STUDENTS_TABLE, key: str = cfg.ID_COLUMN,
+def conform(df: DataFrame, rules=STUDENTS_TABLE, key: str | None = cfg.ID_COLUMN,
             order_col: str = "row_ordinal") -> DataFrame:
     """A10: conformed columns + ``reject_reasons`` ('' when the row is accepted).
 
     Defaults fill NULLs of NOT NULL columns that have one; decimals round half up
     to their scale; values outside a type's range, over-long strings, values
-    outside an ENUM, NULLs without default and repeated keys are reasons.
+    outside an ENUM, NULLs without default and repeated keys are reasons. An absent
+    column has its default in every row. ``key=None``: the table has no unique key of its own.
     """
     out, reasons = {}, []
     for r in rules:
-        c = F.col(r.name)
+        c = F.col(r.name) if r.name in df.columns else F.lit(r.default)
         if r.kind == "varchar":
             v = c.cast("string")
             reasons.append(F.when(F.length(v) > r.length, F.lit(f"{r.name} too long")))
         elif r.kind == "decimal":
             src = c.cast("double")
-            if r.default is not None:
+            if r.default is not None and not r.nullable:
                 src = F.coalesce(src, F.lit(float(r.default)))
             v = src.try_cast(f"decimal({r.precision},{r.scale})")
             reasons.append(F.when(src.isNotNull() & v.isNull(), F.lit(f"{r.name} out of range")))
         elif r.kind in _INT_RANGES:
             lo, hi = _INT_RANGES[r.kind]
             src = c.cast("double")
-            if r.default is not None:
+            if r.default is not None and not r.nullable:
                 src = F.coalesce(src, F.lit(float(r.default)))
             v = F.when((src >= lo) & (src <= hi), F.round(src).cast("int"))
             reasons.append(F.when(src.isNotNull() & v.isNull(), F.lit(f"{r.name} out of range")))
@@ -207,13 +235,16 @@ def conform(df: DataFrame, rules=STUDENTS_TABLE, key: str = cfg.ID_COLUMN,
         if not r.nullable:
             reasons.append(F.when(v.isNull() & c.isNull(), F.lit(f"{r.name} is null")))
         out[r.name] = v
+    def checked(rows, *more):
+        return rows.select(F.col(order_col), *[out[r.name].alias(r.name) for r in rules],
+                           F.concat_ws(";", F.filter(F.array(*reasons, *more), lambda x: x.isNotNull())).alias("reject_reasons"))
+
+    if key is None:
+        return checked(df)
     # first occurrence per key: join on (key, ordinal), which spreads a hot key's rows
     firsts = df.groupBy(F.col(key).alias("_fk")).agg(F.min(order_col).alias("_first_ordinal"))
     j = df.join(firsts, F.col(key).eqNullSafe(F.col("_fk")) & (F.col(order_col) == F.col("_first_ordinal")), "left")
-    dup = F.when(F.col("_first_ordinal").isNull(), F.lit(f"duplicate {key}"))
-    reasons.append(dup)
-    return j.select(F.col(order_col), *[out[r.name].alias(r.name) for r in rules],
-                    F.concat_ws(";", F.filter(F.array(*reasons), lambda x: x.isNotNull())).alias("reject_reasons"))
+    return checked(j, F.when(F.col("_first_ordinal").isNull(), F.lit(f"duplicate {key}")))
 
 
 def accepted_rows(conformed: DataFrame) -> DataFrame:

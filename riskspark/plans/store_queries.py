@@ -167,47 +167,114 @@ def a9_cascade_rename(spark, sf_dir):
     return A.cascade_rename(common.predictions(spark, sf_dir), key_map)
 
 
-def _dec_sql(c):
-    # DECIMAL(5,2): half-up rounding of the value's shortest decimal form; overflow -> NULL
-    v = f"ROUND(CAST(CAST(COALESCE(CAST({c} AS DOUBLE), 0.0) AS VARCHAR) AS DECIMAL(38, 10)), 2)"
-    return f"(CASE WHEN ABS({v}) < 1000 THEN CAST({v} AS DOUBLE) END)"
+def _dec_sql(c, r):
+    # half-up rounding of the value's shortest decimal form; overflow -> NULL
+    src = f"COALESCE(CAST({c} AS DOUBLE), {float(r.default)})" if r.default is not None and not r.nullable else f"CAST({c} AS DOUBLE)"
+    v = f"ROUND(CAST(CAST({src} AS VARCHAR) AS DECIMAL(38, 10)), {r.scale})"
+    return f"(CASE WHEN ABS({v}) < {10 ** (r.precision - r.scale)} THEN CAST({v} AS DOUBLE) END)", src
 
 
-def _conform_sql():
+def _conform_sql(rules=tuple(A.STUDENTS_TABLE), table="students", order_col="row_ordinal", key="student_id", absent=()):
     sel, reasons = [], []
-    for r in A.STUDENTS_TABLE:
+    for r in rules:
         c = r.name
-        if r.kind == "varchar":
+        if c in absent:
+            sel.append(f"'{r.default}' AS {c}")
+        elif r.kind == "varchar":
             sel.append(f"CAST({c} AS VARCHAR) AS {c}")
             reasons.append(f"CASE WHEN length(CAST({c} AS VARCHAR)) > {r.length} THEN '{c} too long' END")
-            reasons.append(f"CASE WHEN {c} IS NULL THEN '{c} is null' END")
+            if not r.nullable:
+                reasons.append(f"CASE WHEN {c} IS NULL THEN '{c} is null' END")
         elif r.kind == "decimal":
-            sel.append(f"{_dec_sql(c)} AS {c}")
-            reasons.append(f"CASE WHEN {_dec_sql(c)} IS NULL THEN '{c} out of range' END")
+            value, src = _dec_sql(c, r)
+            sel.append(f"{value} AS {c}")
+            reasons.append(f"CASE WHEN {src} IS NOT NULL AND {value} IS NULL THEN '{c} out of range' END")
+            if not r.nullable:
+                reasons.append(f"CASE WHEN {src} IS NULL THEN '{c} is null' END")
         elif r.kind in ("tinyint", "smallint"):
             lo, hi = (-128, 127) if r.kind == "tinyint" else (-32768, 32767)
-            src = f"CAST({c} AS DOUBLE)" if r.default is None else f"COALESCE(CAST({c} AS DOUBLE), {float(r.default)})"
+            src = f"CAST({c} AS DOUBLE)" if r.default is None or r.nullable else f"COALESCE(CAST({c} AS DOUBLE), {float(r.default)})"
             sel.append(f"CASE WHEN {src} BETWEEN {lo} AND {hi} THEN CAST(ROUND({src}) AS INTEGER) END AS {c}")
             reasons.append(f"CASE WHEN {src} IS NOT NULL AND NOT ({src} BETWEEN {lo} AND {hi}) "
                            f"THEN '{c} out of range' END")
             if not r.nullable:
                 reasons.append(f"CASE WHEN {src} IS NULL THEN '{c} is null' END")
         elif r.kind == "enum":
-            key = f"lower(rtrim(CAST({c} AS VARCHAR), ' '))"
-            case = "CASE " + " ".join(f"WHEN {key} = '{m.lower()}' THEN '{m}'" for m in r.domain) + " END"
+            low = f"lower(rtrim(CAST({c} AS VARCHAR), ' '))"
+            case = "CASE " + " ".join(f"WHEN {low} = '{m.lower()}' THEN '{m}'" for m in r.domain) + " END"
             sel.append(f"{case} AS {c}")
             reasons.append(f"CASE WHEN {c} IS NOT NULL AND ({case}) IS NULL THEN '{c} not in domain' END")
-    reasons.append("CASE WHEN row_ordinal <> MIN(row_ordinal) OVER (PARTITION BY student_id) "
-                   "THEN 'duplicate student_id' END")
-    return ("SELECT row_ordinal, " + ", ".join(sel) + ", concat_ws(';', " + ", ".join(reasons)
-            + ") AS reject_reasons FROM students")
+            if not r.nullable:
+                reasons.append(f"CASE WHEN {c} IS NULL THEN '{c} is null' END")
+    if key:
+        reasons.append(f"CASE WHEN {order_col} <> MIN({order_col}) OVER (PARTITION BY {key}) "
+                       f"THEN 'duplicate {key}' END")
+    return (f"SELECT {order_col}, " + ", ".join(sel) + ", concat_ws(';', " + ", ".join(reasons)
+            + f") AS reject_reasons FROM {table}")
+
+
+def _as_double(conformed, rules):
+    dec = [r.name for r in rules if r.kind == "decimal"]
+    return conformed.select(*[F.col(x).cast("double").alias(x) if x in dec else F.col(x) for x in conformed.columns])
 
 
 @register("a10_conform_students", with_views(_conform_sql(), STUDENTS_SQL))
 def a10_conform_students(spark, sf_dir):
-    c = A.conform(common.students(spark, sf_dir))
-    dec = [r.name for r in A.STUDENTS_TABLE if r.kind == "decimal"]
-    return c.select(*[F.col(x).cast("double").alias(x) if x in dec else F.col(x) for x in c.columns])
+    return _as_double(A.conform(common.students(spark, sf_dir)), A.STUDENTS_TABLE)
+
+
+@register("a10_conform_predictions", with_views(_conform_sql(A.PREDICTIONS_TABLE, "untidy", "id", None), PREDICTIONS_SQL, """
+untidy AS (SELECT * REPLACE (CONCAT(UPPER(predicted_result), ' ') AS predicted_result,
+    CASE WHEN id % 11 = 0 THEN 'Severe' ELSE risk_level END AS risk_level,
+    CASE WHEN id % 7 = 0 THEN risk_score * 1000 ELSE risk_score END AS risk_score,
+    CASE WHEN id % 13 = 0 THEN NULL ELSE confidence END AS confidence) FROM predictions)"""))
+def a10_conform_predictions(spark, sf_dir):
+    """Predictions as another program might send them, against the table's contract."""
+    untidy = common.predictions(spark, sf_dir).withColumns({
+        "predicted_result": F.concat(F.upper("predicted_result"), F.lit(" ")),
+        "risk_level": F.when(F.col("id") % 11 == 0, "Severe").otherwise(F.col("risk_level")),
+        "risk_score": F.when(F.col("id") % 7 == 0, F.col("risk_score") * 1000).otherwise(F.col("risk_score")),
+        "confidence": F.when(F.col("id") % 13 != 0, F.col("confidence"))})
+    return _as_double(A.conform(untidy, A.PREDICTIONS_TABLE, None, "id"), A.PREDICTIONS_TABLE)
+
+
+_ALERT_ROWS_SQL = f"""
+alert_rows AS (SELECT id, student_id, CONCAT('advisor.', student_id, '@college.edu') AS sent_to,
+    CASE id % 5 WHEN 0 THEN 'SENT' WHEN 1 THEN 'failed ' WHEN 2 THEN 'queued' WHEN 3 THEN 'pending' END AS status
+  FROM predictions WHERE risk_level = '{cfg.RISK_LABEL_HIGH}')"""
+
+
+def _alert_rows(spark, sf_dir):
+    n = F.col("id") % 5
+    return common.predictions(spark, sf_dir).filter(F.col("risk_level") == cfg.RISK_LABEL_HIGH).select(
+        "id", "student_id", F.concat(F.lit("advisor."), "student_id", F.lit("@college.edu")).alias("sent_to"),
+        F.when(n == 0, "SENT").when(n == 1, "failed ").when(n == 2, "queued").when(n == 3, "pending").alias("status"))
+
+
+@register("a10_conform_alerts", with_views(_conform_sql(A.ALERTS_TABLE, "alert_rows", "id", None, ("alert_type",)), PREDICTIONS_SQL, _ALERT_ROWS_SQL))
+def a10_conform_alerts(spark, sf_dir):
+    """Alert rows of every High Risk prediction, one status in five outside the domain; the type is the default."""
+    return A.conform(_alert_rows(spark, sf_dir), A.ALERTS_TABLE, None, "id")
+
+
+@register("j2_alert_outcomes_mixed", with_views("""
+SELECT s.status, CAST(COUNT(a.id) AS BIGINT) AS "count"
+FROM (VALUES ('sent'), ('failed'), ('pending')) s(status)
+LEFT JOIN alert_rows a ON LOWER(RTRIM(a.status)) = s.status GROUP BY s.status""", PREDICTIONS_SQL, _ALERT_ROWS_SQL))
+def j2_alert_outcomes_mixed(spark, sf_dir):
+    """Outcomes (J2) of an alert log that the contract let in, with sent, failed and pending rows."""
+    log = A.accepted_rows(A.conform(_alert_rows(spark, sf_dir), A.ALERTS_TABLE, None, "id"))
+    return J.alert_outcomes(log.filter(F.col("status").isNotNull()))
+
+
+@register("a9_fk_rejected_unlabelled", with_views(f"""
+SELECT * FROM predictions p WHERE NOT EXISTS (
+  SELECT 1 FROM students s WHERE s.student_id = p.student_id AND {cap(strip('s.result'))} IN ('Pass', 'Fail'))""",
+    STUDENTS_SQL, PREDICTIONS_SQL))
+def a9_fk_rejected_unlabelled(spark, sf_dir):
+    """Rows a foreign key to the students with a usable label rejects (a non-empty reject path)."""
+    kept = common.students(spark, sf_dir).filter(normalised_label("result").isin("Pass", "Fail"))
+    return A.fk_rejected(common.predictions(spark, sf_dir), kept)
 
 
 @register("a16_batch_preview", with_views("""

@@ -105,3 +105,15 @@ def test_student_ids_never_truncated(spark):
     from riskspark.sources.fixtures import student_key
     got = [r[0] for r in spark.createDataFrame([(42,), (1234567,)], "k long").select(student_key(F.col("k"))).collect()]
     assert got == ["STU000042", "STU1234567"]
+
+
+def test_metrics_contract_defaults_and_rejects(spark):
+    rows = spark.createDataFrame([(1, "Random Forest", 0.91237, None), (2, None, 0.5, 1), (3, "x" * 51, 0.5, 1), (4, "Boosting", 100.0, 300)],
+                                 "id long, model_name string, accuracy double, is_best int")
+    full = rows.selectExpr("*", "0.5D AS precision_score", "0.5D AS recall", "0.5D AS f1_score").drop("auc")
+    got = {r.id: r for r in A.conform(full.withColumn("auc", full.recall), A.METRICS_TABLE, None, "id").collect()}
+    assert float(got[1].accuracy) == 0.9124 and got[1].is_best is None and got[1].reject_reasons == ""
+    assert got[2].reject_reasons == "model_name is null" and got[3].reject_reasons == "model_name too long"
+    assert got[4].reject_reasons == "accuracy out of range;is_best out of range"
+    absent = A.conform(full.drop("is_best", "model_name"), A.METRICS_TABLE, None, "id").filter("id = 1").first()
+    assert absent.is_best == 0 and absent.auc is None and absent.reject_reasons == "model_name is null"
