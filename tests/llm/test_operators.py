@@ -178,6 +178,23 @@ def test_language_model(spark, corpus):
         assert any(abs(r.base_score - b) < 1e-6 and r.n_tokens == len(ws) and r.n_known == sum(w in counts for w in ws) for b, ws in zip(base, own))
 
 
+def test_rare_counts_of_the_language_model(spark, corpus, monkeypatch):
+    """Counts that are not sent to all tasks say the same as counts that are."""
+    seen = {}
+    for heavy in (0.0, 0.5):
+        monkeypatch.setattr(attention_lm, "HEAVY", heavy)
+        attention_lm._memo[0] = attention_lm.Memo()
+        docs = frame(spark, corpus).selectExpr("doc_id", "text", "coalesce(crc32(cast(cast(doc_id as string) as binary)) % 5 = 1, true) held")
+        model, rows, *_ = attention_lm.fit(docs)
+        batch = rows.select("doc_id", "text", "known").toArrow().combine_chunks()
+        for _, _, w, got, _, _ in attention_lm._streams(batch["text"].combine_chunks(), model, known=batch["known"].combine_chunks()):
+            seen.setdefault(heavy, {}).update({int(h): x for h, x in zip(w.hash, got["log_end"])})
+            seen[heavy, "sum"] = [round(float(got[n].sum()), 2) for n in ("share", "pair", "seen")]
+    assert seen[0.0] and seen[0.0].keys() == seen[0.5].keys()
+    assert all(abs(x - seen[0.5][h]) < 1e-9 for h, x in seen[0.0].items())
+    assert np.allclose(seen[0.0, "sum"], seen[0.5, "sum"], atol=0.05)
+
+
 def test_attention_gradients_and_causality():
     rng, m, n = np.random.default_rng(4), attention_lm, 5
     weights = {k: rng.normal(0, 0.4, shape) for k, shape in m.SHAPES.items()}
