@@ -195,6 +195,31 @@ def test_rare_counts_of_the_language_model(spark, corpus, monkeypatch):
     assert np.allclose(seen[0.0, "sum"], seen[0.5, "sum"], atol=0.05)
 
 
+def test_weights_see_every_window(spark, monkeypatch):
+    """The fit goes over each id of the training texts, and over one end mark a text."""
+    text = " ".join(f"w{i % 7}" for i in range(500))
+    docs = frame(spark, [(1, text), (2, "one two")]).selectExpr("doc_id", "text", "false held")
+    model, rows, *_ = attention_lm.fit(docs)
+    texts, seen, plain = rows.select("text", "known"), [], attention_lm.Model.windows
+
+    def windows(self, s):
+        for target, scored, args in plain(self, s):
+            seen.extend(s["ids"][target[scored]].tolist())
+            yield target, scored, args
+
+    class Here:
+        sparkSession = spark
+
+        def mapInArrow(self, run, schema):
+            list(run(texts.toArrow().combine_chunks().to_batches()))
+            return texts.mapInArrow(run, schema)
+
+    monkeypatch.setattr(attention_lm.Model, "windows", windows)
+    attention_lm._trained(Here(), model)
+    ids = sum(len(attention_lm.word_ids([w])[0]) for w in (text + " one two").split())
+    assert (len(seen), seen.count(attention_lm.END)) == (ids + 2, 2)
+
+
 def test_attention_gradients_and_causality():
     rng, m, n = np.random.default_rng(4), attention_lm, 5
     weights = {k: rng.normal(0, 0.4, shape) for k, shape in m.SHAPES.items()}
