@@ -1,11 +1,13 @@
-"""Substring dedup by line or sentence-paragraph hashing, with original offsets.
+"""Substring dedup by text, paragraph, line and sentence hashing, with original offsets.
 
-A unit is a run of words that ends at a line feed, at a word whose last byte is ``.``, ``!`` or
-``?``, or at the end of the text: the longest pieces that a copied passage shares with its source
-whatever stands around it on the line (pasted passages need not fill whole lines). A unit's digest
-covers its words, lower-cased, whatever the white space between. Digests are grouped over all
-documents; of equal units the one with the smallest (doc_id, unit number) stays, each other one is
-removed. Units of fewer than ``min_words`` words repeat by chance in clean documents and always stay.
+Units are runs of words: whole texts and their paragraphs, lines and sentences. A paragraph ends at white
+space with two line feeds or more, a line at a line feed, a sentence also at a word whose last byte is ``.``, ``!``
+or ``?`` (the longest pieces that a copied passage shares with its source whatever stands around it on
+the line: pasted passages need not fill whole lines). A unit's digest covers its words, lower-cased,
+whatever the white space between. Digests are grouped over all documents and kinds; of equal units the
+one with the smallest (doc_id, unit number) stays, each other one is removed. Units of fewer than
+``min_words`` words repeat by chance in clean documents and stay, unless a longer unit around them is
+removed. Of removed units that lie inside each other the longest is listed.
 
 Defined cases: null and empty texts and rows without doc_id have no units; rows of equal doc_id
 count as one document (equal units at equal numbers are one occurrence); an empty table gives an
@@ -16,7 +18,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskspark.llm import text as T
@@ -35,14 +37,17 @@ def _units(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         if not n:
             continue
         feeds = np.concatenate(([0], np.cumsum(data == 0x0A)))
-        nxt = np.append(w.start[1:], len(data))
-        last = _STOP[data[w.end - 1]] | (feeds[nxt] > feeds[w.end])
-        last[w.first[1:][w.first[1:] > 0] - 1] = True
-        stop = np.flatnonzero(last) + 1
-        begin = np.concatenate(([0], stop[:-1]))
+        breaks = np.minimum(feeds[np.append(w.start[1:], len(data))] - feeds[w.end], 2)
+        breaks[w.first[1:][w.first[1:] > 0] - 1] = 3
+        chars = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
+        runs = []
+        for last in (breaks > 2, breaks > 1, breaks > 0, (breaks > 0) | _STOP[data[w.end - 1]]):
+            stop = np.flatnonzero(last) + 1
+            runs.append(np.concatenate(([0], stop[:-1])) << 32 | stop)
+        runs = np.unique(np.concatenate(runs))  # runs that are units of several kinds count once
+        begin, stop = runs >> 32, runs & 0xFFFFFFFF
         doc = np.searchsorted(w.first, begin, "right") - 1
         digest = T.span_of(w.hash, begin, stop)
-        chars = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
         first = np.searchsorted(doc, np.arange(b - a))
         base = chars[off[doc]]
         out.append(pa.record_batch({
@@ -62,4 +67,6 @@ def removed_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     long = long.withColumn("rank", rank)
     first = (long.groupBy("digest", "words").agg(F.min("rank").alias("first"), F.max("rank").alias("last"), F.min("doc_id").alias("kept_doc_id"))
              .filter("last > first").drop("last"))
-    return long.join(first, ["digest", "words"]).filter("rank > first").select("doc_id", "unit", "start", "end", "words", "kept_doc_id").distinct()
+    removed = long.join(first, ["digest", "words"]).filter("rank > first").select("doc_id", "unit", "start", "end", "words", "kept_doc_id").distinct()
+    before = F.max("end").over(Window.partitionBy("doc_id").orderBy("start", F.desc("end"), "unit").rowsBetween(Window.unboundedPreceding, -1))
+    return removed.withColumn("before", before).filter("before is null or end > before").drop("before")

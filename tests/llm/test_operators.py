@@ -74,6 +74,16 @@ def test_passages(spark):
     assert [texts[1][1][r.start:r.end] for r in got] == ["AND SO HAS ITS SECOND SENTENCE HERE!"]
 
 
+def test_passages_of_short_sentences(spark):
+    line, poem = "It rains. We wait. He sings. All sleep.", "One two three.\nFour five.\n\nSix seven."
+    texts = [(1, f"First text here.\n{line}\nIts own end."), (2, f"Élan, other beginning!\n{line.upper()}\nOther end."), (3, poem), (4, f" {poem}\n"),
+             (5, "Before it.\n\nAn old line\nof four more words\n\nAfter."), (6, "An old line\nof four more words\n\nElse. It rains.")]
+    got = passage_dedup.removed_units(frame(spark, texts)).collect()
+    assert {(r.doc_id, r.kept_doc_id, dict(texts)[r.doc_id][r.start:r.end], r.words) for r in got} == {
+        (2, 1, line.upper(), 8), (4, 3, poem, 7), (6, 5, "An old line\nof four more words", 7)}
+    assert len(got) == 3
+
+
 def test_line_windows(spark):
     texts = [(1, "a\nb\nc\nd"), (2, "x\na\nb\nc\ny"), (3, "a\na\na\na\na"), (4, None), (5, "a\nb"), (6, "\n\n\n\n"), (None, "a\nb\nc")]
     got = {r.doc_id: r for r in line_dedup.query(frame(spark, texts)).collect()}
