@@ -232,3 +232,9 @@ def test_training_frame_is_rebalanced_not_left_in_class_partitions(spark):
                 spark.conf.unset(k)
             else:
                 spark.conf.set(k, v)
+
+
+def test_registered_queries_use_the_reference_sizes():
+    from riskspark.plans import ml_queries
+    p = ml_queries.QUERY_PARAMS
+    assert (p.rf_trees, p.gbt_iter, p.lr_max_iter) == (200, 200, 1000)
