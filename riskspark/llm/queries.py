@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from riskspark.llm import attention_lm, decontaminate, fingerprints, line_dedup, near_dedup, packing, passage_dedup, quality, toxicity, warc
+from riskspark.llm import attention_lm, decontaminate, fingerprints, line_dedup, near_dedup, packing, passage_dedup, quality, spelling, toxicity, warc
 from riskspark.llm.common import table
 
 
@@ -46,6 +46,10 @@ def op10_toxicity(spark, sf_dir):
     return toxicity.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_spelling(spark, sf_dir):
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
     "op2_substring_dedup": op2_substring_dedup,
@@ -57,9 +61,11 @@ QUERIES = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_line_dedup": op9_line_dedup,
     "op10_toxicity": op10_toxicity,
+    "op11_spelling": op11_spelling,
 }
 ORACLE = {
     "op1_near_dedup": near_dedup.SQL,
     "op3_decontamination": decontaminate.oracle(),
     "op9_line_dedup": line_dedup.SQL,
+    "op11_spelling": spelling.SQL,
 }
