@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from riskspark.llm import attention_lm, decontaminate, fingerprints, line_dedup, near_dedup, packing, passage_dedup, quality, spelling, toxicity, warc
+from riskspark.llm import attention_lm, decontaminate, fingerprints, line_dedup, near_dedup, packing, passage_dedup, quality, spelling, toxicity, turn_repair, warc
 from riskspark.llm.common import table
 
 
@@ -50,6 +50,10 @@ def op11_spelling(spark, sf_dir):
     return spelling.variants(table(spark, sf_dir, "documents"))
 
 
+def op12_turn_repair(spark, sf_dir):
+    return turn_repair.query(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
     "op2_substring_dedup": op2_substring_dedup,
@@ -62,10 +66,12 @@ QUERIES = {
     "op9_line_dedup": op9_line_dedup,
     "op10_toxicity": op10_toxicity,
     "op11_spelling": op11_spelling,
+    "op12_turn_repair": op12_turn_repair,
 }
 ORACLE = {
     "op1_near_dedup": near_dedup.SQL,
     "op3_decontamination": decontaminate.oracle(),
     "op9_line_dedup": line_dedup.SQL,
     "op11_spelling": spelling.SQL,
+    "op12_turn_repair": turn_repair.SQL,
 }
