@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from riskspark.llm import attention_lm, decontaminate, fingerprints, line_dedup, near_dedup, packing, passage_dedup, quality, spelling, toxicity, turn_repair, warc
+from riskspark.llm import attention_lm, decontaminate, fingerprints, html_wrapper, line_dedup, near_dedup, packing, passage_dedup, quality, spelling, toxicity, turn_repair, warc
 from riskspark.llm.common import table
 
 
@@ -54,6 +54,10 @@ def op12_turn_repair(spark, sf_dir):
     return turn_repair.query(table(spark, sf_dir, "conversations"))
 
 
+def op13_html_extraction(spark, sf_dir):
+    return html_wrapper.main_text(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
     "op2_substring_dedup": op2_substring_dedup,
@@ -67,6 +71,7 @@ QUERIES = {
     "op10_toxicity": op10_toxicity,
     "op11_spelling": op11_spelling,
     "op12_turn_repair": op12_turn_repair,
+    "op13_html_extraction": op13_html_extraction,
 }
 ORACLE = {
     "op1_near_dedup": near_dedup.SQL,
@@ -74,4 +79,5 @@ ORACLE = {
     "op9_line_dedup": line_dedup.SQL,
     "op11_spelling": spelling.SQL,
     "op12_turn_repair": turn_repair.SQL,
+    "op13_html_extraction": html_wrapper.SQL,
 }
