@@ -9,13 +9,13 @@ spreads a hot student's rows across the join by timestamp.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config as cfg
 from ..functions import first_words, np_round
 from .clean import normalised_label
-from .ordered import running_totals
+from .ordered import first_rows
 
 
 def latest_with_ties(preds: DataFrame, key: str = cfg.ID_COLUMN, ts: str = "predicted_at") -> DataFrame:
@@ -27,9 +27,7 @@ def latest_with_ties(preds: DataFrame, key: str = cfg.ID_COLUMN, ts: str = "pred
 def latest_one(preds: DataFrame, key: str = cfg.ID_COLUMN, ts: str = "predicted_at",
                tiebreak: str = "id") -> DataFrame:
     """Exactly one newest row per key; ties on the timestamp go to the larger ``tiebreak``."""
-    others = [c for c in preds.columns if c != key]
-    best = F.max_by(F.struct(*[F.col(c) for c in others]), F.struct(F.col(ts), F.col(tiebreak)))
-    return preds.groupBy(key).agg(best.alias("_b")).select(key, *[F.col(f"_b.{c}").alias(c) for c in others])
+    return first_rows(preds, key, ts, last=True, tiebreak=tiebreak).select(key, *[c for c in preds.columns if c != key])
 
 
 def student_predictions(students: DataFrame, preds: DataFrame) -> DataFrame:
@@ -65,16 +63,20 @@ def high_risk_ever(preds: DataFrame) -> DataFrame:
         F.count_distinct("student_id").alias("high_risk_count"))
 
 
-def prediction_history(preds: DataFrame) -> DataFrame:
+def prediction_history(preds: DataFrame, bucket_seconds: int = 86_400) -> DataFrame:
     """I5 for every student at once: history newest first with its position.
 
-    Position comes from distributed running totals over (student, -time, -id):
-    range partitioning on the composite key splits a hot student's history
-    across tasks instead of sorting it in one.
-    """
-    p = preds.withColumn("_one", F.lit(1))
-    ranked = running_totals(p, ["predicted_at", "id"], ["_one"], group_cols=["student_id"], descending=True)
-    return ranked.select(*preds.columns, F.col("_one_cum").cast("int").alias("history_position"))
+    Time is cut into buckets. The counts per (student, bucket), aggregated before the shuffle, say how many
+    predictions lie in later buckets; inside a bucket a rank over (student, bucket) does the rest. Only those counts and one shuffle of
+    the predictions are needed, and a hot student spreads over its buckets."""
+    b = F.floor(F.unix_micros(F.to_timestamp(F.col("predicted_at"))) / F.lit(bucket_seconds * 1_000_000)).cast("long")
+    p = preds.withColumn("_bucket", b)
+    later = Window.partitionBy("student_id").orderBy(F.col("_bucket").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    counts = p.groupBy("student_id", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    offsets = counts.select(F.col("student_id").alias("_s"), F.col("_bucket").alias("_b"), F.coalesce(F.sum("_n").over(later), F.lit(0)).alias("_later"))
+    met = p.join(offsets, F.col("student_id").eqNullSafe(F.col("_s")) & F.col("_bucket").eqNullSafe(F.col("_b")))
+    rank = F.row_number().over(Window.partitionBy("_s", "_b").orderBy(F.col("predicted_at").desc(), F.col("id").desc()))
+    return met.select(*preds.columns, (F.col("_later") + rank).cast("int").alias("history_position"))
 
 
 def recent_predictions(preds: DataFrame, n: int = cfg.RECENT_PREDICTIONS) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .. import config as cfg
 from ..functions import clip, nan_to_null, py_capitalize, py_strip, standard_name, to_double_or_zero
-from .ordered import dense_codes, exact_quantiles, running_totals
+from .ordered import dense_codes, exact_quantiles, first_rows, running_totals
 
 
 # -- B1 / B2 ---------------------------------------------------------------
@@ -60,17 +60,9 @@ def with_row_ordinal(df: DataFrame, name: str = "row_ordinal") -> DataFrame:
 
 
 def dedup_first(df: DataFrame, key: str = cfg.ID_COLUMN, order_col: str = "row_ordinal") -> DataFrame:
-    """Keep the first row (smallest ``order_col``) per key; NULL keys form one group.
-
-    ``min_by`` is a partial aggregate: each map task reduces its share of a hot
-    key to one candidate before the shuffle, so a key holding a third of the
-    rows costs one row per map task downstream. Rows without an order value come
-    last (``min_by`` alone would skip them and blank a key that has no others).
-    """
-    others = [c for c in df.columns if c != key]
-    best = F.min_by(F.struct(*[F.col(c) for c in others]), F.struct(F.col(order_col).isNull(), F.col(order_col)))
-    return df.groupBy(key).agg(best.alias("_first")).select(
-        *[F.col(key) if c == key else F.col(f"_first.{c}").alias(c) for c in df.columns])
+    """Keep the first row (smallest ``order_col``) per key; NULL keys form one group, rows
+    without an order value come last."""
+    return first_rows(df, key, order_col)
 
 
 # -- B4 / B5 / B6 ----------------------------------------------------------
@@ -289,15 +281,16 @@ def clean_fit(df: DataFrame, params: cfg.CleanParams = cfg.CleanParams(),
     df = validate_required(standardise_columns(df), params.required)
     if order_col not in df.columns:
         df = with_row_ordinal(df, order_col)
-    # several statistics are fitted on the de-duplicated rows: materialise them once
-    # (memory, spilling to disk; only lost partitions are recomputed if an executor goes).
-    # A written table or reliable checkpoint was measured 2-3 s slower per query at sf0.1
-    # and buys nothing here: the lineage is two shuffles deep, not iterative.
-    df = dedup_first(df, params.id_col, order_col).persist(StorageLevel.MEMORY_AND_DISK)
-    num = [c for c in params.numeric if c in df.columns]
-    med = exact_quantiles(df, num, [0.5]) if num else {}
-    # modes and label dictionaries in one pass (dictionaries of the imputed columns)
-    modes, dicts = fit_categoricals(df, params.categorical, with_modes=True)
+    # three scans fit the statistics: the rows are held (memory, then disk) until the last one is done
+    df = dedup_first(df, params.id_col, order_col)
+    held = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        num = [c for c in params.numeric if c in df.columns]
+        med = exact_quantiles(held, num, [0.5]) if num else {}
+        # modes and label dictionaries in one pass (dictionaries of the imputed columns)
+        modes, dicts = fit_categoricals(held, params.categorical, with_modes=True)
+    finally:
+        held.unpersist()
     state = ImputeState({c: med[c][0.5] for c in num}, modes)
     df = cap_outliers(impute(df, state), params.ranges)
     df, _ = encode_categoricals(df, params.categorical, dicts)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import config as cfg
 from ..functions import clip, np_round
-from .ordered import exact_quantile_frame
+from .ordered import exact_quantile_rows
 
 
 def attendance_risk(att="attendance_percentage", high=cfg.ATTENDANCE_HIGH,
@@ -61,20 +61,19 @@ def add_features(df: DataFrame) -> DataFrame:
 def describe_features(df: DataFrame, features=cfg.ENGINEERED_FEATURES) -> DataFrame:
     """Count, mean, std (n-1), min, 25/50/75 %, max per feature, one row per feature.
 
-    Moments come from one partial aggregate; quartiles from the exact
-    distributed order statistics (no single-task percentile buffer).
+    Moments are one aggregate over the wide rows; quartiles come from ``exact_quantile_rows``.
+    A feature without values has no row.
     """
     cols = [c for c in features if c in df.columns]
-    long = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in cols
-    ])).alias("_s")).select("_s.feature", "_s.v").where(F.col("v").isNotNull() & ~F.isnan("v"))
-    moments = long.groupBy("feature").agg(
-        F.count(F.lit(1)).alias("count"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"),
-        F.min("v").alias("min"), F.max("v").alias("max"))
-    q = exact_quantile_frame(df, cols, [0.25, 0.5, 0.75]).groupBy(F.col("column").alias("feature")).pivot(
-        "prob", [0.25, 0.5, 0.75]).agg(F.first("quantile"))
-    q = q.toDF("feature", "p25", "p50", "p75")
-    return moments.join(q, "feature").select("feature", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
+    number = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in cols}
+    kinds = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+    wide = df.agg(*[f(number[c]).alias(f"{c}__{k}") for c in cols for k, f in kinds.items()])
+    quartiles = {(c, p): q for c, p, q, _ in exact_quantile_rows(df, cols, [0.25, 0.5, 0.75])}
+    part = lambda c, k: F.col(f"{c}__{k}").alias(k)
+    rows = [F.struct(F.lit(c).alias("feature"), part(c, "count"), part(c, "mean"), part(c, "std"), part(c, "min"),
+                     *[F.lit(quartiles.get((c, p))).cast("double").alias(f"p{p * 100:.0f}") for p in (0.25, 0.5, 0.75)], part(c, "max"))
+            for c in cols]
+    return wide.select(F.explode(F.array(*rows)).alias("r")).select("r.*").filter(F.col("count") > 0)
 
 
 def profile_axes(df: DataFrame, key: str = cfg.ID_COLUMN, axes=cfg.PROFILE_AXES,

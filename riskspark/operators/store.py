@@ -3,7 +3,7 @@
 Parquet has no MERGE, unique key or foreign key, so each relational guarantee
 of the reference's tables is a set operation:
 
-* upsert   -- fold the batch per key (partial ``min_by``/``max_by``), full outer
+* upsert   -- fold the batch per key (partial ``min``/``max`` of the order), full outer
               join with the current snapshot, write a new snapshot;
 * FK       -- ``left_semi`` keeps, ``left_anti`` rejects, cascades are joins;
 * DDL      -- every row checked against the column contract, split into
@@ -17,11 +17,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config as cfg
 from ..session import scratch_path
+from .ordered import first_rows
 
 UPDATE_ON_DUPLICATE = ["name", "attendance_percentage"]
 
@@ -41,23 +42,25 @@ def select_with_params(spark, query: str, args: dict, **frames) -> DataFrame:
 
 def lookup_first(table: DataFrame, keys: DataFrame, key: str = cfg.ID_COLUMN,
                  order_col: str = "row_ordinal") -> DataFrame:
-    """A5 for a batch of ids: the first matching row per requested id (semi join + min_by)."""
-    hits = table.join(keys.select(key).distinct(), key, "left_semi")
-    others = [c for c in table.columns if c != key]
-    return hits.groupBy(key).agg(F.min_by(F.struct(*others), F.struct(F.col(order_col).isNull(), order_col)).alias("_r")).select(
-        *[F.col(key) if c == key else F.col(f"_r.{c}").alias(c) for c in table.columns])
+    """A5 for a batch of ids: the first matching row per requested id."""
+    return first_rows(table.join(keys.select(key).distinct(), key, "left_semi").select(*table.columns), key, order_col)
 
 
 # -- A6 / A7 ------------------------------------------------------------------
 
 def fold_batch(batch: DataFrame, key: str = cfg.ID_COLUMN, update_cols=UPDATE_ON_DUPLICATE,
                order_col: str = "row_ordinal") -> DataFrame:
-    """Per key, the first row's columns with ``update_cols`` from the last row; plus row count."""
+    """Per key ``_first`` (the first row's columns), ``_last`` (the ``update_cols`` of the last row) and the row count.
+
+    First, last and count are one hash aggregate; a join on (key, order) fetches the two rows' columns."""
     others = [c for c in batch.columns if c != key]
-    return batch.groupBy(key).agg(
-        F.min_by(F.struct(*others), F.struct(F.col(order_col).isNull(), order_col)).alias("_first"),
-        F.max_by(F.struct(*update_cols), F.struct(F.col(order_col).isNotNull(), order_col)).alias("_last"),
-        F.count(F.lit(1)).alias("_batch_rows"))
+    at, k = F.col(order_col), F.col(key)
+    ends = batch.groupBy(k.alias("_k")).agg(F.min(at).alias("_lo"), F.max(at).alias("_hi"), F.count(F.lit(1)).alias("_batch_rows"))
+    on = k.eqNullSafe(F.col("_k")) & (at.eqNullSafe(F.col("_lo")) | at.eqNullSafe(F.col("_hi")))
+    among = F.row_number().over(Window.partitionBy("_k", at).orderBy(at))
+    rows = batch.join(ends.hint("shuffle_hash"), on).withColumn("_of", among).filter("_of = 1")  # any one of equal orders
+    pick = lambda c, cols: F.get(F.collect_list(F.when(at.eqNullSafe(F.col(c)), F.struct(*cols))), F.lit(0))  # noqa: E731  one row at most
+    return rows.groupBy(k).agg(pick("_lo", others).alias("_first"), pick("_hi", update_cols).alias("_last"), F.first("_batch_rows").alias("_batch_rows"))
 
 
 def upsert(existing: DataFrame, batch: DataFrame, key: str = cfg.ID_COLUMN,
