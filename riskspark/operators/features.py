@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -61,19 +62,21 @@ def add_features(df: DataFrame) -> DataFrame:
 def describe_features(df: DataFrame, features=cfg.ENGINEERED_FEATURES) -> DataFrame:
     """Count, mean, std (n-1), min, 25/50/75 %, max per feature, one row per feature.
 
-    Moments are one aggregate over the wide rows; quartiles come from ``exact_quantile_rows``.
-    A feature without values has no row.
+    One scan for the moments and two for the quartiles (``exact_quantile_rows``) read the features, which are held
+    for them (memory, then disk) and released. A feature without values has no row.
     """
     cols = [c for c in features if c in df.columns]
-    number = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in cols}
-    kinds = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
-    wide = df.agg(*[f(number[c]).alias(f"{c}__{k}") for c in cols for k, f in kinds.items()])
-    quartiles = {(c, p): q for c, p, q, _ in exact_quantile_rows(df, cols, [0.25, 0.5, 0.75])}
-    part = lambda c, k: F.col(f"{c}__{k}").alias(k)
-    rows = [F.struct(F.lit(c).alias("feature"), part(c, "count"), part(c, "mean"), part(c, "std"), part(c, "min"),
-                     *[F.lit(quartiles.get((c, p))).cast("double").alias(f"p{p * 100:.0f}") for p in (0.25, 0.5, 0.75)], part(c, "max"))
-            for c in cols]
-    return wide.select(F.explode(F.array(*rows)).alias("r")).select("r.*").filter(F.col("count") > 0)
+    held = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        kinds = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+        number = {c: F.when(~F.isnan(c), F.col(c)) for c in cols}
+        row = held.agg(*[f(number[c]).alias(f"{c}__{k}") for c in cols for k, f in kinds.items()]).first() if cols else {}
+        quartiles = {(c, p): q for c, p, q, _ in exact_quantile_rows(held, cols, [0.25, 0.5, 0.75])}
+    finally:
+        held.unpersist()
+    rows = [(c, *[row[f"{c}__{k}"] for k in ("count", "mean", "std", "min")], *[quartiles[c, p] for p in (0.25, 0.5, 0.75)], row[f"{c}__max"])
+            for c in cols if row[f"{c}__count"]]
+    return df.sparkSession.createDataFrame(rows, "feature string, count long, mean double, std double, min double, p25 double, p50 double, p75 double, max double")
 
 
 def profile_axes(df: DataFrame, key: str = cfg.ID_COLUMN, axes=cfg.PROFILE_AXES,

@@ -8,6 +8,7 @@ from .. import config as cfg
 from ..operators import analytics as I
 from ..operators import outreach as J
 from ..operators import store as A
+from ..operators import tables
 from ..operators.clean import dedup_first, normalised_label
 from ..session import scratch_path
 from ..sources import files, synth
@@ -285,6 +286,110 @@ def a16_batch_preview(spark, sf_dir):
         .orderBy("student_id").limit(cfg.PREVIEW_ROWS)
 
 
+# -- kept tables (manifest, buckets, numbered appends) -----------------------------
+
+_TABLE_SQL = f"""
+was AS (SELECT * EXCLUDE (reject_reasons) FROM ({_conform_sql(table="(SELECT * FROM dedup WHERE student_id IN (SELECT student_id FROM predictions)) x", key=None)}) t WHERE reject_reasons = ''),
+tried AS ({_conform_sql(key=None)}),
+came AS (SELECT * EXCLUDE (reject_reasons) FROM tried WHERE reject_reasons = ''),
+came_first AS (SELECT * FROM came QUALIFY ROW_NUMBER() OVER (PARTITION BY student_id ORDER BY row_ordinal) = 1),
+came_last AS (SELECT * FROM came QUALIFY ROW_NUMBER() OVER (PARTITION BY student_id ORDER BY row_ordinal DESC) = 1),
+kept AS (SELECT w.* REPLACE (CASE WHEN l.student_id IS NULL THEN w.name ELSE l.name END AS name,
+      CASE WHEN l.student_id IS NULL THEN w.attendance_percentage ELSE l.attendance_percentage END AS attendance_percentage)
+    FROM was w LEFT JOIN came_last l ON l.student_id = w.student_id
+  UNION ALL SELECT f.* REPLACE (l.name AS name, l.attendance_percentage AS attendance_percentage)
+    FROM came_first f JOIN came_last l ON l.student_id = f.student_id WHERE f.student_id NOT IN (SELECT student_id FROM was))"""
+_TABLE_VIEWS = (STUDENTS_SQL, PREDICTIONS_SQL, DEDUP_SQL, _TABLE_SQL)
+_BUCKETS = 16
+
+
+def _upserted_table(spark, sf_dir):
+    """A table of the students with a prediction, then an upsert of every student row as it came."""
+    path = scratch_path(spark, "student_table")
+    s = common.students(spark, sf_dir)
+    tables.create(spark, path, tables.table_schema(A.STUDENTS_TABLE), buckets=_BUCKETS)
+    tables.upsert(spark, path, dedup_first(s).join(common.predictions(spark, sf_dir).select("student_id"), "student_id", "left_semi"))
+    return path, tables.upsert(spark, path, s)
+
+
+@register("a6_table_upsert", with_views("SELECT * FROM kept", *_TABLE_VIEWS))
+def a6_table_upsert(spark, sf_dir):
+    """The bucketed table after an upsert whose rows had to meet the contract."""
+    path, _ = _upserted_table(spark, sf_dir)
+    return _as_double(tables.read(spark, path), A.STUDENTS_TABLE)
+
+
+@register("a7_table_upsert_counts", with_views("""
+SELECT CAST((SELECT COUNT(*) FROM came_first WHERE student_id NOT IN (SELECT student_id FROM was)) AS BIGINT) AS inserted,
+       CAST((SELECT COUNT(*) FROM came_first WHERE student_id IN (SELECT student_id FROM was)) AS BIGINT) AS updated,
+       CAST((SELECT COUNT(*) FROM came) AS BIGINT) AS accepted,
+       CAST((SELECT COUNT(*) FROM tried WHERE reject_reasons <> '') AS BIGINT) AS rejected""", *_TABLE_VIEWS))
+def a7_table_upsert_counts(spark, sf_dir):
+    """What the upsert reports: keys inserted and updated, batch rows accepted and refused."""
+    got = _upserted_table(spark, sf_dir)[1]
+    names = ["inserted", "updated", "accepted", "rejected"]
+    return spark.createDataFrame([tuple(got[n] for n in names)], ", ".join(f"{n} long" for n in names))
+
+
+_LOG_SQL = f"""
+untidy AS (SELECT * REPLACE (CASE WHEN id % 11 = 0 THEN 'Severe' ELSE risk_level END AS risk_level,
+    CASE WHEN id % 7 = 0 THEN risk_score * 1000 ELSE risk_score END AS risk_score) FROM predictions),
+parents AS (SELECT DISTINCT student_id FROM students WHERE {cap(strip("result"))} IN ('Pass', 'Fail')),
+judged AS (SELECT c.* EXCLUDE (reject_reasons), concat_ws(';', NULLIF(reject_reasons, ''),
+      CASE WHEN p.student_id IS NULL THEN 'unknown student_id' END) AS reject_reasons
+    FROM ({_conform_sql(A.PREDICTIONS_TABLE, "untidy", "id", None)}) c LEFT JOIN parents p ON p.student_id = c.student_id)"""
+
+
+def _appended_log(spark, sf_dir):
+    """Predictions appended in two batches, the second one sent twice; some break the contract or have no parent."""
+    path = scratch_path(spark, "prediction_log")
+    tables.create(spark, path, tables.log_schema(A.PREDICTIONS_TABLE, "predicted_at"), buckets=0)
+    untidy = common.predictions(spark, sf_dir).drop("predicted_at").withColumns({
+        "risk_level": F.when(F.col("id") % 11 == 0, "Severe").otherwise(F.col("risk_level")),
+        "risk_score": F.when(F.col("id") % 7 == 0, F.col("risk_score") * 1000).otherwise(F.col("risk_score"))}).withColumnRenamed("id", "row_ordinal")
+    parents = common.students(spark, sf_dir).filter(normalised_label("result").isin("Pass", "Fail"))
+    for batch, half in (("even", 0), ("odd", 1), ("odd", 1)):
+        tables.append(spark, path, untidy.filter(F.pmod("row_ordinal", F.lit(2)) == half), A.PREDICTIONS_TABLE, ["row_ordinal"],
+                      parents, batch, "predicted_at")
+    return path
+
+
+@register("a8_append_numbered", with_views(
+    "SELECT ROW_NUMBER() OVER (ORDER BY id % 2, id) AS id, " + ", ".join(r.name for r in A.PREDICTIONS_TABLE) + " FROM judged WHERE reject_reasons = ''",
+    STUDENTS_SQL, PREDICTIONS_SQL, _LOG_SQL))
+def a8_append_numbered(spark, sf_dir):
+    """The prediction log (A8): ids go on from the high-water mark; every column but the time stamp."""
+    return _as_double(tables.read(spark, _appended_log(spark, sf_dir)), A.PREDICTIONS_TABLE).drop("predicted_at")
+
+
+@register("a8_append_rejects", with_views(
+    "SELECT id AS row_ordinal, student_id, reject_reasons FROM judged WHERE reject_reasons <> ''", STUDENTS_SQL, PREDICTIONS_SQL, _LOG_SQL))
+def a8_append_rejects(spark, sf_dir):
+    """Rows that the append refused: contract reasons and unknown parents."""
+    return tables.rejects(spark, _appended_log(spark, sf_dir)).select("row_ordinal", "student_id", "reject_reasons")
+
+
+@register("a5_single_lookup", with_views(
+    "SELECT * FROM dedup WHERE student_id = (SELECT MIN(student_id) FROM predictions)", STUDENTS_SQL, PREDICTIONS_SQL, DEDUP_SQL))
+def a5_single_lookup(spark, sf_dir):
+    """One student's row by key from a bucketed table: one bucket is read, with the key's filter pushed into the scan."""
+    path = scratch_path(spark, "student_table")
+    tables.load(dedup_first(common.students(spark, sf_dir)), path, buckets=_BUCKETS)
+    one = common.predictions(spark, sf_dir).agg(F.min("student_id")).first()[0]
+    return tables.read(spark, path, [one])
+
+
+@register("i5_single_history", with_views("""
+SELECT *, CAST(ROW_NUMBER() OVER (ORDER BY predicted_at DESC, id DESC) AS INTEGER) AS history_position
+FROM predictions WHERE student_id = (SELECT MIN(student_id) FROM predictions)""", PREDICTIONS_SQL))
+def i5_single_history(spark, sf_dir):
+    """One student's predictions, newest first, from a table bucketed by student."""
+    path = scratch_path(spark, "prediction_table")
+    p = common.predictions(spark, sf_dir)
+    tables.load(p, path, buckets=_BUCKETS)
+    return I.prediction_history(tables.read(spark, path, [p.agg(F.min("student_id")).first()[0]]))
+
+
 # -- rows-only (time stamps, hashing RNG) -----------------------------------------
 
 @register("a8_append_predictions")

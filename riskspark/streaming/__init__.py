@@ -1,5 +1,5 @@
 """Structured Streaming operators."""
 
-from .scoring import run_stream, scoring_transform
+from .scoring import Running, batch_writer, run_stream, run_stream_to_tables, scoring_transform
 
-__all__ = ["run_stream", "scoring_transform"]
+__all__ = ["Running", "batch_writer", "run_stream", "run_stream_to_tables", "scoring_transform"]

@@ -9,7 +9,7 @@ from riskspark.operators import explain as H
 from riskspark.operators import models as D
 from riskspark.plans import common
 from riskspark.session import scratch_path
-from riskspark.streaming import run_stream, scoring_transform
+from riskspark.streaming import batch_writer, run_stream, run_stream_to_tables, scoring_transform
 from tests.conftest import SF_SMALL, STRONG, STUDENT_COLS, WEAK, student_row
 
 SMALL = D.TrainParams(rf_trees=5, gbt_iter=5, lr_max_iter=50)
@@ -78,7 +78,7 @@ def test_stream_equals_batch(spark):
     src = common.students(spark, SF_SMALL)
     path = scratch_path(spark, "t_stream_in")
     src.repartition(3).write.parquet(path)
-    sink = run_stream(spark, path, src.schema)
+    sink = run_stream(spark, path, src.schema).sink
     cols = ["row_ordinal", "attendance_risk", "engagement_score", "overall_academic_score"]
     got = sorted(spark.read.parquet(sink).select(*cols).collect())
     want = sorted(scoring_transform(src).select(*cols).collect())
@@ -238,3 +238,29 @@ def test_registered_queries_use_the_reference_sizes():
     from riskspark.plans import ml_queries
     p = ml_queries.QUERY_PARAMS
     assert (p.rf_trees, p.gbt_iter, p.lr_max_iter) == (200, 200, 1000)
+
+
+def test_stream_to_table_once_and_stopped(spark):
+    """A batch that is run again adds no row; a running query is in the caller's hands."""
+    from riskspark.operators import tables
+    from riskspark.plans.stream_queries import AttendanceRule
+
+    src = spark.createDataFrame([(i, *student_row(f"S{i}", att=float(i))) for i in range(30)], "row_ordinal long, " + STUDENT_COLS)
+    path, log = scratch_path(spark, "t_stream_in"), scratch_path(spark, "t_stream_log")
+    src.filter("row_ordinal < 20").write.parquet(path)
+    parent = src.filter("row_ordinal <> 3").select("student_id")
+    q = run_stream_to_tables(spark, path, src.schema, log, AttendanceRule(), parent, available_now=False, processing_time="1 second")
+    q.query.processAllAvailable()
+    src.filter("row_ordinal >= 20").write.mode("append").parquet(path)
+    q.query.processAllAvailable()
+    assert q.query.isActive
+    q.query.stop()
+    assert not q.query.isActive and q.sink == log
+    out = tables.read(spark, log)
+    assert out.count() == 29 and [r.id for r in out.orderBy("id").collect()] == list(range(1, 30))
+    assert [r.student_id for r in tables.rejects(spark, log).collect()] == ["S3"]
+    write = batch_writer(log, AttendanceRule(), parent)
+    write(src, 0)  # a number that is committed
+    assert tables.read(spark, log).count() == 29
+    write(src, 99)
+    assert tables.read(spark, log).count() == 58
