@@ -117,3 +117,46 @@ def test_metrics_contract_defaults_and_rejects(spark):
     assert got[4].reject_reasons == "accuracy out of range;is_best out of range"
     absent = A.conform(full.drop("is_best", "model_name"), A.METRICS_TABLE, None, "id").filter("id = 1").first()
     assert absent.is_best == 0 and absent.auc is None and absent.reject_reasons == "model_name is null"
+
+
+def test_csv_splits_inside_quotes(spark, tmp_path):
+    """Splits of a few bytes to a few kilobytes: every record is whole, whatever its line breaks and quotes."""
+    import csv
+    import io
+    import random
+
+    rng = random.Random(3)
+    bits = ["plain", "two\nlines", 'a "quoted" word', "comma, here", "\n\n", 'tail"', '"', "x" * 300, "late\n" * 80, "é", "", 'in 5" pipe'.replace('"', "''")]
+    rows = [[f"S{i}", rng.choice(bits), rng.choice(bits), str(i)] for i in range(400)]
+    text = io.StringIO()
+    csv.writer(text, lineterminator="\n").writerows([["Student ID", "Name", "Remark", "Age"], *rows])
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "one.csv").write_text(text.getvalue())
+    more = [[f"T{i}", 'half 5" open', "b", "7"] for i in range(50)]  # a quote inside an unquoted field is a character
+    (tmp_path / "a" / "two.csv").write_text("Student ID,Name,Remark,Age\r\n\r\n" + "".join(",".join(r) + "\r\n" for r in more))
+    want = sorted((a, None if b in files.PANDAS_NA_TOKENS else b, None if c in files.PANDAS_NA_TOKENS else c, int(d)) for a, b, c, d in rows + more)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        for size in ("97", "1000", "7001", "128m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "1")
+            df = files.read_csv(spark, str(tmp_path / "a"), position="place")
+            got = df.collect()
+            assert sorted(((r.student_id, r.name, r.remark, r.age) for r in got), key=str) == sorted(want, key=str), size
+            in_order = [r.student_id for r in sorted(got, key=lambda r: tuple(r.place)) if r.student_id[0] == "S"]
+            if size == "128m":
+                assert in_order == [r[0] for r in rows]
+            if size == "97":
+                assert spark.read.text(str(tmp_path / "a")).rdd.getNumPartitions() > 100
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+
+
+def test_csv_open_quote_runs_to_the_end(spark, tmp_path):
+    (tmp_path / "x.csv").write_text('student_id,name\nS1,a\nS2,"never closed\nS3,b\n')
+    assert [(r.student_id, r.name) for r in files.read_csv(spark, str(tmp_path / "x.csv")).orderBy("student_id").collect()] == [("S1", "a"), ("S2", "never closed\nS3,b")]
+    (tmp_path / "y.csv").write_text("student_id,name\nS4,d\n")
+    assert files.read_csv(spark, str(tmp_path)).count() == 3
+    (tmp_path / "empty.csv").write_text("")
+    assert files.read_csv(spark, str(tmp_path / "empty.csv")).count() == 0
