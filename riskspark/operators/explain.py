@@ -8,6 +8,9 @@
   Arrow batches, with the fitted trees' node tables broadcast (their size is the
   model's, not the data's).
 
+* Any probability function: permutation Shapley values against a background table
+  (``sampled_attributions``), in probability space, with a stated error.
+
 Long form (key, feature, value) feeds the global ranking (H2), the per-student
 sorted view (H3) and the waterfall (H4); the per-row views use array functions,
 so they never shuffle.
@@ -57,6 +60,95 @@ def model_linear_attributions(model, df: DataFrame, background: DataFrame, featu
     return linear_attributions(df, eff, background_means(background, features), key, intercept)
 
 
+# -- any model, by sampling ------------------------------------------------------
+
+def background_table(background: DataFrame, features, rows: int = 64, key: str = cfg.ID_COLUMN):
+    """At most ``rows`` complete rows of the background (the first by a hash of their key) as a matrix."""
+    import numpy as np
+
+    from .clean import drop_incomplete
+
+    feats = [F.col(c).cast("double").alias(c) for c in features]
+    some = drop_incomplete(background.select(key, *feats), list(features)).orderBy(F.xxhash64(key), *features).limit(rows).collect()
+    return np.array([[r[c] for c in features] for r in some], dtype=float).reshape(-1, len(features))
+
+
+def logistic_probability(model, features=cfg.MODEL_FEATURES):
+    """P(class 1) of a scaled logistic-regression pipeline as a function of a matrix of raw features."""
+    import numpy as np
+
+    eff, _, intercept = lr_effective_weights(model, features)
+    w = np.array([eff[f] for f in features])
+    return lambda x: 1.0 / (1.0 + np.exp(-np.clip(x @ w + intercept, -700, 700)))
+
+
+def permutation_shapley(fn, x, background, pairs: int, seed: int = 42):
+    """(values, standard errors, base) of the rows of ``x``: Shapley values of ``fn`` with absent features taken from
+    the background rows.
+
+    Each of ``pairs`` random orders is walked forwards and backwards (which cancels the first-order error); features
+    are switched on one by one and what each step adds, averaged over the background, is the feature's. So values
+    add up to ``fn(x)`` minus the base whatever the orders; their error is that of the mean over pairs."""
+    import numpy as np
+
+    rng = np.random.Generator(np.random.PCG64(seed))
+    n, m = x.shape
+    b = len(background)
+    start = np.broadcast_to(background[None], (n, b, m))
+    base = float(fn(background).mean())
+    total, square = np.zeros((n, m)), np.zeros((n, m))
+    for _ in range(pairs):
+        order = rng.permutation(m)
+        got = np.zeros((n, m))
+        for walk in (order, order[::-1]):
+            z = start.copy()
+            before = np.full(n, base)
+            for j in walk:
+                z[:, :, j] = x[:, None, j]
+                now = fn(z.reshape(-1, m)).reshape(n, b).mean(axis=1)
+                got[:, j] += (now - before) / 2
+                before = now
+        total += got
+        square += got * got
+    mean = total / pairs
+    spread = np.maximum(square / pairs - mean * mean, 0.0)
+    return mean, np.sqrt(spread / max(pairs - 1, 1)), base
+
+
+def sampled_attributions(fn, df: DataFrame, background, features=cfg.MODEL_FEATURES, key: str = cfg.ID_COLUMN,
+                         pairs: int = 16, seed: int = 42, rows_at_once: int = 256) -> DataFrame:
+    """H1 (any model, probability space): permutation Shapley values of ``fn`` (matrix -> probabilities).
+
+    ``background``: a matrix (see ``background_table``). Adds ``attributions`` = ARRAY<STRUCT<feature, value, error>>
+    (error: the value's standard error) and ``base_value``. All rows use the same orders, so results do not
+    depend on partitions. A row with a missing feature has no attributions (empty array)."""
+    import numpy as np
+    import pandas as pd
+
+    spark, names, back = df.sparkSession, list(features), background  # the model and the background's rows go with the task
+    rows = df.select(key, *[F.col(c).cast("double").alias(c) for c in names])
+    rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+    def batches(it):
+        for pdf in it:
+            for at in range(0, len(pdf), rows_at_once):
+                part = pdf.iloc[at:at + rows_at_once]
+                x = part[names].to_numpy(float)
+                ok = ~np.isnan(x).any(axis=1) & (len(back) > 0)
+                value = error = np.zeros((0, len(names)))
+                base = np.nan
+                if ok.any():
+                    value, error, base = permutation_shapley(fn, x[ok], back, pairs, seed)
+                place = np.cumsum(ok) - 1
+                yield pd.DataFrame({key: part[key].to_numpy(), "value": [value[p].tolist() if o else [] for p, o in zip(place, ok)],
+                                    "error": [error[p].tolist() if o else [] for p, o in zip(place, ok)], "base_value": base})
+
+    schema = f"`{key}` {rows.schema[key].dataType.simpleString()}, value array<double>, error array<double>, base_value double"
+    label = F.array(*[F.lit(f) for f in names])
+    zipped = F.transform(F.arrays_zip("value", "error"), lambda v, i: F.struct(F.get(label, i).alias("feature"), v.value.alias("value"), v.error.alias("error")))
+    return rows.mapInPandas(batches, schema).select(key, zipped.alias("attributions"), "base_value")
+
+
 def attributions_long(attr: DataFrame, key: str = cfg.ID_COLUMN) -> DataFrame:
     return attr.select(key, F.inline("attributions"))
 

@@ -155,7 +155,7 @@ class TrainResult:
 
 
 def prepare_training(featured: DataFrame, params: TrainParams = TrainParams()) -> DataFrame:
-    """B13 + B14 + D1/D6 on a cleaned, feature-engineered table; checkpointed and cached."""
+    """B13 + B14 + D1/D6 on a cleaned, feature-engineered table; checkpointed."""
     cols = [params.key, *params.features, params.label]
     df = drop_incomplete(select_features(featured, params.features, keep=[params.key, params.label])
                          .select(*cols), params.features + [params.label])
@@ -165,7 +165,7 @@ def prepare_training(featured: DataFrame, params: TrainParams = TrainParams()) -
     # partitions, so the result may sit in a few skewed partitions. Every fit, CV fold and
     # scoring pass reads this frame: rebalance it before the lineage cut, letting AQE size
     # the partitions (advisory bytes): one for a small frame, evenly sized ones at scale.
-    return split.hint("rebalance").checkpoint(eager=True).cache()
+    return split.hint("rebalance").checkpoint(eager=True)
 
 
 def _fit(name, params, data, n_rows):

@@ -131,3 +131,14 @@ def h2_tree_global_importance(spark, sf_dir):
     res = trained(spark, sf_dir)
     data = res.train.unionByName(res.test)
     return H.global_importance(H.tree_attributions(res.models[D.RF], data))
+
+
+@register("h1_sampled_probability")
+def h1_sampled_probability(spark, sf_dir):
+    """What each feature adds to the logistic regression's probability of Pass, for every student, with its error."""
+    from .ml_queries import trained
+    from ..operators import models as D
+    res = trained(spark, sf_dir)
+    data = res.train.unionByName(res.test)
+    fn = H.logistic_probability(res.models[D.LR])
+    return H.attributions_long(H.sampled_attributions(fn, data, H.background_table(res.train, cfg.MODEL_FEATURES)))

@@ -264,3 +264,82 @@ def test_stream_to_table_once_and_stopped(spark):
     assert tables.read(spark, log).count() == 29
     write(src, 99)
     assert tables.read(spark, log).count() == 58
+
+
+def test_sampled_attributions_match_brute_force(spark):
+    import itertools
+
+    import numpy as np
+
+    rng = np.random.default_rng(9)
+    names = [f"f{i}" for i in range(5)]
+    x, back = rng.normal(0, 1, (12, 5)), rng.normal(0, 1, (20, 5))
+
+    def fn(z):  # interactions and a curve
+        return 1 / (1 + np.exp(-(1.5 * z[:, 0] - z[:, 1] * z[:, 2] + 0.7 * z[:, 3] ** 2 - z[:, 4])))
+
+    def worth(row, known):
+        z = back.copy()
+        z[:, list(known)] = row[list(known)]
+        return fn(z).mean()
+
+    exact = np.zeros((12, 5))
+    for i, row in enumerate(x):
+        for j in range(5):
+            others = [k for k in range(5) if k != j]
+            for size in range(5):
+                for s in itertools.combinations(others, size):
+                    share = math.factorial(size) * math.factorial(4 - size) / math.factorial(5)
+                    exact[i, j] += share * (worth(row, (*s, j)) - worth(row, s))
+    df = spark.createDataFrame([(f"S{i}", *map(float, r)) for i, r in enumerate(x)] + [("gap", None, 1.0, 1.0, 1.0, 1.0)], "student_id string, " + ", ".join(f"{n} double" for n in names))
+    got = {r.student_id: r for r in H.sampled_attributions(fn, df.repartition(3), back, names, pairs=40).collect()}
+    assert got.pop("gap").attributions == [] and len(got) == 12
+    for i in range(12):
+        value = np.array([a.value for a in got[f"S{i}"].attributions])
+        error = np.array([a.error for a in got[f"S{i}"].attributions])
+        assert [a.feature for a in got[f"S{i}"].attributions] == names
+        assert (np.abs(value - exact[i]) <= 5 * error + 1e-3).all() and error.max() < 0.02
+        assert value.sum() + got[f"S{i}"].base_value == pytest.approx(fn(x[i:i + 1])[0], abs=1e-9)
+
+
+def test_sampled_attributions_of_a_model(spark, trained):
+    fn = H.logistic_probability(trained.models[D.LR])
+    back = H.background_table(trained.train, D.TrainParams().features, rows=20)
+    got = H.sampled_attributions(fn, trained.test, back, D.TrainParams().features, pairs=4)
+    total = got.select("student_id", (F.col("base_value") + F.aggregate("attributions", F.lit(0.0), lambda a, s: a + s["value"])).alias("out"))
+    scored = trained.models[D.LR].transform(trained.test).select("student_id", vector_to_array("probability")[1].alias("p"))
+    rows = total.join(scored, "student_id").collect()
+    assert rows and all(r.out == pytest.approx(r.p, abs=1e-6) for r in rows)
+
+
+def test_one_saved_pipeline_scores_raw_rows(spark, trained):
+    from pyspark.ml import PipelineModel
+    from riskspark.operators import stages
+
+    raw = common.students(spark, SF_SMALL)
+    for name, model in trained.models.items():
+        path = scratch_path(spark, "t_pipeline")
+        stages.scoring_pipeline(model).save(path)
+        got = PipelineModel.load(path).transform(raw)
+        want = D.batch_score(model, raw)
+        assert got.columns == want.columns, name
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())), name
+    strict = stages.scoring_pipeline(trained.models[D.LR])
+    strict.stages[-1].set(strict.stages[-1].high, 0.0)
+    assert {r.risk_level for r in strict.transform(raw).select("risk_level").distinct().collect()} == {"High Risk"}
+
+
+def test_saved_cleaner_equals_the_fit_mode(spark):
+    from riskspark.operators import clean, stages
+
+    raw = common.students(spark, SF_SMALL)
+    first = clean.dedup_first(raw)
+    model = stages.StudentCleaner().fit(first)
+    path = scratch_path(spark, "t_cleaner")
+    model.save(path)
+    got = stages.StudentCleanerModel.load(path).transform(first)
+    want, _ = clean.clean_fit(raw)
+    assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect()))
+    unseen = got.limit(0).sparkSession.createDataFrame([(1, *student_row("S1", dept="Nowhere", gender=None, att=None))], "row_ordinal long, " + STUDENT_COLS)
+    r = model.transform(unseen).first()
+    assert r.department == -1 and r.gender >= 0 and r.attendance_percentage is not None
