@@ -51,6 +51,22 @@ def b1_standardise_columns(spark, sf_dir):
     return B.standardise_columns(messy)
 
 
+@register("b2_missing_columns", with_views("""
+SELECT position, missing_column, COUNT(*) AS n_rows
+FROM (VALUES (0, 'age'), (1, 'lab_score')) t(position, missing_column), students GROUP BY position, missing_column""", STUDENTS_SQL))
+def b2_missing_columns(spark, sf_dir):
+    """The required columns that a table lacks, in contract order, and how many rows that holds up."""
+    df = common.students(spark, sf_dir).drop("lab_score", "age")
+    _, missing = B.check_required(df)
+    at = F.posexplode(F.array(*[F.lit(c) for c in missing])).alias("position", "missing_column")
+    return df.agg(F.count(F.lit(1)).alias("n_rows")).select(at, "n_rows")
+
+
+@register("b12_drop_target", with_views("SELECT * EXCLUDE (result) FROM students", STUDENTS_SQL))
+def b12_drop_target(spark, sf_dir):
+    return B.drop_target(common.students(spark, sf_dir))
+
+
 @register("b3_dedup_first", with_views("SELECT * FROM dedup", STUDENTS_SQL, DEDUP_SQL))
 def b3_dedup_first(spark, sf_dir):
     return B.dedup_first(common.students(spark, sf_dir))

@@ -18,6 +18,7 @@ from ..operators import outreach as J
 from ..operators import recommend as G
 from ..operators import score as S
 from ..operators.clean import dedup_first, encode_target
+from ..session import scratch_path
 from . import common
 from .report_queries import SCORED_SQL, scored
 from .sqlparts import (DEDUP_SQL, LATEST_ONE_SQL, PREDICTIONS_SQL, STUDENTS_SQL, cap, clipx, r, strip,
@@ -363,3 +364,25 @@ def j3_report_rows(spark, sf_dir):
                       "prediction.predicted_result", "prediction.risk_score",
                       F.size("recommendations").alias("n_recommendations"),
                       F.array_join(F.transform("recommendations", lambda x: x["category"]), "|").alias("categories"))
+
+
+_DETAILS = ["name", "gender", "age", "department", "attendance_percentage", "midterm_marks", "assignment_score", "quiz_score", "lab_score", "lms_activity"]
+_PREDICTION = ["predicted_result", "risk_score", "confidence", "pass_probability", "fail_probability"]
+
+
+@register("j3_report_files", with_views(f"""
+SELECT d.student_id, l.risk_level AS report_risk_level, {", ".join(f"d.{c}" for c in _DETAILS)}, {", ".join(f"l.{c}" for c in _PREDICTION)},
+       (SELECT string_agg(concat_ws('|', category, priority, icon, message, action), chr(10) ORDER BY position)
+        FROM recrows x WHERE x.student_id = d.student_id) AS recommendations
+FROM dedup d JOIN latest_one l ON l.student_id = d.student_id""", *_REC_VIEWS))
+def j3_report_files(spark, sf_dir):
+    """The report rows (J3) written as JSON by risk level and read back whole: details, prediction and every recommendation."""
+    latest = I.latest_one(common.predictions(spark, sf_dir)).select("student_id", "risk_level", *_PREDICTION)
+    reports = J.report_rows(dedup_first(common.students(spark, sf_dir)).join(latest, "student_id"))
+    path = scratch_path(spark, "reports")
+    J.write_reports(reports, path)
+    back = spark.read.schema(reports.schema).json(path)
+    line = lambda x: F.concat_ws("|", x["category"], x["priority"], x["icon"], x["message"], x["action"])
+    return back.select("student_id", "report_risk_level", *[F.col(f"details.{c}").alias(c) for c in _DETAILS],
+                       *[F.col(f"prediction.{c}").alias(c) for c in _PREDICTION],
+                       F.array_join(F.transform("recommendations", line), "\n").alias("recommendations"))

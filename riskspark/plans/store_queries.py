@@ -410,6 +410,25 @@ def a12_alert_log(spark, sf_dir):
     return spark.read.parquet(path)
 
 
+@register("a12_alert_log_rows", with_views(f"""
+SELECT student_id, '{cfg.ALERT_TYPE}' AS alert_type, '{J.DEFAULT_RECIPIENT}' AS sent_to, 'pending' AS status
+FROM scored WHERE risk_level = '{cfg.RISK_LABEL_HIGH}'""", STUDENTS_SQL, PREDICTIONS_SQL, DEDUP_SQL, LATEST_ONE_SQL, SCORED_SQL))
+def a12_alert_log_rows(spark, sf_dir):
+    """The alert log of ``a12_alert_log`` without its time stamps."""
+    return a12_alert_log(spark, sf_dir).drop("sent_at")
+
+
+@register("a14_sample_shape", with_views(f"""
+SELECT LEAST({cfg.SAMPLE_ROWS}, COUNT(*)) AS sampled, LEAST({cfg.SAMPLE_ROWS}, COUNT(*)) AS rows_of_the_table FROM students""", STUDENTS_SQL))
+def a14_sample_shape(spark, sf_dir):
+    """Size of the seeded sample and how many of its rows are rows of the table, all columns but the target compared."""
+    s = common.students(spark, sf_dir)
+    sample = a14_seeded_sample(spark, sf_dir)
+    found = s.select(*sample.columns, F.lit(1).alias("_there")).unionByName(sample.withColumn("_there", F.lit(2)))
+    both = found.groupBy(sample.columns).agg(F.sum(F.when(F.col("_there") == 2, 1)).alias("mine"), F.max(F.when(F.col("_there") == 1, 1)).alias("known"))
+    return both.agg(F.sum("mine").alias("sampled"), F.sum(F.when(F.col("known") == 1, F.col("mine"))).alias("rows_of_the_table"))
+
+
 @register("a14_seeded_sample")
 def a14_seeded_sample(spark, sf_dir):
     """20 students chosen by seeded hash order, target dropped."""

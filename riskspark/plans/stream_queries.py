@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from .. import config as cfg
 from ..operators import tables
 from ..operators.clean import normalised_label
+from ..operators.models import batch_score
 from ..session import scratch_path
-from ..streaming import run_stream, run_stream_to_tables
+from ..streaming import run_stream, run_stream_to_tables, scoring_transform
 from . import common
 from .sqlparts import STUDENTS_SQL, cap, clipx, features_of, r, strip, with_views
 
@@ -75,6 +76,34 @@ _RULE_SQL = f"""
 ruled AS (SELECT student_id, {clipx("COALESCE(CAST(attendance_percentage AS DOUBLE), 0.0)", 0, 100)} / 100 AS p FROM students)"""
 
 
+def _rule_scored_sql(source):
+    """The scoring columns that follow from the pass probability ``p`` of ``source``."""
+    return f"""
+SELECT * EXCLUDE (p), CASE WHEN p > 1.0 - p THEN 'Pass' ELSE 'Fail' END AS predicted_result,
+  {r("p", 4)} AS pass_probability, {r("1.0 - p", 4)} AS fail_probability, {r("(1.0 - p) * 100", 2)} AS risk_score,
+  CASE WHEN 1.0 - p >= {cfg.RISK_HIGH} THEN '{cfg.RISK_LABEL_HIGH}' WHEN 1.0 - p >= {cfg.RISK_MEDIUM} THEN '{cfg.RISK_LABEL_MEDIUM}'
+       ELSE '{cfg.RISK_LABEL_LOW}' END AS risk_level, {r("GREATEST(p, 1.0 - p) * 100", 2)} AS confidence
+FROM {source}"""
+
+
+@register("f1_rule_batch_scoring", with_views(_rule_scored_sql("ruled_batch"), STUDENTS_SQL, """
+ruled_batch AS (SELECT *, COALESCE(CAST(attendance_percentage AS DOUBLE), 0.0) / 100 AS p FROM students)"""))
+def f1_rule_batch_scoring(spark, sf_dir):
+    """Batch mode (F1): raw columns as they came, six scoring columns that follow from the probability."""
+    return batch_score(AttendanceRule(), common.students(spark, sf_dir))
+
+
+@register("f5_record_scoring", with_views(_rule_scored_sql("ruled_record"), STUDENTS_SQL, f"""
+ruled_record AS (SELECT 'UNKNOWN' AS student_id, 'Unknown' AS name, row_ordinal,
+  {clipx("COALESCE(CAST(attendance_percentage AS DOUBLE), 0.0)", 0, 100)} AS attendance_percentage,
+  {clipx("COALESCE(CAST(attendance_percentage AS DOUBLE), 0.0)", 0, 100)} / 100 AS p FROM students)"""))
+def f5_record_scoring(spark, sf_dir):
+    """Record mode (F5) on records without id and name: constants for gaps, capping, the same six columns."""
+    out = scoring_transform(common.students(spark, sf_dir).drop("student_id", "name"), AttendanceRule())
+    return out.select("student_id", "name", "row_ordinal", "attendance_percentage", "predicted_result", "pass_probability",
+                      "fail_probability", "risk_score", "risk_level", "confidence")
+
+
 @register("k1_stream_table", with_views(f"""
 SELECT student_id, CASE WHEN p > 1.0 - p THEN 'Pass' ELSE 'Fail' END AS predicted_result,
   CASE WHEN 1.0 - p >= {cfg.RISK_HIGH} THEN '{cfg.RISK_LABEL_HIGH}' WHEN 1.0 - p >= {cfg.RISK_MEDIUM} THEN '{cfg.RISK_LABEL_MEDIUM}'
