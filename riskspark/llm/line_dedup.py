@@ -8,7 +8,7 @@ Defined cases: a null text is empty (one empty line); a text of fewer than ``siz
 window and is kept whole; windows of blank lines alone are ignored; overlapping repeats within a
 text (``a a a a``) keep the lines before the first later window. Rows with a null doc_id pass
 unchanged. Rows of equal doc_id count as one document at equal positions. An empty table gives an
-empty result; extra columns are kept as they are.
+empty result; extra columns are kept as they are (but ``_n_lines`` and ``_removed``, which the result sets).
 """
 
 from __future__ import annotations
@@ -38,15 +38,16 @@ def later_windows(docs: DataFrame, size: int = 3) -> DataFrame:
 def dedup_lines(docs: DataFrame, size: int = 3) -> DataFrame:
     """``docs`` with the text of kept lines, and ``_n_lines``, ``_removed`` (line numbers, ascending)."""
     covered = (later_windows(docs, size).groupBy("doc_id")
-               .agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list(F.array(*[F.col("pos") + j for j in range(size)]))))).alias("_removed"))
-               .withColumnRenamed("doc_id", "_covered_id"))
-    lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-    left = F.array_except(F.sequence(F.lit(0), F.col("_n_lines") - 1), "_removed")
-    return (docs.join(covered, docs["doc_id"] == covered["_covered_id"], "left").drop("_covered_id")
-            .withColumn("_lines", lines).withColumn("_n_lines", F.size("_lines"))
-            .withColumn("text", F.when(F.col("_removed").isNull(), F.col("text"))
-                        .otherwise(F.array_join(F.transform(left, lambda i: F.get("_lines", i)), "\n")))
-            .withColumn("_removed", F.coalesce("_removed", F.array().cast("array<int>"))).drop("_lines"))
+               .agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list(F.array(*[F.col("pos") + j for j in range(size)]))))).alias("removed"))
+               .withColumnRenamed("doc_id", "covered_id"))
+    kept = [c for c in docs.columns if c not in ("_n_lines", "_removed")]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"))  # whatever the columns are called
+    lines = F.split(F.coalesce("row.text", F.lit("")), "\n", -1)
+    rows = rows.join(covered, F.col("row.doc_id") == F.col("covered_id"), "left").withColumn("lines", lines)
+    left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "removed")
+    text = F.when(F.col("removed").isNull(), F.col("row.text")).otherwise(F.array_join(F.transform(left, lambda i: F.get("lines", i)), "\n"))
+    return rows.select(*[text.alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in kept], F.size("lines").alias("_n_lines"),
+                       F.coalesce("removed", F.array().cast("array<int>")).alias("_removed"))
 
 
 def query(docs: DataFrame, size: int = 3) -> DataFrame:
