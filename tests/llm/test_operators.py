@@ -230,6 +230,42 @@ def test_weights_see_every_window(spark, monkeypatch):
     assert (len(seen), seen.count(attention_lm.END)) == (ids + 2, 2)
 
 
+def test_probabilities_add_up_to_one(spark, corpus):
+    """Over the whole vocabulary and the end mark: at a text's start, inside a word, and after some words."""
+    m = attention_lm
+    docs = frame(spark, corpus).selectExpr("doc_id", "text", "coalesce(crc32(cast(cast(doc_id as string) as binary)) % 5 = 1, true) held")
+    model, *_ = m.fit(docs)
+    model.weights = {k: v + np.random.default_rng(1).normal(0, 0.3, v.shape).astype(np.float32) for k, v in model.weights.items()}
+    every, c = np.arange(m.VOCABULARY), model.counts
+    root = np.array([m._ROOT])
+    words = float(c.prefixes(root)[0, 0])
+    first_id = m.word_ids(["w17"])[0][0]
+
+    def total(before, starts, inside):
+        """Sum over the id that follows the ids ``before``."""
+        k = len(before)
+        ids = np.concatenate([np.tile(before, (len(every), 1)).astype(np.int64), every[:, None]], 1)
+        start = np.zeros(ids.shape, bool)
+        start[:, :k], start[:, k] = starts, not inside
+        share, pair, seen = (np.full(ids.shape, v, np.float32) for v in (-1, -1, 0))
+        prefix = m.next_key(np.repeat(root, len(every)), np.full(len(every), before[-1])) if inside else np.repeat(root, len(every))
+        count, stop = c.prefixes(prefix) if inside else (np.full(len(every), words), 0)
+        after = c.prefixes(m.next_key(prefix, every))[0]
+        share[:, k] = np.where(count > 0, np.where(every == m.END, 0, after) / np.maximum(count - stop, 1), -1)
+        seen[:, k] = np.log1p(count) / 4
+        if inside:
+            both = c.pairs(m.pair_key(np.full(len(every), before[-1]), every))[0]
+            pair[:, k] = both / c.follow[before[-1]] if c.follow[before[-1]] else -1
+        s = {"ids": ids.ravel(), "start": start.ravel(), "share": share.ravel(), "pair": pair.ravel(), "seen": seen.ravel(), "first": np.arange(len(every) + 1) * (k + 1)}
+        return (10.0 ** model.log10(s).reshape(ids.shape)[:, k]).sum()
+
+    assert abs(total(np.zeros(0, np.int64), [], False) - 1) < 1e-3
+    assert abs(total(np.array([first_id]), [True], False) - 1) < 1e-3
+    assert abs(total(np.array([first_id]), [True], True) - 1) < 1e-3
+    stream = next(m._streams(__import__("pyarrow").array(["w17 w3"]), model))[4]  # the stream that scoring uses says the same of an end mark
+    assert stream["ids"][-1] == m.END and (stream["share"][-1], stream["pair"][-1]) == (0, -1) and abs(stream["seen"][-1] - np.log1p(words) / 4) < 1e-6
+
+
 def test_attention_gradients_and_causality():
     rng, m, n = np.random.default_rng(4), attention_lm, 5
     weights = {k: rng.normal(0, 0.4, shape) for k, shape in m.SHAPES.items()}
