@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +36,13 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | N
     return df.mapInArrow(run, schema)
 
 
+def arrow_fs(path: str):
+    """(file system, path on it) of any address that Arrow opens."""
+    if "://" in path or path.startswith("file:"):
+        return pyarrow.fs.FileSystem.from_uri(path)
+    return pyarrow.fs.LocalFileSystem(), path
+
+
 def list_array(values, first, kind=None) -> pa.Array:
     """Arrow list array of flat ``values`` cut at ``first``."""
     return pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(values, kind))

@@ -28,12 +28,11 @@ from collections.abc import Iterator
 from urllib.parse import quote
 
 import pyarrow as pa
-import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskspark.llm.common import keep
+from riskspark.llm.common import arrow_fs, keep
 from riskspark.session import scratch_path
 
 ROLL_BYTES = 8 << 20
@@ -49,13 +48,6 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def _open(path: str):
-    """(file system, path on it) of any address that Arrow opens."""
-    if "://" in path or path.startswith("file:"):
-        return pyarrow.fs.FileSystem.from_uri(path)
-    return pyarrow.fs.LocalFileSystem(), path
-
-
 class Rolling:
     """Writes gzip files of about ROLL_BYTES (one member a record) to a folder of any file system that Arrow opens;
     ``written`` are the addresses of the files and their numbers of records."""
@@ -64,7 +56,7 @@ class Rolling:
         context = TaskContext.get()
         self.mark = f"{context.partitionId():06d}-{context.taskAttemptId()}" if context else "000000-0"
         self.address, self.suffix, self.head, self.roll = folder, suffix, head, roll
-        self.fs, self.folder = _open(folder)
+        self.fs, self.folder = arrow_fs(folder)
         self.fs.create_dir(self.folder, recursive=True)
         self.out, self.size, self.records, self.written = None, 0, 0, []
 
@@ -97,7 +89,7 @@ FILE_ROWS = "path string, records long"
 
 def _stream(path: str):
     """The uncompressed bytes of a file, as they are read."""
-    fs, name = _open(path)
+    fs, name = arrow_fs(path)
     return io.BufferedReader(gzip.GzipFile(fileobj=fs.open_input_stream(name, compression=None)), 1 << 16)
 
 

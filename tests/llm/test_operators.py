@@ -191,15 +191,18 @@ def test_language_model(spark, corpus):
 def test_rare_counts_of_the_language_model(spark, corpus, monkeypatch):
     """Counts that are not sent to all tasks say the same as counts that are."""
     seen = {}
+    monkeypatch.setattr(attention_lm, "PART", 3000)  # several parts a task
     for heavy in (0.0, 0.5):
         monkeypatch.setattr(attention_lm, "HEAVY", heavy)
         attention_lm._memo[0] = attention_lm.Memo()
         docs = frame(spark, corpus).selectExpr("doc_id", "text", "coalesce(crc32(cast(cast(doc_id as string) as binary)) % 5 = 1, true) held")
-        model, rows, *_ = attention_lm.fit(docs)
-        batch = rows.select("doc_id", "text", "known").toArrow().combine_chunks()
-        for _, _, w, got, _, _ in attention_lm._streams(batch["text"].combine_chunks(), model, known=batch["known"].combine_chunks()):
-            seen.setdefault(heavy, {}).update({int(h): x for h, x in zip(w.hash, got["log_end"])})
-            seen[heavy, "sum"] = [round(float(got[n].sum()), 2) for n in ("share", "pair", "seen")]
+        model, rows, folder, *_ = attention_lm.fit(docs)
+        total = np.zeros(3)
+        for batch, rare in attention_lm.Parts(folder).of(rows.orderBy("part").toArrow().combine_chunks().to_batches()):
+            for _, _, w, got, _ in attention_lm._streams(batch.column("text"), model, rare):
+                seen.setdefault(heavy, {}).update({int(h): x for h, x in zip(w.hash, got["log_end"])})
+                total += [float(got[n].sum()) for n in ("share", "pair", "seen")]
+        seen[heavy, "sum"] = total
     assert seen[0.0] and seen[0.0].keys() == seen[0.5].keys()
     assert all(abs(x - seen[0.5][h]) < 1e-9 for h, x in seen[0.0].items())
     assert np.allclose(seen[0.0, "sum"], seen[0.5, "sum"], atol=0.05)
@@ -209,8 +212,8 @@ def test_weights_see_every_window(spark, monkeypatch):
     """The fit goes over each id of the training texts, and over one end mark a text."""
     text = " ".join(f"w{i % 7}" for i in range(500))
     docs = frame(spark, [(1, text), (2, "one two")]).selectExpr("doc_id", "text", "false held")
-    model, rows, *_ = attention_lm.fit(docs)
-    texts, seen, plain = rows.select("text", "known"), [], attention_lm.Model.windows
+    model, rows, folder, *_ = attention_lm.fit(docs)
+    texts, seen, plain = rows.select("part", "text"), [], attention_lm.Model.windows
 
     def windows(self, s):
         for target, scored, args in plain(self, s):
@@ -225,7 +228,7 @@ def test_weights_see_every_window(spark, monkeypatch):
             return texts.mapInArrow(run, schema)
 
     monkeypatch.setattr(attention_lm.Model, "windows", windows)
-    attention_lm._trained(Here(), model)
+    attention_lm._trained(Here(), model, folder)
     ids = sum(len(attention_lm.word_ids([w])[0]) for w in (text + " one two").split())
     assert (len(seen), seen.count(attention_lm.END)) == (ids + 2, 2)
 
