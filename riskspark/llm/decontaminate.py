@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MASKS = ((0, 1, 2, 3, 5, 6), (0, 1, 2, 4, 7, 8))
+MASKS = ((0, 1, 2, 4, 7, 8), (0, 2, 5, 7, 9, 11))
 #: for items shorter than the window
 SHORT_MASKS = ((0, 1, 2, 3), (0, 1, 2, 4), (0, 1, 3, 4), (0, 2, 3, 4))
 WINDOW, SIMILARITY, MIN_TOKENS = 13, 0.8, 5
