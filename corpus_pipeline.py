@@ -2,7 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept; all but the
 last return the columns of ``documents``. Rows with a null doc_id pass every filter; null texts are
-scored, deduplicated and packed as empty ones; an empty table stays empty through every stage.
+scored, deduplicated and packed as empty ones; rows of one doc_id stay or go together, also where their
+texts differ; repeated rows stay repeated; other columns are not kept; an empty table stays empty
+through every stage.
 """
 
 from __future__ import annotations
