@@ -206,7 +206,7 @@ ALERT_TYPE = "HIGH_RISK_EMAIL"
 ALERT_STATUSES = ["sent", "failed", "pending"]
 ALERT_SUBJECT_PREFIX = "🚨 HIGH RISK ALERT — "
 
-# Relational table contract (column: (type, nullable, default)).
+# Labels that the tables' ENUM columns accept.
 RESULT_DOMAIN = ["Pass", "Fail"]
 
 # Dashboard settings.

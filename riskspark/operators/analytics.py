@@ -76,7 +76,7 @@ def prediction_history(preds: DataFrame, bucket_seconds: int = 86_400) -> DataFr
     offsets = counts.select(F.col("student_id").alias("_s"), F.col("_bucket").alias("_b"), F.coalesce(F.sum("_n").over(later), F.lit(0)).alias("_later"))
     met = p.join(offsets, F.col("student_id").eqNullSafe(F.col("_s")) & F.col("_bucket").eqNullSafe(F.col("_b")))
     rank = F.row_number().over(Window.partitionBy("_s", "_b").orderBy(F.col("predicted_at").desc(), F.col("id").desc()))
-    return met.select(*preds.columns, (F.col("_later") + rank).cast("int").alias("history_position"))
+    return met.select(*preds.columns, (F.col("_later") + rank).alias("history_position"))
 
 
 def recent_predictions(preds: DataFrame, n: int = cfg.RECENT_PREDICTIONS) -> DataFrame:

@@ -18,8 +18,6 @@ so they never shuffle.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -189,10 +187,6 @@ def waterfall(attr: DataFrame, key: str = cfg.ID_COLUMN, max_display: int = cfg.
         key, "base_value", "position", F.col("b.feature").alias("feature"), F.col("b.value").alias("value"))
 
 
-def reduce_sum(cols):
-    return reduce(lambda a, b: a + b, cols)
-
-
 # -- tree ensembles -------------------------------------------------------------
 
 def tree_tables(clf, spark) -> tuple[list, list, str]:

@@ -10,7 +10,7 @@ from ..operators import features as C
 from ..operators import models as D
 from . import common
 from .common import r2, r6
-from .sqlparts import CLEAN_SQL, DEDUP_SQL, FEATURES_SQL, STUDENTS_SQL, cap, clipx, r, strip, with_views
+from .sqlparts import CLEAN_SQL, DEDUP_SQL, FEATURES_SQL, PREDICTIONS_SQL, STUDENTS_SQL, cap, clipx, features_of, r, strip, with_views
 
 QUERIES = {}
 ORACLE = {}
@@ -149,7 +149,7 @@ fit AS (SELECT DISTINCT COALESCE(CAST(department AS VARCHAR), 'nan') AS value FR
 dict AS (SELECT value, CAST(ROW_NUMBER() OVER (ORDER BY value) - 1 AS INTEGER) AS code FROM fit)
 SELECT s.row_ordinal, COALESCE(d.code, -1) AS department
 FROM students s LEFT JOIN dict d ON d.value = COALESCE(CAST(s.department AS VARCHAR), 'nan')""",
-    STUDENTS_SQL, __import__("riskspark.sources.fixtures", fromlist=["x"]).PREDICTIONS_SQL))
+    STUDENTS_SQL, PREDICTIONS_SQL))
 def b9_label_apply_unseen(spark, sf_dir):
     """Dictionary fitted on students with a prediction, applied to every row; unseen -> -1."""
     s = common.students(spark, sf_dir)
@@ -293,8 +293,7 @@ def c5_overall_score_absent_lab(spark, sf_dir):
 
 
 @register("c_features_on_raw", with_views(
-    "SELECT row_ordinal, " + ", ".join(cfg.ENGINEERED_FEATURES) + " FROM (" + __import__(
-        "riskspark.plans.sqlparts", fromlist=["x"]).features_of("students") + ") t", STUDENTS_SQL))
+    "SELECT row_ordinal, " + ", ".join(cfg.ENGINEERED_FEATURES) + " FROM (" + features_of("students") + ") t", STUDENTS_SQL))
 def c_features_on_raw(spark, sf_dir):
     """Features on uncleaned rows: NULL inputs give NULL (attendance band 0)."""
     return C.add_features(common.students(spark, sf_dir)).select("row_ordinal", *cfg.ENGINEERED_FEATURES)

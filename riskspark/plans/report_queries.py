@@ -84,8 +84,7 @@ def i4_high_risk_ever(spark, sf_dir):
 
 
 @register("i5_prediction_history", with_views("""
-SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY student_id ORDER BY predicted_at DESC, id DESC) AS INTEGER)
-       AS history_position
+SELECT *, ROW_NUMBER() OVER (PARTITION BY student_id ORDER BY predicted_at DESC, id DESC) AS history_position
 FROM predictions""", PREDICTIONS_SQL))
 def i5_prediction_history(spark, sf_dir):
     return I.prediction_history(common.predictions(spark, sf_dir))

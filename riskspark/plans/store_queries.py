@@ -380,7 +380,7 @@ def a5_single_lookup(spark, sf_dir):
 
 
 @register("i5_single_history", with_views("""
-SELECT *, CAST(ROW_NUMBER() OVER (ORDER BY predicted_at DESC, id DESC) AS INTEGER) AS history_position
+SELECT *, ROW_NUMBER() OVER (ORDER BY predicted_at DESC, id DESC) AS history_position
 FROM predictions WHERE student_id = (SELECT MIN(student_id) FROM predictions)""", PREDICTIONS_SQL))
 def i5_single_history(spark, sf_dir):
     """One student's predictions, newest first, from a table bucketed by student."""
