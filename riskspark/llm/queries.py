@@ -75,6 +75,7 @@ QUERIES = {
 }
 ORACLE = {
     "op1_near_dedup": near_dedup.SQL,
+    "op2_substring_dedup": passage_dedup.oracle(),
     "op3_decontamination": decontaminate.oracle(),
     "op9_line_dedup": line_dedup.SQL,
     "op11_spelling": spelling.SQL,

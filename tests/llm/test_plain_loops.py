@@ -137,16 +137,22 @@ def test_ftrl_steps():
 
 
 def plain_units(text):
-    """(start, end, words) of whole text, paragraphs, lines and sentences, in order, each span once."""
+    """(start, end, words) of whole text, paragraphs, lines, sentences and short lines with their neighbours, in order, each span once."""
     found = [(m.start(), m.end(), m[0].translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))) for m in re.finditer(r"[^\x20\x09-\x0D]+", text)]
-    runs = set()
+    runs, lines, least = set(), [], passage_dedup.MIN_WORDS
     for kind in range(4):
         begin = 0
         for i, (_, end, word) in enumerate(found):
             feeds = text[end:found[i + 1][0]].count("\n") if i + 1 < len(found) else 9
             if i + 1 == len(found) or kind > 0 and feeds >= 2 or kind > 1 and feeds >= 1 or kind > 2 and word[-1] in ".!?":
-                runs.add((begin, i + 1))
+                if kind == 0 or i + 1 - begin >= least:
+                    runs.add((begin, i + 1))
+                if kind == 2:
+                    lines.append((begin, i + 1))
                 begin = i + 1
+    for begin, end in lines:
+        if end - begin < least:
+            runs |= {(begin, e) for _, e in [x for x in lines if x[1] - begin >= least][:1]} | {(a, end) for a, _ in [x for x in lines if end - x[0] >= least][-1:]}
     return [(found[a][0], found[b - 1][1], tuple(w for _, _, w in found[a:b])) for a, b in sorted(runs)]
 
 
@@ -159,7 +165,7 @@ def test_removed_passages(spark):
         texts.append((i, "".join(x + rng.choice(["\n", "\n\n", " \n\t\n ", " "]) for x in body).upper() if i % 7 == 0 else "\n".join(body)))
     texts += [(80, None), (81, ""), (82, texts[5][1]), (83, "word " * 30000), (84, "word " * 30000 + "\nend of it all in six words")]
     texts += [(None, lines[0]), (85, texts[9][1]), (-3, texts[9][1])]
-    units = [(i, u, *x) for i, t in texts if i is not None and t for u, x in enumerate(plain_units(t)) if len(x[2]) >= passage_dedup.MIN_WORDS]
+    units = [(i, u, *x) for i, t in texts if i is not None and t for u, x in enumerate(plain_units(t))]
     first = {}
     for i, u, _, _, words in units:
         first[words] = min(first.get(words, (i, u)), (i, u))
@@ -173,3 +179,26 @@ def test_removed_passages(spark):
     docs = spark.createDataFrame([(i, t, 1, "x") for i, t in texts], "doc_id long, text string, unit long, digest string")
     got = [tuple(r) for r in passage_dedup.removed_units(docs.repartition(4)).collect()]
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 50
+
+
+def test_copied_runs_of_short_lines_go_whole(spark):
+    rng = random.Random(5)
+    texts, planted = [], {}
+    for case in range(40):
+        block = [" ".join(f"c{case}w{rng.randint(0, 10**6)}" for _ in range(rng.randint(1, 7))) for _ in range(rng.randint(1, 6))]
+        own = lambda x: " ".join(f"{x}{case}" for _ in range(rng.randint(1, 4)))
+        texts.append((2 * case, f"{own('p')}\n" + "\n".join(block) + f"\n{own('q')}"))
+        head = own("r")
+        texts.append((2 * case + 1, f"{head}\n\n" + "\n".join(block).upper() + f"\n{own('s')}"))
+        planted[2 * case + 1] = (len(head) + 2, len(head) + 2 + len("\n".join(block)), sum(len(x.split()) for x in block))
+    texts += [(100, "N/A"), (101, " n/a\n"), (102, "other\nN/A\nwords")]
+    got = {}
+    for r in passage_dedup.removed_units(spark.createDataFrame(texts, "doc_id long, text string")).collect():
+        got.setdefault(r.doc_id, set()).update(range(r.start, r.end))
+    assert got.pop(101) == {1, 2, 3}
+    for i, (start, end, words) in planted.items():
+        text, covered = dict(texts)[i], got.pop(i, set())
+        assert covered <= set(range(start, end))
+        want = {at for at in range(start, end) if not text[at].isspace()} if words >= passage_dedup.MIN_WORDS else set()
+        assert {at for at in covered if not text[at].isspace()} == want
+    assert not got
