@@ -1,15 +1,16 @@
-"""Path-dependent TreeSHAP (Lundberg, Erion & Lee, 2018, Algorithm 2), vectorised over rows.
-
-The published algorithm walks one tree for one row, descending into the "hot"
-child (where the row goes) with one-fraction 1 and the "cold" child with 0.
-Here the walk is done once per tree for a whole Arrow batch: every node is
-visited once, and the one-fractions and path weights are arrays over the
-batch's rows (1 where the row would take that branch). Rows that took the same
-branches share their path state, so the arrays are kept per distinct branch
-pattern and mapped back to rows at the leaves. EXTEND is one closed-form array
-expression over the whole path; UNWIND at a leaf only accumulates the weight sum
-it needs. This is the per-batch body of a ``mapInPandas``; Spark distributes the
-batches.
+"""Path-dependent TreeSHAP (Lundberg, Erion & Lee, 2018), by leaves.
+
+What a leaf adds to a row's values depends only on which of the distinct features on its
+path send the row towards it: at most ``2 ** depth`` patterns. So each leaf gets a table of
+the values of every pattern, which follows from the tree alone, and a row costs one
+pattern number and one table row per leaf. Patterns are followed down the tree for all rows
+of an Arrow batch at once. This is the per-batch body of a ``mapInPandas``; Spark distributes
+the batches.
+
+A pattern's values: with ``z`` a feature's share of the training weight that takes its branches
+and ``o`` 1 where the row does, the Shapley value of feature ``i`` in a leaf is
+``value * (o_i - z_i) * integral over t in (0, 1) of prod over k != i of (t o_k + (1 - t) z_k)``.
+The product's degree in ``t`` is below the number of features, so Gauss-Legendre sums are exact.
 
 Trees are plain NumPy node arrays: ``left``, ``right`` (-1 at leaves),
 ``feature``, ``threshold`` (row goes left when ``x <= threshold``), ``value``
@@ -20,6 +21,11 @@ from __future__ import annotations
 
 import numpy as np
 
+#: numbers in the tables that are held at once
+TABLE = 1 << 21
+#: rows that are walked together
+ROWS = 1 << 12
+
 
 def expected_value(tree: dict) -> float:
     """Cover-weighted mean leaf value: the tree's output with no feature known."""
@@ -27,104 +33,92 @@ def expected_value(tree: dict) -> float:
     return float(np.sum(tree["value"][leaves] * tree["cover"][leaves]) / tree["cover"][0])
 
 
-# A path is (features, zero fractions z (L,), one fractions o (L, rows), weights w (L, rows)).
-
-def _empty_path(n: int):
-    return [], np.zeros(0), np.zeros((0, n)), np.zeros((0, n))
-
-
-def _extend(path, z, o, feature):
-    """EXTEND in closed form: new_w[m] = z w[m] (L-m)/(L+1) + o w[m-1] m/(L+1) (no loop)."""
-    feats, zs, os_, w = path
-    L, n = w.shape[0], o.shape[0]
-    new = np.zeros((L + 1, n))
-    if L == 0:
-        new[0] = 1.0
-    else:
-        m = np.arange(L)
-        new[:L] = z * w * ((L - m) / (L + 1))[:, None]
-        new[1:] += o * w * ((m + 1) / (L + 1))[:, None]
-    return feats + [feature], np.append(zs, z), np.vstack([os_, o[None, :]]), new
-
-
-def _unwind(path, k):
-    """UNWIND: remove element k, undoing its contribution to the path weights."""
-    feats, zs, os_, w = path
-    d = w.shape[0] - 1
-    z, o = zs[k], os_[k]
-    nonzero = o != 0
-    safe_o = np.where(nonzero, o, 1.0)
-    nxt = w[d].copy()
-    new = np.empty((d, w.shape[1]))
-    for j in range(d - 1, -1, -1):
-        if_one = nxt * (d + 1) / ((j + 1) * safe_o)
-        if_zero = w[j] * (d + 1) / (z * (d - j)) if z != 0 else np.zeros_like(nxt)
-        new[j] = np.where(nonzero, if_one, if_zero)
-        nxt = np.where(nonzero, w[j] - new[j] * z * (d - j) / (d + 1), nxt)
-    keep = [i for i in range(d + 1) if i != k]
-    return [feats[i] for i in keep], zs[keep], os_[keep], new
-
-
-def _unwound_sum(path, k) -> np.ndarray:
-    """Sum of the weights left after unwinding element k (UNWIND without rebuilding the path).
-
-    One-fractions are 0/1 here (products of branch indicators), so the "one" branch
-    needs no division by o.
-    """
-    feats, zs, os_, w = path
-    d = w.shape[0] - 1
-    z, hot = zs[k], os_[k] != 0
-    nxt = w[d].copy()
-    total = np.zeros_like(nxt)
-    for j in range(d - 1, -1, -1):
-        if_one = nxt * ((d + 1) / (j + 1))
-        wj = np.where(hot, if_one, w[j] * ((d + 1) / (z * (d - j)))) if z != 0 else np.where(hot, if_one, 0.0)
-        total += wj
-        nxt = np.where(hot, w[j] - wj * (z * (d - j) / (d + 1)), nxt)
-    return total
+def pattern_tables(z: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """(leaves, 2 ** d, d): what each of the d features of a path adds, by pattern (bit k: the row takes feature k's branches).
+
+    ``z``: (leaves, d) shares of the training weight."""
+    m, d = z.shape
+    out = np.zeros((d, m, 1 << d))
+    points, weights = np.polynomial.legendre.leggauss(d // 2 + 1)
+    for t, w in zip((points + 1) / 2, weights / 2):
+        zero = (1 - t) * z
+        one = zero + t
+        product = (w * value)[:, None]
+        for k in range(d):                           # bit k doubles the patterns
+            product = np.concatenate([product * zero[:, k:k + 1], product * one[:, k:k + 1]], axis=1)
+        # (o - z) over the feature's own factor, which the product has; z = 0 and o = 0 add nothing
+        factor = np.stack([np.where(z > 0, -1 / (1 - t), 0.0), (1 - z) / one], axis=2)
+        for k in range(d):
+            by_bit = (m, 1 << d - k - 1, 2, 1 << k)
+            out[k].reshape(by_bit)[...] += product.reshape(by_bit) * factor[:, k, None, :, None]
+    return out.transpose(1, 2, 0)
+
+
+def _paths(tree: dict) -> list:
+    """(node, features, shares) of every leaf below the root, in the order of ``_codes``."""
+    left, right, feat, cover = tree["left"], tree["right"], tree["feature"], tree["cover"]
+    found, todo = [], [(0, (), ())]
+    while todo:
+        node, feats, z = todo.pop()
+        if left[node] < 0:
+            if feats:
+                found.append((node, feats, z))
+            continue
+        f = int(feat[node])
+        for child in (left[node], right[node]):
+            share = cover[child] / cover[node] if cover[node] else 0.0
+            if f in feats:
+                k = feats.index(f)
+                todo.append((child, feats, z[:k] + (z[k] * share,) + z[k + 1:]))
+            else:
+                todo.append((child, (*feats, f), (*z, share)))
+    return found
+
+
+def _codes(tree: dict, X: np.ndarray) -> dict:
+    """Pattern of every row in every leaf, by node."""
+    left, right, feat, thr = tree["left"], tree["right"], tree["feature"], tree["threshold"]
+    found, todo = {}, [(0, (), np.zeros(len(X), np.int64))]
+    columns = np.ascontiguousarray(X.T)
+    while todo:
+        node, feats, code = todo.pop()
+        if left[node] < 0:
+            found[node] = code
+            continue
+        f = int(feat[node])
+        goes_left = (columns[f] <= thr[node]).astype(np.int64)
+        k = feats.index(f) if f in feats else len(feats)
+        if k == len(feats):
+            feats = (*feats, f)
+            todo += [(left[node], feats, code | goes_left << k), (right[node], feats, code | (1 - goes_left) << k)]
+        else:                                        # both must hold
+            mask = ~(1 << k)
+            todo += [(left[node], feats, code & (mask | goes_left << k)), (right[node], feats, code & (mask | (1 - goes_left) << k))]
+    return found
 
 
 def tree_shap(tree: dict, X: np.ndarray) -> np.ndarray:
-    """Shapley values (rows x features) of one tree's output for the rows of ``X``.
-
-    One-fractions are 0/1, so rows that took the same branches so far share the same
-    path state. The walk therefore keeps path arrays per distinct branch pattern
-    (at most min(rows, 2^depth) columns) plus ``rid``, each row's pattern index; per
-    node the rows cost only integer work.
-    """
+    """Shapley values (rows x features) of one tree's output for the rows of ``X``."""
     n, n_features = X.shape
     phi = np.zeros((n, n_features))
-    left, right, feat, thr = tree["left"], tree["right"], tree["feature"], tree["threshold"]
-    value, cover = tree["value"], tree["cover"]
-
-    def recurse(node, path, rid, z, o, feature):
-        path = _extend(path, z, o, feature)
-        feats, zs, os_, w = path
-        if left[node] < 0:
-            for k in range(1, len(feats)):
-                per_pattern = _unwound_sum(path, k) * (os_[k] - zs[k]) * value[node]
-                phi[:, feats[k]] += per_pattern[rid]
-            return
-        f = int(feat[node])
-        goes_left = X[:, f] <= thr[node]
-        u = w.shape[1]
-        iz, io = 1.0, np.ones(u)
-        if f in feats[1:]:
-            k = feats.index(f, 1)
-            iz, io = zs[k], os_[k].copy()
-            path = _unwind(path, k)
-        for child, direction in ((left[node], goes_left), (right[node], ~goes_left)):
-            code = rid * 2 + direction                 # (pattern so far, takes this branch)
-            present = np.zeros(2 * u, dtype=bool)
-            present[code] = True
-            codes = np.flatnonzero(present)
-            new_id = np.cumsum(present) - 1
-            parent = codes // 2
-            child_path = (path[0], path[1], path[2][:, parent], path[3][:, parent])
-            recurse(child, child_path, new_id[code], iz * cover[child] / cover[node],
-                    io[parent] * (codes % 2), f)
-
-    recurse(0, _empty_path(1), np.zeros(n, dtype=np.int64), 1.0, np.ones(1), -1)
+    by_size: dict = {}
+    for leaf in _paths(tree):
+        by_size.setdefault(len(leaf[1]), []).append(leaf)
+    parts = [(a, min(a + ROWS, n)) for a in range(0, n, ROWS)]
+    codes = [_codes(tree, X[a:b]) for a, b in parts]
+    for d, leaves in by_size.items():
+        at_once = max(1, TABLE // ((1 << d) * n_features))
+        for i in range(0, len(leaves), at_once):
+            some = leaves[i:i + at_once]
+            nodes = [x[0] for x in some]
+            feats = np.array([x[1] for x in some])
+            table = np.zeros((len(some), 1 << d, n_features))
+            np.put_along_axis(table, np.broadcast_to(feats[:, None, :], (len(some), 1 << d, d)),
+                              pattern_tables(np.array([x[2] for x in some], dtype=float), tree["value"][nodes]), axis=2)
+            for (a, b), code in zip(parts, codes):
+                got, held = phi[a:b], np.empty((b - a, n_features))
+                for node, rows in zip(nodes, table):
+                    got += np.take(rows, code[node], axis=0, out=held, mode="clip")
     return phi
 
 

@@ -343,3 +343,29 @@ def test_saved_cleaner_equals_the_fit_mode(spark):
     unseen = got.limit(0).sparkSession.createDataFrame([(1, *student_row("S1", dept="Nowhere", gender=None, att=None))], "row_ordinal long, " + STUDENT_COLS)
     r = model.transform(unseen).first()
     assert r.department == -1 and r.gender >= 0 and r.attendance_percentage is not None
+
+
+def test_treeshap_pattern_tables_match_subset_sums():
+    """Every pattern's values against the sum over subsets, with a share of 0 too; many rows give what single ones do."""
+    import itertools
+    import math as m
+
+    import numpy as np
+
+    from riskspark.operators import treeshap
+
+    rng = np.random.default_rng(8)
+    for d in (1, 2, 5):
+        z, value = rng.uniform(size=(2, d)), rng.normal(size=2)
+        z[1, 0] = 0.0
+        table = treeshap.pattern_tables(z, value)
+        for leaf, code, i in itertools.product(range(2), range(2 ** d), range(d)):
+            o = [code >> k & 1 for k in range(d)]
+            others = [k for k in range(d) if k != i]
+            want = sum(m.factorial(len(s)) * m.factorial(d - len(s) - 1) / m.factorial(d) * np.prod([o[k] if k in s else z[leaf, k] for k in others])
+                       for n in range(d) for s in itertools.combinations(others, n)) * (o[i] - z[leaf, i]) * value[leaf]
+            assert table[leaf, code, i] == pytest.approx(want, abs=1e-12)
+    t = {"left": np.array([1, -1, 3, -1, -1]), "right": np.array([2, -1, 4, -1, -1]), "feature": np.array([0, 0, 1, 0, 0]),
+         "threshold": np.array([0.5, 0, 0.2, 0, 0]), "value": np.array([0, 1.0, 0, 2.0, 5.0]), "cover": np.array([9.0, 4, 5, 2, 3])}
+    X = rng.uniform(size=(treeshap.ROWS + 3, 2))
+    assert np.array_equal(treeshap.tree_shap(t, X)[-5:], np.concatenate([treeshap.tree_shap(t, X[k:k + 1]) for k in range(len(X) - 5, len(X))]))
