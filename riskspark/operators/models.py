@@ -172,11 +172,22 @@ def _fit(name, params, data, n_rows):
     return build_pipeline(name, params, n_rows).fit(data)
 
 
+def fit_order(params: TrainParams) -> list:
+    """(model, fold or None for the refit) of every fit, slowest models first, so that no long one is left for the end.
+
+    Boosted trees wait for many short jobs, forests keep the cores busy: they take turns, half a pool of each."""
+    half = max(1, params.parallel_fits // 2)
+    fits = {m: [(m, k) for k in (None, *range(params.folds))] for m in params.models}
+    slow = [m for m in (GBT, RF) if m in fits]
+    turns = [f for a in range(0, params.folds + 1, half) for m in slow for f in fits[m][a:a + half]]
+    return turns + [f for m in params.models if m not in slow for f in fits[m]]
+
+
 def cross_validate(train: DataFrame, params: TrainParams = TrainParams()):
     """Stratified k-fold CV of every model, plus the refit on the whole training split.
 
     All (model, fold) fits and the refits are independent Spark jobs, submitted
-    from a driver thread pool of ``parallel_fits`` (slowest models first) so the cluster
+    from a driver thread pool of ``parallel_fits`` (see ``fit_order``) so the cluster
     is not idle between the many small jobs of an iterative fit. Each fold's logistic
     regression gets the penalty for its own size (``1 / (C * n_fold)``), as a
     fresh estimator per fold would. Returns (refitted models, {name: (mean, pop std)}).
@@ -185,8 +196,7 @@ def cross_validate(train: DataFrame, params: TrainParams = TrainParams()):
     sizes = {r["fold"]: r["n"] for r in train.groupBy("fold").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_train = sum(sizes.values())
     evaluator = f1_evaluator(lab)
-    slow_first = sorted(params.models, key=lambda m: {GBT: 0, RF: 1}.get(m, 2))
-    tasks = [(m, k) for m in slow_first for k in range(params.folds)] + [(m, None) for m in slow_first]
+    tasks = fit_order(params)
 
     def run(task):
         m, k = task

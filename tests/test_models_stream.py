@@ -369,3 +369,12 @@ def test_treeshap_pattern_tables_match_subset_sums():
          "threshold": np.array([0.5, 0, 0.2, 0, 0]), "value": np.array([0, 1.0, 0, 2.0, 5.0]), "cover": np.array([9.0, 4, 5, 2, 3])}
     X = rng.uniform(size=(treeshap.ROWS + 3, 2))
     assert np.array_equal(treeshap.tree_shap(t, X)[-5:], np.concatenate([treeshap.tree_shap(t, X[k:k + 1]) for k in range(len(X) - 5, len(X))]))
+
+
+def test_long_fits_are_not_left_for_the_end():
+    from riskspark.operators.models import GBT, LR, RF, TrainParams, fit_order
+
+    order = fit_order(TrainParams())
+    assert sorted(order, key=str) == sorted([(m, k) for m in (LR, RF, GBT) for k in (None, 0, 1, 2, 3, 4)], key=str)
+    assert {m for m, _ in order[12:]} == {LR} and {m for m, _ in order[:6]} == {GBT, RF}
+    assert sorted(fit_order(TrainParams(models=(LR, RF), folds=2)), key=str) == sorted([(m, k) for m in (LR, RF) for k in (None, 0, 1)], key=str)
