@@ -10,8 +10,9 @@ alone, so the probabilities of all ids (and, where a word could begin, of the en
 
 What is learned from the training rows, all of them: word counts (and from these the prefix counts
 and the unigram base), topic counts of every id, and the attention weights, fitted by Adam on
-all windows of every training text in each task and averaged over tasks. Only the starting point of the
-topics comes from a bounded sample of ``SEED_ROWS`` texts.
+all windows of every training text in each task and averaged over tasks. A text's topic is its cluster among all training
+texts, by k-means over how its words spread over ``BUCKETS`` (square roots of shares, so distances are Hellinger's); it is
+found while the texts are cut into parts, and no text is left out.
 
 Scoring cuts a text's ids into windows of ``CONTEXT`` ids that are only attended to and ``STEP`` ids
 that are scored, so windows overlap and each id is scored once, in batches under one causal mask.
@@ -35,18 +36,20 @@ import pyarrow as pa
 import pyarrow.fs
 import pyarrow.parquet as pq
 from pyspark import TaskContext
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskspark.llm import text as T
-from riskspark.llm.common import arrow_fs, id_text, in_part, keep, list_array
+from riskspark.llm.common import arrow_fs, give_back, id_text, in_part, keep, list_array
 from riskspark.session import scratch_path
 
 END, VOCABULARY = 50257, 50258
 TOPICS, WIDTH, CONTEXT, STEP = 8, 8, 16, 16
 SPAN = CONTEXT + STEP
 INPUT = TOPICS + 2  # topic evidence, first id of a word, constant
-SEED_ROWS, SEED_ROUNDS, EPOCHS, RATE, BATCH = 1500, 12, 1, 0.02, 64
+BUCKETS, ROUNDS, EPOCHS, RATE, BATCH = 64, 20, 1, 0.02, 64
 HEAVY, MAX_IDS, MEMO, LOGIT = 2.0**-20, 6, 1_000_000, 30
 #: bytes of text in a part; distinct words that a task holds before it hands on their counts
 PART, HELD = 32 << 20, 400_000
@@ -306,39 +309,17 @@ def with_ends(w: T.Words, got: dict, words: float = 0) -> dict:
     return out
 
 
-def seed_topics(texts: list[np.ndarray]) -> np.ndarray:
-    """(TOPICS, VOCABULARY) distributions by expectation maximisation of a mixture over id arrays.
-
-    Many random starts are fitted roughly; the ones that hold many texts and lie far from each other go on."""
-    everything = np.bincount(np.concatenate(texts) if texts else np.zeros(0, int), minlength=VOCABULARY) + 0.1
-    base = everything / everything.sum()
-    if not texts:
-        return np.tile(base, (TOPICS, 1))
-    long = [t for t in texts if len(t) >= 64] or texts
-    texts = [t[np.linspace(0, len(t) - 1, min(len(t), 400)).astype(int)] for t in texts]
-
-    def rounds(topics: np.ndarray, some: list[np.ndarray], times: int) -> tuple[np.ndarray, np.ndarray]:
-        for _ in range(times):
-            log = np.log(topics).T.copy()
-            codes, share = [], np.zeros(len(topics))
-            for t in some:
-                best = int(np.argmax(log[t].sum(axis=0)))
-                share[best] += 1
-                codes.append(t + best * VOCABULARY)
-            new = np.bincount(np.concatenate(codes), minlength=len(topics) * VOCABULARY).reshape(len(topics), VOCABULARY) + 20 * base
-            topics = new / new.sum(axis=1, keepdims=True)
-        return topics, share
-
-    pick = np.random.Generator(np.random.PCG64(9)).choice(len(long), min(len(long), 4 * TOPICS), replace=False)
-    many = np.stack([np.bincount(long[i], minlength=VOCABULARY) + 20 * base for i in pick])
-    many, share = rounds(many / many.sum(axis=1, keepdims=True), texts[:: max(1, len(texts) // 500)], 4)
-    root = np.sqrt(many)
-    chosen = [int(np.argmax(share))]
-    while len(chosen) < min(TOPICS, len(many)):
-        far = np.min([1 - root @ root[c] for c in chosen], axis=0)
-        chosen.append(int(np.argmax(far * np.sqrt(share))))
-    topics = np.concatenate([many[chosen], np.tile(base, (TOPICS - len(chosen), 1))])
-    return rounds(topics, texts, SEED_ROUNDS)[0]
+def spread(w: T.Words, k: int) -> np.ndarray:
+    """(k, BUCKETS) of a slice's k texts: 127 times the square root of the share of words in each bucket of their hashes."""
+    bucket = (T.mix(w.hash) % T.U64(BUCKETS)).astype(np.int64)
+    n = np.bincount(w.doc * BUCKETS + bucket, minlength=k * BUCKETS).reshape(k, BUCKETS)
+    return np.rint(127 * np.sqrt(n / np.maximum(n.sum(axis=1, keepdims=True), 1))).astype(np.int8)
+
+
+def topic_centres(rows: DataFrame) -> np.ndarray:
+    """Centres (at most TOPICS) of the spreads of all ``rows``; the other solver fails where there are fewer texts than centres."""
+    vectors = rows.select(array_to_vector(F.col("spread").cast("array<double>")).alias("features"))
+    return np.array(KMeans(k=TOPICS, maxIter=ROUNDS, seed=9, solver="row").fit(vectors).clusterCenters())
 
 
 def inputs(topics: np.ndarray) -> np.ndarray:
@@ -492,8 +473,11 @@ def _counts(batches):
                 if held > HELD:
                     yield from parts[0].to_batches(50_000)
                     parts, held = [], 0
+                give_back()
     if parts:
         yield from summed().combine_chunks().to_batches(50_000)
+    parts.clear()
+    give_back()
 
 
 def _hashed(words: pa.Array) -> np.ndarray:
@@ -532,6 +516,7 @@ def _prefix_counts(batches):
             u, inverse = np.unique(keys, return_inverse=True)
             yield pa.record_batch({"kind": pa.array(np.full(len(u), kind), pa.int32()), "key": pa.array(u.view(np.int64))} | {
                 name: pa.array(np.bincount(inverse, weights=x, minlength=len(u)).astype(np.int64)) for name, x in (("c", c), ("e", e))})
+    give_back()
 
 
 def _gaps(batches, c: Counts):
@@ -553,10 +538,11 @@ def _gaps(batches, c: Counts):
         rows.append((h[of[gap]], MAX_IDS + 1 + (inner - begin[of])[gap], np.full(gap.sum(), PAIR_ROW), key[gap]))
         h, place, kind, key = (np.concatenate([r[i] for r in rows]) for i in range(4))
         yield pa.record_batch({"h": pa.array(h), "place": pa.array(place, pa.int32()), "kind": pa.array(kind, pa.int32()), "key": pa.array(key.view(np.int64))})
+    give_back()
 
 
 def _with_rare(docs: DataFrame, words: DataFrame, often: Lookup) -> tuple[DataFrame, str]:
-    """(part, doc_id, text, held) rows, and the folder of their parts' lists of what ``words`` (h, place, c, e) says of the
+    """(part, doc_id, text, held, spread) rows, and the folder of their parts' lists of what ``words`` (h, place, c, e) says of the
     words that are not ``often``. The row that ends a part has its distinct rare words and no text of its own."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(often)
@@ -566,24 +552,29 @@ def _with_rare(docs: DataFrame, words: DataFrame, often: Lookup) -> tuple[DataFr
 
         def last():
             h = np.unique(np.concatenate(rare)) if rare else np.zeros(0, np.uint64)
-            return pa.record_batch({"part": pa.array([part], pa.int64()), "doc_id": pa.nulls(1, pa.int64()), "text": pa.nulls(1, pa.string()), "held": pa.nulls(1, pa.bool_()),
+            return pa.record_batch({"part": pa.array([part], pa.int64()), "doc_id": pa.nulls(1, pa.int64()), "text": pa.nulls(1, pa.string()), "held": pa.nulls(1, pa.bool_()), "spread": pa.nulls(1, pa.list_(pa.int8())),
                                     "rare": list_array(h.view(np.int64), [0, len(h)], pa.int64())})
 
         for batch in batches:
-            for a, b, data, off in T.slices(batch.column(1), 2 * T.SLICE_BYTES):
-                h = np.unique(T.words(data, off).hash)
+            for a, b, data, off in T.slices(batch.column(1)):
+                w = T.words(data, off)
+                h = np.unique(w.hash)
                 rare.append(h[~sent.value.find(h)[1]])
                 yield pa.record_batch({"part": pa.array(np.full(b - a, part)), "doc_id": batch.column(0)[a:b], "text": batch.column(1)[a:b], "held": batch.column(2)[a:b],
+                                       "spread": list_array(spread(w, b - a).ravel(), np.arange(b - a + 1) * BUCKETS, pa.int8()),
                                        "rare": pa.nulls(b - a, pa.list_(pa.int64()))})
                 size += len(data)
                 if size >= PART:
                     yield last()
                     part, size, rare = part + 1, 0, []
+                    give_back()
         if size:
             yield last()
+        rare.clear()
+        give_back()
 
     rows = keep(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "held").mapInArrow(
-        run, "part long, doc_id long, text string, held boolean, rare array<long>"), "rows", "zstd")
+        run, "part long, doc_id long, text string, held boolean, spread array<tinyint>, rare array<long>"), "rows", "zstd")
     words = words.select("h", F.expr(PACKED).alias("q")).groupBy("h").agg(F.collect_list("q").alias("q"))
     found = rows.filter("rare is not null").select("part", F.explode("rare").alias("h")).join(words, "h")
     folder = scratch_path(spark, "rare")
@@ -595,8 +586,6 @@ def fit(docs: DataFrame) -> tuple[Model, DataFrame, str, int, int, int, Lookup]:
     """Of (doc_id, text, held): the model, the rows by part, the folder of the parts' rare counts, N, V, the number of training
     rows and the heavy words' counts."""
     spark = docs.sparkSession
-    train = docs.filter(~F.col("held"))
-    texts = train.select(F.coalesce("text", F.lit("")).alias("text"))
     counts = (docs.select(F.coalesce("text", F.lit("")).alias("text"), "held").mapInArrow(_counts, "word string, c long")
               .groupBy("word").agg(F.sum("c").alias("c")))  # words of held-out rows alone count 0; their prefixes may be known
 
@@ -605,7 +594,7 @@ def fit(docs: DataFrame) -> tuple[Model, DataFrame, str, int, int, int, Lookup]:
             yield pa.record_batch({"word": b.column(0), "c": b.column(1), "h": pa.array(_hashed(b.column(0)).view(np.int64))})
 
     counts = keep(counts.mapInArrow(name, "word string, c long, h long"), "words", "zstd")
-    n_docs = texts.count()
+    n_docs = docs.filter(~F.col("held")).count()
     r = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
     tokens, distinct = r[0] + n_docs, r[1] + (n_docs > 0)
     frequent = (F.col("c") > 0) & (F.col("c") >= HEAVY * tokens)
@@ -627,34 +616,21 @@ def fit(docs: DataFrame) -> tuple[Model, DataFrame, str, int, int, int, Lookup]:
     rare = rare.unionByName(counts.filter(~frequent & (F.col("c") > 0)).select("h", F.lit(-1).alias("place"), "c", F.lit(0).cast("long").alias("e")))
     rows, folder = _with_rare(docs, rare, heavy)
 
-    share = int(min(1.0, SEED_ROWS / max(n_docs, 1)) * (1 << 30))
-
-    def seeds(batches):
-        found = []
-        for batch in batches:
-            for _, _, _, _, s in _streams(batch.column(0), None):
-                found += [s["ids"][s["first"][i] : s["first"][i + 1]] for i in range(len(s["first"]) - 1)]
-        found.sort(key=lambda t: (len(t), t.tobytes()))
-        topics = seed_topics(found)
-        yield pa.record_batch({"b": pa.array([topics.astype(np.float32).tobytes()], pa.binary())})
-
-    sample = train.filter(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30)) < share).select(F.coalesce("text", F.lit("")).alias("text"))
-    got = sample.repartition(1).mapInArrow(seeds, "b binary").collect()
-    first = np.frombuffer(got[0].b, np.float32).reshape(TOPICS, VOCABULARY).astype(float) if got else np.full((TOPICS, VOCABULARY), 1 / VOCABULARY)
-    sent = spark.sparkContext.broadcast(np.log(first).T.astype(np.float32))
+    train = rows.filter(~F.col("held"))
+    centres = topic_centres(train) if n_docs else np.zeros((1, BUCKETS))
 
     def topic_counts(batches):
-        log = sent.value
         total = np.zeros((2 * VOCABULARY, TOPICS))
         for batch in batches:
-            for _, _, _, _, s in _streams(batch.column(0), None):
+            at = batch.column(1).flatten().to_numpy().reshape(-1, BUCKETS)
+            best = (at @ centres.T - (centres**2).sum(axis=1) / 2).argmax(axis=1)  # the nearest
+            for a, b, _, _, s in _streams(batch.column(0), None):
                 code = s["ids"] + VOCABULARY * s["start"]
-                best = np.add.reduceat(log[s["ids"]], s["first"][:-1], axis=0).argmax(axis=1)  # every text has its end mark at least
-                total += np.bincount(code * TOPICS + np.repeat(best, np.diff(s["first"])), minlength=2 * VOCABULARY * TOPICS).reshape(-1, TOPICS)
+                total += np.bincount(code * TOPICS + np.repeat(best[a:b], np.diff(s["first"])), minlength=2 * VOCABULARY * TOPICS).reshape(-1, TOPICS)
         at = np.flatnonzero(total.any(axis=1))
         yield pa.record_batch({"code": pa.array(at, pa.int64())} | {f"t{k}": pa.array(total[at, k]) for k in range(TOPICS)})
 
-    found = (texts.mapInArrow(topic_counts, "code long, " + ", ".join(f"t{k} double" for k in range(TOPICS)))
+    found = (train.select("text", "spread").mapInArrow(topic_counts, "code long, " + ", ".join(f"t{k} double" for k in range(TOPICS)))
              .groupBy("code").agg(*[F.sum(f"t{k}").alias(f"t{k}") for k in range(TOPICS)]).toArrow())  # a row per id of the vocabulary at most
     total = np.zeros((2 * VOCABULARY, TOPICS))
     total[found["code"].to_numpy()] = np.stack([found[f"t{k}"].to_numpy() for k in range(TOPICS)], 1)
@@ -665,7 +641,7 @@ def fit(docs: DataFrame) -> tuple[Model, DataFrame, str, int, int, int, Lookup]:
     topics = topics + 0.002 * topics.sum(axis=2, keepdims=True) * overall + 2 * overall
     topics = topics / topics.sum(axis=2, keepdims=True)
     model = Model(topics, known)
-    model.weights = _trained(rows.filter(~F.col("held")).select("part", "text"), model, folder)
+    model.weights = _trained(train.select("part", "text"), model, folder)
     return model, rows, folder, tokens, distinct, n_docs, heavy
 
 

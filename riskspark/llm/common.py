@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -36,6 +37,14 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | N
     return df.mapInArrow(run, schema)
 
 
+def give_back() -> None:
+    """Memory that a worker no longer needs goes back to the system; otherwise a reused worker keeps the most that any task took."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim:
+        trim(0)
+
+
 def arrow_fs(path: str):
     """(file system, path on it) of any address that Arrow opens."""
     if "://" in path or path.startswith("file:"):

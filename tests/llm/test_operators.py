@@ -339,3 +339,16 @@ def test_pipeline(spark):
         ids.append(set(r.doc_id for r in docs.select("doc_id").collect()))
         assert ids[-1] <= ids[-2] and len(ids[-1]) > 100
     assert {r.doc_id for r in corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect()} == ids[-1]
+
+
+def test_topics_come_from_every_training_text(spark, monkeypatch):
+    """The topics' start takes all training texts, and texts of the same words lie at the same place."""
+    seen, plain = [], attention_lm.topic_centres
+    monkeypatch.setattr(attention_lm, "topic_centres", lambda rows: seen.append(rows.count()) or plain(rows))
+    texts = ["alpha beta gamma delta", "uno dos tres cuatro", "delta gamma beta alpha", ""]
+    docs = frame(spark, [(i, texts[i % 4]) for i in range(2000)]).selectExpr("doc_id", "text", "doc_id % 5 = 1 held")
+    rows = attention_lm.fit(docs)[1]
+    assert seen == [1600]
+    spread = {r.text: tuple(r.spread) for r in rows.select("text", "spread").distinct().collect()}
+    assert len(spread) == 4 and spread[texts[0]] == spread[texts[2]] != spread[texts[1]] and set(spread[""]) == {0}
+    assert abs(sum(x * x for x in spread[texts[0]]) - 127**2) < 600
