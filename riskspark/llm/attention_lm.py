@@ -145,6 +145,7 @@ class Parts:
 
     def __call__(self, part: int) -> Lookup:
         if part != self.part:
+            self.part, self.list = None, None  # the last list goes before the next one comes
             fs, folder = arrow_fs(self.folder)
             found = fs.get_file_info(pyarrow.fs.FileSelector(f"{folder}/part={part}", allow_not_found=True))
             files = [f.path for f in found if f.path.endswith(".parquet")]
@@ -152,6 +153,8 @@ class Parts:
             rows = pa.concat_tables(tables).combine_chunks() if tables else None
             one = lambda c: rows[c].chunk(0) if rows[c].num_chunks else rows[c].combine_chunks()
             self.part, self.list = part, rare_counts(one("h").to_numpy(), one("q")) if rows is not None and rows.num_rows else rare_counts()
+            del rows, tables
+            give_back()
         return self.list
 
     def of(self, batches):
