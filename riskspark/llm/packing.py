@@ -59,23 +59,33 @@ def places(ids: np.ndarray, doc_end: np.ndarray, ends: np.ndarray, stretch: int
 def plan(at: np.ndarray, cost: np.ndarray, length: int = LENGTH) -> list[int]:
     """Cut places of the cheapest windows over places ``at`` (from the first to the last one)."""
     place, fee = at.tolist(), cost.tolist()
-    index = dict(zip(place, range(len(place)), strict=True))
-    powers = [1 << k for k in range(length.bit_length())]
+    index = np.full(place[-1] - place[0] + 1, -1, np.int32)
+    index[at - place[0]] = np.arange(len(at))
+    later, earlier = [], []  # places a power of two apart, the smallest first
+    for q in (1 << k for k in range(length.bit_length())):
+        j = np.flatnonzero(at - q >= place[0])
+        i = index[at[j] - q - place[0]]
+        later.append(j[i >= 0])
+        earlier.append(i[i >= 0])
+    later = np.concatenate(later)
+    order = np.argsort(later, kind="stable")
+    first = np.searchsorted(later[order], np.arange(len(at) + 1)).tolist()
+    earlier = np.concatenate(earlier)[order].tolist()
     best, back = [0.0] * len(place), [0] * len(place)
+    keys = [float(place[0])] * len(place)  # a place's cost and itself
     queue: deque[int] = deque([0])
     for j in range(1, len(place)):
         p = place[j]
         while place[queue[0]] < p - length:
             queue.popleft()
         i = queue[0]
-        low = best[i] + place[i] + length - p
-        for q in powers:
-            k = index.get(p - q)
-            if k is not None and best[k] < low:
+        low = keys[i] + length - p
+        for k in earlier[first[j] : first[j + 1]]:
+            if best[k] < low:
                 low, i = best[k], k
         best[j], back[j] = low + fee[j], i
-        key = best[j] + p
-        while queue and best[queue[-1]] + place[queue[-1]] >= key:
+        keys[j] = key = best[j] + p
+        while queue and keys[queue[-1]] >= key:
             queue.pop()
         queue.append(j)
     cuts, j = [], len(place) - 1

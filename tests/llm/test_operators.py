@@ -139,6 +139,46 @@ def test_plan_is_cheapest():
         assert total == best[len(at) - 1] and cuts[-1] == at[-1]
 
 
+def test_packing_makes_few_calls():
+    """Neither a cut place nor a new piece of text costs a dozen calls (op4's CPU seconds)."""
+    pytest.importorskip("tokenizers")
+    import sys
+
+    from riskspark.llm.subwords import Subwords, default_path
+
+    def calls(fn):
+        n = [0]
+        sys.setprofile(lambda frame, event, arg: n.__setitem__(0, n[0] + (event == "c_call")))
+        try:
+            fn()
+        finally:
+            sys.setprofile(None)
+        return n[0]
+
+    at = np.arange(0, 40_000, 8)
+    assert calls(lambda: packing.plan(at, np.zeros(len(at)), 2048)) < 6 * len(at)
+    own = Subwords(default_path())
+    words = [f" w{i * 7919 % 100003:x}" for i in range(5000)]
+    data = np.frombuffer("".join(words).encode(), np.uint8)
+    assert calls(lambda: own.encode(data, np.array([0, len(data)]))) < len(words)
+
+
+@pytest.mark.parametrize("raw", [b" caf\xe9 bad \xff\xfe x y", " a\u00a0\n\n b \u2003\n\n\nc".encode(), b"x\n\n\n y  z\t\t1"])
+def test_ids_of_pieces(raw):
+    """What a text's pieces are tokenized with changes none of their ids, broken UTF-8 included."""
+    pytest.importorskip("tokenizers")
+    from riskspark.llm.subwords import Subwords, default_path
+
+    own = Subwords(default_path())
+    data = np.frombuffer(raw, np.uint8)
+    space = np.isin(data, [32, *range(9, 14)])
+    start = np.flatnonzero(np.diff(space.astype(int), prepend=0) == 1 if space[0] else np.r_[True, space[1:] & ~space[:-1]])
+    end = np.append(start[1:], len(data))
+    ids, begin, count = own.each(data, start, end)
+    for s, e, b, n in zip(start, end, begin, count):
+        assert ids[b:b + n].tolist() == own.whole(raw[s:e].decode("utf-8", "replace")).tolist()
+
+
 def test_archives(spark):
     pages = [(1, "http://a/x y", "<p>é</p>"), (2, None, "same"), (3, "http://b", "same"), (4, "u", None), (5, "u", ""), (6, "v", "a\r\n\r\nWARC/1.0\n" * 50)]
     rows = {r.page_id: r for r in warc.round_trip(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
