@@ -15,6 +15,7 @@ within a fit, the pool keeps the cluster busy between an iterative fit's jobs.
 
 from __future__ import annotations
 
+import threading
 from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
@@ -119,9 +120,13 @@ def standardise(df: DataFrame, st: Standardiser) -> DataFrame:
                            for c in st.features if c in df.columns and st.means[c] is not None})
 
 
-def build_pipeline(name: str, params: TrainParams, n_train: int) -> Pipeline:
-    stages = [VectorAssembler(inputCols=params.features, outputCol="features_raw", handleInvalid="keep"),
-              StandardScaler(inputCol="features_raw", outputCol="features", withMean=True, withStd=True)]
+def feature_stages(params: TrainParams) -> list:
+    """What all models' pipelines begin with."""
+    return [VectorAssembler(inputCols=params.features, outputCol="features_raw", handleInvalid="keep"),
+            StandardScaler(inputCol="features_raw", outputCol="features", withMean=True, withStd=True)]
+
+
+def classifier(name: str, params: TrainParams, n_train: int):
     if name == LR:
         clf = LogisticRegression(featuresCol="features", labelCol=params.label, maxIter=params.lr_max_iter,
                                  regParam=1.0 / (params.lr_c * max(n_train, 1)), elasticNetParam=0.0,
@@ -135,7 +140,11 @@ def build_pipeline(name: str, params: TrainParams, n_train: int) -> Pipeline:
                             maxDepth=params.gbt_depth, stepSize=params.gbt_step, seed=params.seed)
     else:
         raise ValueError(name)
-    return Pipeline(stages=stages + [clf])
+    return clf
+
+
+def build_pipeline(name: str, params: TrainParams, n_train: int) -> Pipeline:
+    return Pipeline(stages=[*feature_stages(params), classifier(name, params, n_train)])
 
 
 def f1_evaluator(label: str) -> MulticlassClassificationEvaluator:
@@ -168,8 +177,27 @@ def prepare_training(featured: DataFrame, params: TrainParams = TrainParams()) -
     return split.hint("rebalance").checkpoint(eager=True)
 
 
-def _fit(name, params, data, n_rows):
-    return build_pipeline(name, params, n_rows).fit(data)
+class FoldRows:
+    """The rows that a fold's models learn from: assembled and scaled once, held (memory, then disk) until the last model is fitted."""
+
+    def __init__(self, train: DataFrame, params: TrainParams, n_rows: int) -> None:
+        self.train, self.params, self.n_rows = train, params, n_rows
+        self.lock, self.left, self.stages, self.data = threading.Lock(), len(params.models), None, None
+
+    def fit(self, name: str) -> PipelineModel:
+        """What ``build_pipeline(name)`` gives when it is fitted on the rows."""
+        with self.lock:
+            if self.data is None:
+                shared = Pipeline(stages=feature_stages(self.params)).fit(self.train)
+                self.stages = shared.stages
+                self.data = shared.transform(self.train).select("features", self.params.label).persist()
+        try:
+            return PipelineModel([*self.stages, classifier(name, self.params, self.n_rows).fit(self.data)])
+        finally:
+            with self.lock:
+                self.left -= 1
+                if not self.left:
+                    self.data.unpersist()
 
 
 def fit_order(params: TrainParams) -> list:
@@ -198,11 +226,14 @@ def cross_validate(train: DataFrame, params: TrainParams = TrainParams()):
     evaluator = f1_evaluator(lab)
     tasks = fit_order(params)
 
+    rows = {k: FoldRows(train.filter(F.col("fold") != k), params, n_train - sizes.get(k, 0)) for k in range(params.folds)}
+    rows[None] = FoldRows(train, params, n_train)
+
     def run(task):
         m, k = task
+        fitted = rows[k].fit(m)
         if k is None:
-            return m, None, _fit(m, params, train, n_train)
-        fitted = _fit(m, params, train.filter(F.col("fold") != k), n_train - sizes.get(k, 0))
+            return m, None, fitted
         return m, k, evaluator.evaluate(fitted.transform(train.filter(F.col("fold") == k)))
 
     with ThreadPoolExecutor(max_workers=max(1, params.parallel_fits)) as pool:

@@ -31,6 +31,23 @@ def test_training_results(trained):
     assert best.is_best
 
 
+def test_a_fold_is_assembled_and_scaled_once(spark, monkeypatch):
+    """All models of a fold learn from the same prepared rows, and are what their pipelines give when fitted alone."""
+    fits, real = [], D.StandardScaler._fit
+    monkeypatch.setattr(D.StandardScaler, "_fit", lambda self, df: fits.append(1) or real(self, df))
+    rows = [(f"s{i}", float(i % 7), float(i * 37 % 11), float(i % 3 > 0), i % 2) for i in range(60)]
+    train = spark.createDataFrame(rows, "id string, a double, b double, y double, fold int")
+    p = D.TrainParams(features=["a", "b"], label="y", key="id", folds=2, rf_trees=2, rf_depth=2, gbt_iter=2, gbt_depth=2, lr_max_iter=5)
+    held = spark.sparkContext._jsc.getPersistentRDDs().size()
+    models, cv = D.cross_validate(train, p)
+    assert len(fits) == 3 and set(cv) == set(p.models)  # two folds and the refit
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() <= held
+    for name, model in models.items():
+        alone = D.build_pipeline(name, p, len(rows)).fit(train)
+        got, want = ([r.probability.toArray().tolist() for r in m.transform(train).orderBy("id").collect()] for m in (model, alone))
+        assert got == want
+
+
 def test_split_is_stratified_and_folds_cover(trained):
     both = trained.train.unionByName(trained.test)
     n = both.count()
