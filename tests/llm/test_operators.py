@@ -336,6 +336,41 @@ def test_attention_gradients_and_causality():
     assert np.allclose(after[:, :4], prob[:, :4]) and not np.allclose(after[:, 4:], prob[:, 4:])
 
 
+def test_windows_in_blocks_are_windows_of_their_own():
+    """Blocks that two windows share give the probabilities and gradients of windows that are given whole."""
+    rng, m, n = np.random.default_rng(7), attention_lm, 6
+    weights = {k: rng.normal(0, 0.4, shape) for k, shape in m.SHAPES.items()}
+    blocks, begins = rng.normal(0, 1, (n + 1, m.STEP, m.INPUT)), np.array([0, 3])
+    blocks[..., -1] = 1
+    now, known = rng.random((n, m.STEP, 2)), rng.random((n, m.STEP, 2)) < 0.6
+    like, scored = rng.random((n, m.STEP, m.TOPICS + 2)), rng.random((n, m.STEP)) < 0.7
+    x, valid = np.concatenate([blocks[:-1], blocks[1:]], 1), np.ones((n, m.SPAN), bool)
+    valid[begins, : m.CONTEXT] = False
+    found = []
+    for args in ((blocks, begins), (x, valid)):
+        prob, kept = m.forward(weights, *args, now, known, like)
+        found.append((prob.copy(), m.backward(weights, *args, like, prob, kept, scored)))
+    assert np.allclose(found[0][0], found[1][0])
+    assert all(np.allclose(grad, found[1][1][name]) for name, grad in found[0][1].items())
+
+
+def test_words_are_tokenized_once(spark, corpus, monkeypatch):
+    """Passes over the texts take the ids from their part's list; words that are tokenized together get the ids that they get alone."""
+    m = attention_lm
+    words = ["plain", "don't", "x1y2", "a\u00a0b", "\u00a0", "\u00a0\u00e9", "\u3000z", "...", "caf\u00e9", "\u4e2d\u6587", "1234567", "_"]
+    for some in (words, words[::-1], []):
+        alone = [m._encoder()[0].encode_ordinary(" " + w) for w in some]
+        ids, n = m.word_ids(some)
+        assert ids.tolist() == [i for x in alone for i in x] and n.tolist() == [len(x) for x in alone]
+    docs = frame(spark, corpus).selectExpr("doc_id", "text", "coalesce(crc32(cast(cast(doc_id as string) as binary)) % 5 = 1, true) held")
+    model, rows, folder, *_ = m.fit(docs)
+    batches = rows.orderBy("part").toArrow().combine_chunks().to_batches()
+    told = [s["ids"].tolist() for b, _ in m.Parts(folder).of(batches) for *_, s in m._streams(b.column("text"), None)]
+    monkeypatch.setattr(m, "word_ids", lambda words: pytest.fail("tokenized again"))
+    for counts in (model, None):
+        assert told == [s["ids"].tolist() for b, part in m.Parts(folder, counts is not None).of(batches) for *_, s in m._streams(b.column("text"), counts, part)]
+
+
 @pytest.mark.parametrize("name", ["quality", "toxic"])
 def test_classifiers(spark, name):
     rng = random.Random(2)
