@@ -16,6 +16,8 @@ other ones than MLlib's (which change with the partitions of the rows).
 
 from __future__ import annotations
 
+import functools
+import gc
 import json
 import math
 import pickle
@@ -45,6 +47,12 @@ CUT_EVERY = 25
 EPSILON = 2.2e-16
 
 
+@functools.cache
+def settle() -> None:
+    """Takes what a Python worker has loaded out of the collection that follows each of its many short tasks (once per worker)."""
+    gc.freeze()
+
+
 # -- blocks -------------------------------------------------------------------
 
 def row_blocks(df: DataFrame, features: str, label: str, rows: int):
@@ -303,6 +311,7 @@ def residual(y: np.ndarray, margin) -> np.ndarray:
 
 def boosted_counts(block, level: int, tree, n_bins: int):
     """(fit, (counts, sums) of the residuals by (node, feature, bin)) of a block at a level of the round's tree."""
+    settle()
     fit, _, bins, y, margin, squares = block
     feature, cut, slots = tree
     n_slots = int(slots.max()) + 1
